@@ -1,0 +1,5 @@
+"""The system this engine matches has no streaming sources, windows or state.
+
+Its only incremental behaviour, resuming from finished stages, is in
+``quillcell.plans.stages``. Nothing is added here on purpose.
+"""

@@ -12,10 +12,17 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _TINY = 1e-300
-_erfc = np.vectorize(math.erfc, otypes=[float])
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _erfc(x):
+    return np.frompyfunc(math.erfc, 1, 1)(np.asarray(x, float)).astype(float)
+
+
+def _lgamma(x):
+    return np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float)).astype(float)
 
 
 def normal_sf_np(z):
@@ -124,22 +131,22 @@ def hypergeom_upper_np(hits, drawn, marked, population):
     return np.minimum(total, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_sf_np(z.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_t_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_t_sf_np(t.to_numpy(float), df.to_numpy(float)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(gammainc_upper_np(df.to_numpy(float) / 2.0, x.to_numpy(float) / 2.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_greater(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """One-sided Fisher exact p-value of the table ``[[a, b], [c, d]]``."""
     a, b, c, d = (s.to_numpy(float) for s in (a, b, c, d))

@@ -1 +1,365 @@
-"""Queries."""
+"""Queries for tests, corrections, variable genes, quality control, annotation and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillcell.operators import celltypes as C
+from quillcell.operators import contrasts as D
+from quillcell.operators import filters as FI
+from quillcell.operators import glm as G
+from quillcell.operators import hvg as H
+from quillcell.operators import linalg as L
+from quillcell.operators import qc
+from quillcell.operators.aggregates import group_median, group_moments
+from quillcell.operators.multiplicity import average_rank, benjamini_hochberg, simes
+from quillcell.operators.normalize import log_normalize
+from quillcell.plans import adapters as ad
+from quillcell.plans.catalog import (
+    BRANDS, EMB, LABELS, LINE, LINEAR, NC, NORM, R, REGIONS, query, r6,
+)
+from quillcell.plans.queries_matrix import GROUPS, MEDIANS
+
+# ---- corrections over a p-value column made of the order prices ----------
+
+PV = "pv AS (SELECT o_orderkey AS id, o_custkey % 97 AS grp, o_orderpriority AS c, (CAST(o_totalprice * 100 AS BIGINT) % 5000) / 5000.0 AS p FROM orders)"
+
+
+def p_values(spark, sf):
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    return ad.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 97).alias("grp"), F.col("o_orderpriority").alias("c"),
+        ((cents % 5000) / 5000.0).alias("p"),
+    )
+
+
+@query("M01_W04_benjamini_hochberg", f"""WITH {PV}, r AS (SELECT id, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM pv),
+q AS (SELECT id, p, least(1.0, min(n * p / k) OVER (ORDER BY p DESC, k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r)
+SELECT id, {R('p')} AS p, {R('q')} AS q FROM q""")
+def m01(spark, sf):
+    return benjamini_hochberg(p_values(spark, sf), "p", "q").select("id", r6("p"), r6("q"))
+
+
+@query("F18_significant", f"""WITH {PV}, r AS (SELECT id, p, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM (SELECT id, pow(p, 12) AS p FROM pv)),
+q AS (SELECT id, p, least(1.0, min(n * p / k) OVER (ORDER BY p DESC, k DESC ROWS UNBOUNDED PRECEDING)) AS q FROM r)
+SELECT id, {R('q')} AS q FROM q WHERE q < 0.10""")
+def f18(spark, sf):
+    sharp = p_values(spark, sf).withColumn("p", F.pow("p", F.lit(12)))
+    return benjamini_hochberg(sharp, "p", "q").filter("q < 0.10").select("id", r6("q"))
+
+
+@query("W03_average_rank", f"""WITH {PV}, a AS (SELECT grp, c, min(p) AS p FROM pv GROUP BY 1, 2)
+SELECT grp, c, {R('p')} AS p, {R('rank() OVER (PARTITION BY grp ORDER BY p) + (count(*) OVER (PARTITION BY grp, p) - 1) / 2.0')} AS avg_rank FROM a""")
+def w03(spark, sf):
+    a = p_values(spark, sf).groupBy("grp", "c").agg(F.min("p").alias("p"))
+    return average_rank(a, ["grp"], "p").select("grp", "c", r6("p"), r6("avg_rank"))
+
+
+@query("D02_simes", f"""WITH {PV}, a AS (SELECT grp, c, min(p) AS p FROM pv GROUP BY 1, 2),
+r AS (SELECT grp, p, rank() OVER (PARTITION BY grp ORDER BY p) + (count(*) OVER (PARTITION BY grp, p) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY grp) AS m FROM a)
+SELECT grp, {R('least(1.0, min(m * p / k))')} AS pvalue_simes FROM r GROUP BY 1""")
+def d02(spark, sf):
+    a = p_values(spark, sf).groupBy("grp", "c").agg(F.min("p").alias("p"))
+    return simes(a, ["grp"], "p").select("grp", r6("pvalue_simes"))
+
+
+# ---- differential expression --------------------------------------------
+
+CONTRASTS = """s2 AS (SELECT gene, sum(m2) / (sum(n) - count(*)) AS s2, sum(n) - count(*) AS df FROM gm GROUP BY 1),
+ct AS (SELECT a.cluster || '_vs_' || b.cluster AS comparison, a.gene, df, a.mean AS mean_A, b.mean AS mean_B, a.mean - b.mean AS "logFC",
+  (a.mean - b.mean) / sqrt(nullif(s2, 0) * (1.0 / a.n + 1.0 / b.n)) AS t
+  FROM gm a JOIN gm b ON a.gene = b.gene AND a.cluster <> b.cluster JOIN s2 ON a.gene = s2.gene)"""
+CT_OUT = f"""SELECT comparison, gene, CAST(df AS BIGINT) AS df, {R('t')} AS t_stat, {R('"logFC"')} AS "logFC", {R('mean_A')} AS "mean_A", {R('mean_B')} AS "mean_B" FROM ct"""
+DENSE_GROUPS = "gm AS (SELECT gene, cluster, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS m2 FROM m JOIN cl ON m.cell = cl.cell GROUP BY 1, 2)"
+
+
+def _contrasts(moments):
+    c = D.contrast_statistics(moments)
+    return c.select("comparison", "gene", F.col("df").cast("long").alias("df"), *[r6(x) for x in ("t_stat", "logFC", "mean_A", "mean_B")])
+
+
+@query("D01_J11_contrasts", f"WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}, {CONTRASTS} {CT_OUT}")
+def d01(spark, sf):
+    return _contrasts(group_moments(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf)))
+
+
+@query("D01_contrasts_dense", f"WITH {EMB}, {LABELS}, {DENSE_GROUPS}, {CONTRASTS} {CT_OUT}")
+def d01_dense(spark, sf):
+    return _contrasts(group_moments(ad.embedding_matrix(spark, sf), ad.embedding_clusters(spark, sf)))
+
+
+@query("D01_K12_t_tests")
+def d01_p(spark, sf):
+    return D.pairwise_t_tests(ad.embedding_matrix(spark, sf), ad.embedding_clusters(spark, sf))
+
+
+@query("K11_wide_p_values")
+def k11(spark, sf):
+    return D.wide_p_values(d01_p(spark, sf))
+
+
+@query("D03_K13_discovered_markers")
+def d03(spark, sf):
+    return D.discover_markers(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))[1]
+
+
+# ---- cell types ----------------------------------------------------------
+
+MK = f"{BRANDS}, ms AS (SELECT gene, cell_type FROM mk WHERE contains(species, 'Mm') AND ui < 0.05)"
+WEIGHTS = "fr AS (SELECT gene, count(*) AS f FROM ms GROUP BY 1), wt AS (SELECT gene, f, 1 + sqrt(coalesce((max(f) OVER () - f) / CAST(nullif(max(f) OVER () - min(f) OVER (), 0) AS DOUBLE), 0)) AS w FROM fr)"
+SCORES = """zs AS (SELECT gene, cluster, median, coalesce((median - avg(median) OVER (PARTITION BY cluster)) / nullif(stddev_pop(median) OVER (PARTITION BY cluster), 0), 0) AS z FROM md),
+tot AS (SELECT cluster, count(*) FILTER (WHERE median > 0) AS ne, count(*) FILTER (WHERE median = 0) AS nz FROM md GROUP BY 1),
+sc AS (SELECT zs.cluster, cell_type, sum(z * w) / pow(count(*), 0.3) AS activity, count(*) FILTER (WHERE median > 0) AS a,
+  count(*) FILTER (WHERE median = 0) AS b, coalesce(string_agg(zs.gene, ',' ORDER BY zs.gene) FILTER (WHERE median > 0), 'NA') AS markers
+  FROM zs JOIN (SELECT DISTINCT gene, cell_type FROM ms) s ON zs.gene = s.gene JOIN wt ON wt.gene = zs.gene GROUP BY 1, 2),
+fx AS (SELECT sc.*, ne - a AS c, nz - b AS d FROM sc JOIN tot ON sc.cluster = tot.cluster),
+fp AS (SELECT cluster, cell_type, activity, markers, a, b, c, d, least(1.0, list_sum(list_transform(generate_series(a, least(a + b, a + c)),
+  lambda k: exp(lgamma(a + c + 1) + lgamma(b + d + 1) + lgamma(a + b + 1) + lgamma(c + d + 1) - lgamma(a + b + c + d + 1)
+   - lgamma(k + 1) - lgamma(a + c - k + 1) - lgamma(a + b - k + 1) - lgamma(d - a + k + 1))))) AS p FROM fx),
+rk AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS n FROM fp),
+fq AS (SELECT *, least(1.0, min(n * p / k) OVER (ORDER BY p DESC, k DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM rk)"""
+CTA = f"{LINE}, {REGIONS}, {NORM}, {MEDIANS}, {MK}, {WEIGHTS}, {SCORES}"
+
+
+def _markers(spark, sf):
+    return C.select_markers(ad.brand_markers(spark, sf), "mouse")
+
+
+def _medians(spark, sf):
+    return group_median(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+
+
+@query("C03_S20_F17_markers", f"WITH {MK} SELECT gene, cell_type, count(*) OVER (PARTITION BY gene) AS freq FROM ms")
+def c03(spark, sf):
+    m = _markers(spark, sf)
+    return m.join(C.marker_weights(m).select("gene", "freq"), "gene").select("gene", "cell_type", "freq")
+
+
+@query("J08_marker_weights", f"WITH {MK}, {WEIGHTS} SELECT gene, f AS freq, {R('w')} AS weight FROM wt")
+def j08(spark, sf):
+    return C.marker_weights(_markers(spark, sf)).select("gene", "freq", r6("weight"))
+
+
+@query("W02_z_over_genes", f"WITH {CTA} SELECT gene, cluster, {R('median')} AS median, {R('z')} AS z FROM zs")
+def w02(spark, sf):
+    return C.standardized_medians(_medians(spark, sf)).select("gene", "cluster", r6("median"), r6("z"))
+
+
+@query("C01_J12_activity", f"WITH {CTA} SELECT cluster, cell_type, {R('activity')} AS activity, a AS in_exp, b AS in_zero, c AS out_exp, d AS out_zero, markers FROM fx")
+def c01(spark, sf):
+    s = C.cell_type_scores(_medians(spark, sf), _markers(spark, sf))
+    return s.select("cluster", "cell_type", r6("activity"), "in_exp", "in_zero", "out_exp", "out_zero", "markers")
+
+
+@query("C01_K15_cell_types", f"WITH {CTA} SELECT cluster, cell_type, {R('activity')} AS activity, {R('p')} AS p_val, {R('padj')} AS padj, markers FROM fq")
+def c01_full(spark, sf):
+    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), _markers(spark, sf))
+    return t.select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
+
+
+@query("C01_K16_W05_F19_best", f"""WITH {CTA}, bst AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(activity, 6) DESC, cell_type) AS rn FROM fq)
+SELECT cluster, CASE WHEN padj > 0.10 THEN 'Unknown' ELSE cell_type END AS cell_type, {R('activity')} AS activity, {R('p')} AS p_val, {R('padj')} AS padj, markers FROM bst WHERE rn = 1""")
+def c01_best(spark, sf):
+    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), _markers(spark, sf))
+    return C.best_cell_types(t).select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
+
+
+@query("C02_S21_F16_symbols", f"""WITH {LINE}, sy AS (SELECT CAST(p_partkey AS VARCHAR) AS gene, 'SYM' || CAST(p_partkey % 1500 AS VARCHAR) AS symbol FROM part),
+u AS (SELECT * FROM sy WHERE symbol IN (SELECT symbol FROM sy GROUP BY 1 HAVING count(*) = 1))
+SELECT symbol AS gene, cell, {R('value')} AS value FROM m JOIN u ON m.gene = u.gene""")
+def c02(spark, sf):
+    m = ad.line_counts(spark, sf)
+    ids = m.keep(m.expr.withColumn("gene", F.concat(F.lit("ensmusg"), "gene")))
+    sy = ad.table(spark, sf, "part").select(
+        F.concat(F.lit("ENSMUSG"), F.col("p_partkey").cast("string")).alias("ensembl"),
+        F.concat(F.lit("Sym"), (F.col("p_partkey") % 1500).cast("string")).alias("symbol"),
+    )
+    return C.map_symbols(ids, sy).expr.select("gene", "cell", r6("value"))
+
+
+# ---- variable genes ------------------------------------------------------
+
+@query("H02_brennecke_moments", f"WITH {LINE}, {NC}, {NORM}, {LINEAR} SELECT gene, n, {R('mean')} AS mean, {R('var')} AS var, {R('var / (mean * mean)')} AS cv2 FROM gs")
+def h02m(spark, sf):
+    g = H.brennecke_moments(log_normalize(ad.line_counts(spark, sf)))
+    return g.select("gene", "n", r6("mean"), r6("var"), r6("cv2"))
+
+
+@query("H02_hvg_brennecke")
+def h02(spark, sf):
+    return H.brennecke(log_normalize(ad.line_counts(spark, sf)))
+
+
+@query("H03_hvg_scran")
+def h03(spark, sf):
+    data, spikes = FI.split_spikes(ad.named_counts(spark, sf))
+    return H.scran(log_normalize(data), log_normalize(spikes))
+
+
+CHEN = f"""{LINE}, {NC}, {NORM}, {LINEAR},
+p AS (SELECT gene, log10(mean) AS lx, log10(sqrt(var) / mean) AS ly FROM gs WHERE mean > 0 AND var > 0),
+fit AS (SELECT regr_slope(ly, lx) AS k, regr_intercept(ly, lx) AS b, min(lx) AS lo, max(lx) AS hi FROM p),
+g AS (SELECT i, lo + i * 0.001 AS x, k * (lo + i * 0.001) + b AS y FROM fit, unnest(generate_series(0, CAST(ceil((hi - lo) / 0.001) AS BIGINT) - 1)) AS u(i)),
+d AS (SELECT gene, lx, ly, min_by((x, y, sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly))), sqrt((x - lx) * (x - lx) + (y - ly) * (y - ly))) AS best
+  FROM p JOIN g ON x >= lx - 0.2 AND x < lx + 0.2 GROUP BY 1, 2, 3)"""
+
+
+@query("H04_chen_distance", f"WITH {CHEN} SELECT gene, {R('lx')} AS lx, {R('ly')} AS ly, {R('abs(best[3])')} AS dist FROM d")
+def h04d(spark, sf):
+    points = H.cut_lineage(H.mean_cv_points(log_normalize(ad.line_counts(spark, sf))))
+    slope, intercept = points.agg(F.regr_slope("ly", "lx"), F.regr_intercept("ly", "lx")).first()
+    return H.curve_distance(points, slope, intercept).select("gene", r6("lx"), r6("ly"), r6(F.abs("dist"), "dist"))
+
+
+@query("H04_hvg_chen")
+def h04(spark, sf):
+    return H.chen(log_normalize(ad.line_counts(spark, sf)))
+
+
+@query("H05_dropout_moments", f"""WITH {LINE}, {NC}, {NORM}, lin AS (SELECT gene, pow(2, v) - 1 AS v FROM nrm),
+s AS (SELECT gene, n, 1 - count(*) FILTER (WHERE v > 0) / CAST(n AS DOUBLE) AS p, sum(v) / n AS s, sum(v * v) / n AS s2 FROM lin, nc GROUP BY gene, n)
+SELECT gene, {R('p')} AS p, {R('sqrt(p * (1 - p) / n)')} AS p_err, {R('s')} AS s, {R('sqrt(greatest(0, s2 - s * s) / n)')} AS s_err FROM s""")
+def h05m(spark, sf):
+    g = H.dropout_moments(log_normalize(ad.line_counts(spark, sf)))
+    return g.select("gene", *[r6(c) for c in ("p", "p_err", "s", "s_err")])
+
+
+@query("H05_hvg_m3drop")
+def h05(spark, sf):
+    return H.m3drop(log_normalize(ad.token_counts(spark, sf)))
+
+
+UMI = f"""{LINE}, ti AS (SELECT cell, sum(value) AS t FROM m GROUP BY 1), tot AS (SELECT count(*) AS nc, sum(t) AS total, sum(t * t) AS t2 FROM ti),
+g AS (SELECT gene, sum(value) AS tj, sum(value * value) AS x2, sum(value * t) AS xt, count(*) AS ne FROM m JOIN ti ON m.cell = ti.cell GROUP BY 1),
+v AS (SELECT gene, tj, nc, total, nc - ne AS dj, (x2 - 2 * (tj / total) * xt + (tj / total) * (tj / total) * t2) / nc AS var,
+  tj * tj * (t2 / (total * total)) / ((nc - 1) * ((x2 - 2 * (tj / total) * xt + (tj / total) * (tj / total) * t2) / nc) - tj) AS size FROM g, tot)"""
+
+
+@query("H06_umi_moments", f"WITH {UMI} SELECT gene, {R('tj')} AS tj, {R('var')} AS var_pop, {R('size')} AS raw_size, dj AS dropouts FROM v")
+def h06m(spark, sf):
+    g = H.umi_moments(ad.line_counts(spark, sf))
+    return g.select("gene", r6("tj"), r6("var_pop"), r6("raw_size"), "dropouts")
+
+
+@query("H06_expected_dropout", f"""WITH {UMI}, e AS (SELECT v.gene, sum(pow(1 + (tj / total) * t / 2.0, -2.0)) AS p, sum(pow(1 + (tj / total) * t / 2.0, -2.0) * (1 - pow(1 + (tj / total) * t / 2.0, -2.0))) AS q FROM v, ti GROUP BY 1)
+SELECT gene, {R('p')} AS p_sum, {R('q')} AS v_sum FROM e""")
+def h06e(spark, sf):
+    m = ad.line_counts(spark, sf)
+    g = H.umi_moments(m).select("gene", (F.col("tj") / F.col("total")).alias("rate"), F.lit(2.0).alias("size"))
+    e = H.expected_dropout(g, m.expr.groupBy("cell").agg(F.sum("value").alias("t")))
+    return e.select("gene", r6("p_sum"), r6("v_sum"))
+
+
+@query("H06_hvg_m3drop_umi")
+def h06(spark, sf):
+    return H.m3drop_umi(ad.line_counts(spark, sf))
+
+
+# ---- quality control -----------------------------------------------------
+
+@query("Q01_K05_low_quality_cells")
+def q01(spark, sf):
+    data, spikes = FI.split_spikes(ad.named_counts(spark, sf))
+    rrna = ad.gene_names(spark, sf).filter("p_type = 'PROMO'").select("gene")
+    return qc.low_quality_cells(data, spikes, rrna)
+
+
+@query("Q01_robust_distances_orders")
+def q01_orders(spark, sf):
+    o = ad.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("d"), F.ln(F.sum("l_extendedprice")).alias("p"))
+    return qc.flag_outliers(qc.robust_distances(o.withColumnRenamed("l_orderkey", "cell"), ["q", "d", "p"]))
+
+
+# ---- dimension reduction -------------------------------------------------
+
+@query("P01_gram", f"""WITH {EMB} SELECT CAST(a.gene AS INTEGER) AS i, CAST(b.gene AS INTEGER) AS j, {R('sum(a.value * b.value)')} AS value
+FROM m a JOIN m b ON a.cell = b.cell GROUP BY 1, 2""")
+def p01g(spark, sf):
+    g = L.gram(ad.embedding_points(spark, sf))
+    return _square(spark, g)
+
+
+@query("P02_covariance", f"""WITH {EMB} SELECT CAST(a.gene AS INTEGER) AS i, CAST(b.gene AS INTEGER) AS j, {R('covar_samp(a.value, b.value)')} AS value
+FROM m a JOIN m b ON a.cell = b.cell GROUP BY 1, 2""")
+def p02c(spark, sf):
+    pts = ad.embedding_points(spark, sf)
+    return _square(spark, L.covariance(pts, 0)[1])
+
+
+def _square(spark, g):
+    cells = [(i, j, float(g[i, j])) for i in range(len(g)) for j in range(len(g))]
+    return spark.createDataFrame(cells, "i int, j int, value double").select("i", "j", r6("value"))
+
+
+@query("P01_F10_svd")
+def p01(spark, sf):
+    m = log_normalize(ad.line_counts(spark, sf))
+    return L.explode_scores(L.truncated_svd(m, H.seurat(m, 300), 20)[1])
+
+
+@query("P02_K07_pca")
+def p02(spark, sf):
+    m = log_normalize(ad.line_counts(spark, sf))
+    return L.explode_scores(L.centred_pca(m, H.seurat(m, 300), 20)[1])
+
+
+# ---- linear models -------------------------------------------------------
+
+def coefficients(spark, coef, names):
+    return spark.createDataFrame([(n, float(b)) for n, b in zip(["intercept", *names], coef)], "name string, estimate double")
+
+
+def _prices(spark, sf):
+    return ad.table(spark, sf, "lineitem").select(
+        (F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("x1"), F.col("l_discount").alias("x2"),
+        (F.col("l_quantity") > 25).cast("double").alias("b"), F.col("l_tax").alias("x3"),
+    )
+
+
+@query("L01_L02_gaussian", f"""WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x1 FROM lineitem)
+SELECT 'intercept' AS name, {R('regr_intercept(y, x1)')} AS estimate FROM d UNION ALL SELECT 'x1', {R('regr_slope(y, x1)')} FROM d""")
+def l01(spark, sf):
+    fit = G.fit_glm(_prices(spark, sf), ["x1"], "y", G.GAUSSIAN)
+    return coefficients(spark, fit.coef, ["x1"]).select("name", r6("estimate"))
+
+
+@query("L02_family_fits")
+def l02(spark, sf):
+    d = _prices(spark, sf).filter("y > 0")
+    rows = []
+    for family, label in ((G.BERNOULLI, "b"), (G.POISSON, "x1"), (G.QUASI_POISSON, "x1"), (G.GAMMA, "y"), (G.EXPONENTIAL, "y"), (G.GAMMA_MIXED_LINK, "y")):
+        fit = G.fit_glm(d, ["x2", "x3"], label, family)
+        for name, b, se, p in zip(["intercept", "x2", "x3"], fit.coef, fit.standard_errors, fit.p_values):
+            rows.append((family.name, name, float(b), float(se), float(p), float(fit.dispersion)))
+    return spark.createDataFrame(rows, "family string, name string, estimate double, std_error double, p_val double, dispersion double")
+
+
+@query("L03_elastic_net", f"""WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x FROM lineitem),
+s AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy FROM d),
+b AS (SELECT mx, my, sign(cxy) * greatest(abs(cxy) - 0.8 * 0.5, 0) / (vx + 0.8 * 0.5) AS b FROM s)
+SELECT 'intercept' AS name, {R('my - b * mx')} AS estimate FROM b UNION ALL SELECT 'x1', {R('b')} FROM b""")
+def l03(spark, sf):
+    return coefficients(spark, G.elastic_net(_prices(spark, sf), ["x1"], "y", 0.8, 0.5), ["x1"]).select("name", r6("estimate"))
+
+
+@query("L04_glm_net_path")
+def l04(spark, sf):
+    lambdas = [0.1, 0.01, 0.001]
+    path = G.glm_net_path(_prices(spark, sf), ["x2", "x3", "y"], "b", G.BERNOULLI, lambdas, 0.5)
+    rows = [(lam, n, float(v)) for lam, b in zip(lambdas, path) for n, v in zip(["intercept", "x2", "x3", "y"], b)]
+    return spark.createDataFrame(rows, "lam double, name string, estimate double")
+
+
+@query("L05_simulate")
+def l05(spark, sf):
+    d = _prices(spark, sf)
+    fit = G.fit_glm(d, ["x2"], "x1", G.POISSON)
+    return G.simulate(fit, d.select("x2"), 3, 42).groupBy("sim").agg(F.count("*").alias("n"), F.avg("y_sim").alias("mean"))
+
+
+@query("L05_U11_bootstrap")
+def l05b(spark, sf):
+    fits = G.nonparametric_bootstrap(_prices(spark, sf), ["x1"], "y", G.GAUSSIAN, 3, 42)
+    fits += G.parametric_bootstrap(fits[0], _prices(spark, sf), 2, 7)
+    return spark.createDataFrame([(i, float(f.coef[0]), float(f.coef[1])) for i, f in enumerate(fits)], "replicate int, intercept double, x1 double")

@@ -14,6 +14,8 @@ from quillcell.operators.multiplicity import benjamini_hochberg
 SPECIES_TAG = {"mouse": "Mm", "human": "Hs"}
 MAX_UBIQUITOUSNESS = 0.05
 UNKNOWN_ABOVE = 0.10
+ENSEMBL_PATTERN = r"^ENS(MUS)?G[0-9]+$"
+ENSEMBL_PATTERN_COMPAT = r"^ENS(G|MUS)[0-9]+$"
 
 
 def select_markers(table: DataFrame, species: str) -> DataFrame:
@@ -31,15 +33,15 @@ def marker_weights(markers: DataFrame) -> DataFrame:
     return freq.select("gene", "freq", (1 + F.sqrt(F.coalesce(share, F.lit(0.0)))).alias("weight"))
 
 
-def map_symbols(m: Matrix, symbol_map: DataFrame) -> Matrix:
+def map_symbols(m: Matrix, symbol_map: DataFrame, compat: bool = False) -> Matrix:
     """Upper-case gene ids; bare Ensembl ids become symbols where the symbol is unique.
 
-    Matrices that are not keyed by Ensembl ids keep their names.
+    Matrices that are not keyed by Ensembl ids keep their names. The compat pattern does
+    not recognise mouse ids.
     """
     upper = m.keep(m.expr.withColumn("gene", F.upper("gene")))
-    bare = F.col("gene").rlike("^ENS(G|MUS)[0-9]+$")
-    tagged = F.col("gene").rlike("^(ENSMU|ENSG)")
-    if upper.genes.filter(bare & tagged).limit(1).count() == 0:
+    bare = F.col("gene").rlike(ENSEMBL_PATTERN_COMPAT if compat else ENSEMBL_PATTERN)
+    if upper.expr.filter(bare).limit(1).count() == 0:
         return upper
     repeated = symbol_map.groupBy("symbol").count().filter("count > 1").select("symbol")
     unique = symbol_map.join(repeated, "symbol", "left_anti").select(F.upper("ensembl").alias("gene"), F.upper("symbol").alias("symbol"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillcell.session import cut_lineage
+
 
 def _p_bucket(p):
     """A fixed monotone bucket of a p-value.
@@ -53,9 +55,12 @@ def bh_thresholds(df: DataFrame, p: str = "p_val", q: str = "FDR") -> DataFrame:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_val", q: str = "FDR") -> DataFrame:
-    """``df`` with the adjusted p-value ``q``; NULL and NaN p-values get NULL and are not counted."""
-    keyed = df.withColumn("_k", F.when(~F.isnan(p), F.col(p).cast("double")))
-    table = bh_thresholds(df, p, q).select(F.col(p).alias("_k"), q)
+    """``df`` with the adjusted p-value ``q``; NULL and NaN p-values get NULL and are not counted.
+
+    The p-values are written once: the ranks need several passes over them.
+    """
+    keyed = cut_lineage(df.withColumn("_k", F.when(~F.isnan(p), F.col(p).cast("double"))))
+    table = bh_thresholds(keyed, p, q).select(F.col(p).alias("_k"), q)
     return keyed.join(table, "_k", "left").drop("_k")
 
 

@@ -1 +1,50 @@
-"""Queries."""
+"""Queries for neighbours, graphs, communities, layouts, doublets and plot tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillcell.operators import snn as S
+from quillcell.operators.communities import communities, connected_components
+from quillcell.operators.knn import exact_knn, neighbour_table
+from quillcell.plans import adapters as ad
+from quillcell.plans.catalog import R, query, r6
+
+PTS = "e AS (SELECT CAST(vec_id AS VARCHAR) AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+KNN = f"""{PTS}, ds AS (SELECT a.cell AS src, b.cell AS dst, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.cell <> b.cell),
+nn AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM ds)"""
+SETS = f"""{KNN}, nb AS (SELECT src, dst FROM nn WHERE rank <= 9 UNION ALL SELECT cell, cell FROM e),
+sh AS (SELECT a.src, b.src AS dst, count(*) AS v FROM nb a JOIN nb b ON a.dst = b.dst GROUP BY 1, 2),
+g AS (SELECT src, dst, v, v / (10.0 + (10 - v)) AS j FROM sh WHERE v / (10.0 + (10 - v)) > 0.067)"""
+
+
+def neighbours(spark, sf, k=10):
+    return neighbour_table(ad.embedding_points(spark, sf), k)
+
+
+@query("G01_J13_W14_knn", f"WITH {KNN} SELECT src, dst, CAST(rank AS INTEGER) AS rank, {R('dist')} AS dist FROM nn WHERE rank <= 10")
+def g01(spark, sf):
+    return exact_knn(ad.embedding_points(spark, sf), 10).select("src", "dst", "rank", r6("dist"))
+
+
+@query("G02_J10_F20_snn", f"WITH {SETS} SELECT src, dst, CAST(v AS INTEGER) AS shared, {R('j')} AS jaccard FROM g")
+def g02(spark, sf):
+    return S.snn_graph(neighbours(spark, sf), 10, 0.067).select("src", "dst", "shared", r6("jaccard"))
+
+
+@query("G03_components", """WITH k AS (SELECT o_orderkey AS node, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)
+  OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM orders)
+SELECT node, min(node) OVER (PARTITION BY coalesce(run, 0)) AS component FROM k""")
+def g03c(spark, sf):
+    # consecutive orders are linked unless the first is urgent
+    o = ad.table(spark, sf, "orders")
+    nodes = o.select(F.col("o_orderkey").alias("node"))
+    links = o.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+    return connected_components(nodes, links.join(nodes, F.col("dst") == F.col("node"), "left_semi"))
+
+
+@query("G03_K10_communities")
+def g03(spark, sf):
+    graph = S.snn_graph(neighbours(spark, sf), 10, 0.067)
+    nodes = ad.embedding_points(spark, sf).select(F.col("cell").alias("node"))
+    return communities(nodes, graph, 0.8)

@@ -45,13 +45,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
 
-    Iterative operators call this once per round, so a lost executor costs a re-read
-    and not a replay of all earlier rounds.
+    A lost executor then costs a re-read and not a replay of all earlier rounds. Unlike an
+    RDD checkpoint the table is computed once, is read by column, and has a known size, so
+    joins with it can be planned from that size.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -107,7 +107,7 @@ def embedding_2d(spark, sf):
 
 
 @query("V03_cluster_scatter", f"""WITH {EMBED}, {LABELS}, sz AS (SELECT cluster, count(*) AS size FROM cl GROUP BY 1)
-SELECT em.cell, {R('x')} AS x, {R('y')} AS y, cl.cluster, size, CASE WHEN cl.cluster < '5' THEN 'type ' || cl.cluster END AS cell_type, CASE WHEN cl.cluster < '5' THEN 0.01 END AS padj
+SELECT em.cell, {R('x')} AS x, {R('y')} AS y, cl.cluster, size, CASE WHEN cl.cluster < '5' THEN 'type ' || cl.cluster END AS cell_type, CASE WHEN cl.cluster < '5' THEN CAST(0.01 AS DOUBLE) END AS padj
 FROM em JOIN cl ON em.cell = cl.cell JOIN sz ON sz.cluster = cl.cluster""")
 def v03(spark, sf):
     cl = ad.embedding_clusters(spark, sf)

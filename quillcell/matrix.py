@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillcell.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Matrix:
@@ -34,6 +36,10 @@ class Matrix:
     def n_genes(self) -> Column:
         return self.genes.agg(F.count("*").alias("n_genes")).scalar()
 
+    def stored(self) -> "Matrix":
+        """The matrix written once, for plans that read it several times."""
+        return Matrix(cut_lineage(self.expr))
+
     def drop_zeros(self) -> "Matrix":
         return Matrix(self.expr.filter(F.col("value") != 0))
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -308,34 +309,33 @@ def umi_moments(m: Matrix) -> DataFrame:
     )
 
 
-def expected_dropout(genes: DataFrame, cells: DataFrame, block: int = 4096, salts: int = 64) -> DataFrame:
+def expected_dropout(genes: DataFrame, cells: DataFrame, block: int = 4096) -> DataFrame:
     """``gene, p_sum, v_sum``: sums over cells of ``p`` and ``p (1 - p)``.
 
-    ``p = (1 + mu * t / size)^-size`` depends on a cell only through its total ``t``, so
-    cells are first counted by total and packed into blocks of at most ``block`` totals;
-    a gene meets each block once. ``genes`` has ``gene, rate, size``; ``cells`` has ``t``.
+    ``p = (1 + rate * t / size)^-size`` depends on a cell only through its total ``t``, so
+    cells are first counted by total. Totals and genes are cut into blocks of about
+    ``block`` rows; a task holds one block of each and returns one row per gene.
+    ``genes`` has ``gene, rate, size``; ``cells`` has ``t``.
     """
-    hist = cells.groupBy("t").agg(F.count("*").alias("c"))
-    n_blocks = hist.agg(F.ceil(F.count("*") / block).alias("b")).scalar()
-    packed = (
-        hist.withColumn("_b", F.pmod(F.xxhash64("t"), n_blocks))
-        .groupBy("_b").agg(F.collect_list(F.struct("t", "c")).alias("totals"))
-        .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    spread = genes.withColumn("_s", F.pmod(F.xxhash64("gene"), F.lit(salts)).cast("int")).withColumn(
-        "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), n_blocks - 1))
-    )
-
-    def add(acc, x):
-        p = F.pow(1 + F.col("rate") * x["t"] / F.col("size"), -F.col("size"))
-        return F.struct((acc["p"] + x["c"] * p).alias("p"), (acc["v"] + x["c"] * p * (1 - p)).alias("v"))
-
-    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("v"))
-    return (
-        spread.join(packed, ["_b", "_s"])
-        .withColumn("_a", F.aggregate("totals", zero, add))
-        .groupBy("gene").agg(F.sum("_a.p").alias("p_sum"), F.sum("_a.v").alias("v_sum"))
-    )
+    hist = cut_lineage(cells.groupBy("t").agg(F.count("*").alias("c")))
+    n_t = max(1, -(-hist.count() // block))
+    n_g = max(1, -(-genes.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    totals = hist.withColumn("_b", F.pmod(F.xxhash64("t"), F.lit(n_t)).cast("int")).withColumn("_s", every(n_g))
+    rows = genes.withColumn("_s", F.pmod(F.xxhash64("gene"), F.lit(n_g)).cast("int")).withColumn("_b", every(n_t))
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rate, size = left["rate"].to_numpy(float)[:, None], left["size"].to_numpy(float)[:, None]
+        t, c = right["t"].to_numpy(float)[None, :], right["c"].to_numpy(float)
+        p_sum, v_sum = np.empty(len(left)), np.empty(len(left))
+        for lo in range(0, len(left), 256):
+            at = slice(lo, lo + 256)
+            p = np.exp(-size[at] * np.log1p(rate[at] * t / size[at]))
+            p_sum[at], v_sum[at] = p @ c, (p * (1 - p)) @ c
+        return pd.DataFrame({"gene": left["gene"], "p": p_sum, "v": v_sum})
+
+    found = rows.groupBy("_b", "_s").cogroup(totals.groupBy("_b", "_s")).applyInPandas(sums, "gene string, p double, v double")
+    return found.groupBy("gene").agg(F.sum("p").alias("p_sum"), F.sum("v").alias("v_sum"))
 
 
 def m3drop_umi(m: Matrix, n: int = 1000) -> DataFrame:
@@ -353,8 +353,7 @@ def m3drop_umi(m: Matrix, n: int = 1000) -> DataFrame:
     ).first()
     trend = genes.withColumn("size", F.exp(intercept + slope * F.col("log_mean"))).withColumn("rate", F.col("tj") / F.col("total"))
     cells = m.expr.groupBy("cell").agg(F.sum("value").alias("t"))
-    sums = expected_dropout(trend.select("gene", "rate", "size"), cells)
-    joined = trend.join(sums, "gene")
+    joined = trend.join(expected_dropout(trend.select("gene", "rate", "size"), cells), "gene")
     expected = F.greatest(F.col("p_sum") / F.col("nc"), 1 / F.col("nc"))
     observed = F.col("dropouts") / F.col("nc")
     error = F.sqrt(F.col("v_sum") / F.col("nc") ** 2 + observed * (1 - observed) / F.col("nc"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quillcell.matrix import Matrix
 from quillcell.session import cut_lineage
 
-MAX_GENES = 10_000
+MAX_GENES = 5_000
 
 
 @dataclass
@@ -43,7 +43,7 @@ class Projection:
 
 
 def index_genes(genes: DataFrame) -> tuple[list[str], DataFrame]:
-    """Names in order and their positions; refuses sets that are not bounded."""
+    """Names in order and their positions; refuses sets that are larger than ``MAX_GENES``."""
     names = [r["gene"] for r in genes.select("gene").distinct().orderBy("gene").limit(MAX_GENES + 1).collect()]
     if len(names) > MAX_GENES:
         raise ValueError(f"more than {MAX_GENES} genes; select variable genes first")
@@ -110,13 +110,17 @@ def covariance(dense: DataFrame, d: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def truncated_svd(m: Matrix, genes: DataFrame, k: int) -> tuple[Projection, DataFrame]:
-    """The leading ``k`` singular directions without centring; scores are ``X v``."""
+    """The leading ``k`` singular directions without centring; scores are ``X v``.
+
+    The directions are eigenvectors of the gene-by-gene Gram matrix, which is one pass over
+    the cells; an iterative solver would read them once per step.
+    """
     names, positions = index_genes(genes)
     rows = cut_lineage(sparse_rows(m, positions))
     d = len(names)
-    svd = as_row_matrix(dense_vectors(rows, d)).computeSVD(min(k, d), computeU=False)
-    v = fix_signs(svd.V.toArray())
-    p = Projection(names, np.zeros(d), np.ones(d), v, np.array(svd.s.toArray()))
+    values, vectors = np.linalg.eigh(gram(dense_vectors(rows, d)))
+    top = np.argsort(values)[::-1][: min(k, d)]
+    p = Projection(names, np.zeros(d), np.ones(d), fix_signs(vectors[:, top]), np.sqrt(np.maximum(values[top], 0.0)))
     return p, project(rows, p)
 
 

@@ -77,12 +77,12 @@ def u10(spark, sf):
 
 @query("X01_A26_K22_scrublet")
 def x01(spark, sf):
-    return D.scrublet(ad.line_counts(spark, sf), hvg_n=200, components=10)
+    return D.scrublet(ad.line_counts(spark, sf).stored(), hvg_n=200, components=10)
 
 
 @query("X02_doublet_finder")
 def x02(spark, sf):
-    m = ad.line_counts(spark, sf)
+    m = ad.line_counts(spark, sf).stored()
     return D.doublet_finder(m, H.seurat(log_normalize(m), 200), components=10)
 
 

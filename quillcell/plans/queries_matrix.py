@@ -241,7 +241,7 @@ gm AS (SELECT g.gene, cs.cluster, n, coalesce(s1, 0) / n AS mean, coalesce(m2z +
 
 @query("A10_mean_exp", f"WITH {LINE}, {REGIONS}, {NORM}, {GROUPS} SELECT gene, cluster, n, {R('mean')} AS mean FROM gm")
 def a10(spark, sf):
-    m = A.group_moments(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+    m = A.group_moments(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))
     return m.select("gene", "cluster", "n", r6("mean"))
 
 
@@ -252,7 +252,7 @@ md AS (SELECT gene, cluster, median(v) AS median FROM dense GROUP BY 1, 2)"""
 
 @query("A11_median_exp", f"WITH {LINE}, {REGIONS}, {NORM}, {MEDIANS} SELECT gene, cluster, {R('median')} AS median FROM md")
 def a11(spark, sf):
-    m = A.group_median(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+    m = A.group_median(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))
     return m.select("gene", "cluster", r6("median"))
 
 
@@ -298,7 +298,7 @@ def a18(spark, sf):
 @query("A19_residual_sums", f"""WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}
 SELECT gene, {R('sum(m2)')} AS rss, {R('sum(m2) / (sum(n) - count(*))')} AS sigma2 FROM gm GROUP BY 1""")
 def a19(spark, sf):
-    m = A.group_moments(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+    m = A.group_moments(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))
     return m.groupBy("gene").agg(r6(F.sum("m2"), "rss"), r6(F.sum("m2") / (F.sum("n") - F.count("*")), "sigma2"))
 
 
@@ -389,7 +389,7 @@ def u03(spark, sf):
 @query("U04_K14_pivot_means", f"""WITH {LINE}, {REGIONS}, {NORM}, {GROUPS} SELECT gene,
  {', '.join(f"{R(f'max(mean) FILTER (WHERE cluster = {chr(39)}{i}{chr(39)})')} AS c{i}" for i in range(5))} FROM gm GROUP BY 1""")
 def u04(spark, sf):
-    g = A.group_moments(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+    g = A.group_moments(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))
     wide = A.to_wide(g, "cluster", "mean", [str(i) for i in range(5)])
     return wide.select("gene", *[r6(F.col(f"`{i}`"), f"c{i}") for i in range(5)])
 
@@ -444,7 +444,7 @@ def h01(spark, sf):
 
 def flagship(spark, sf, n=50):
     """Filter, normalise and rank the variable genes of the part x supplier matrix."""
-    m = FI.min_expressed(FI.min_reads(ad.line_counts(spark, sf), 1000), 2.0)
+    m = FI.min_expressed(FI.min_reads(ad.line_counts(spark, sf).stored(), 1000).stored(), 2.0).stored()
     return seurat(log_normalize(m), n).select("gene", r6("mean"), r6("dispersion"), "bin", r6("z"), "rank")
 
 

@@ -80,7 +80,7 @@ def _contrasts(moments):
 
 @query("D01_J11_contrasts", f"WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}, {CONTRASTS} {CT_OUT}")
 def d01(spark, sf):
-    return _contrasts(group_moments(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf)))
+    return _contrasts(group_moments(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf)))
 
 
 @query("D01_contrasts_dense", f"WITH {EMB}, {LABELS}, {DENSE_GROUPS}, {CONTRASTS} {CT_OUT}")
@@ -100,7 +100,7 @@ def k11(spark, sf):
 
 @query("D03_K13_discovered_markers")
 def d03(spark, sf):
-    return D.discover_markers(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))[1]
+    return D.discover_markers(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))[1]
 
 
 # ---- cell types ----------------------------------------------------------
@@ -126,7 +126,7 @@ def _markers(spark, sf):
 
 
 def _medians(spark, sf):
-    return group_median(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf))
+    return group_median(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))
 
 
 @query("C03_S20_F17_markers", f"WITH {MK} SELECT gene, cell_type, count(*) OVER (PARTITION BY gene) AS freq FROM ms")
@@ -153,14 +153,14 @@ def c01(spark, sf):
 
 @query("C01_K15_cell_types", f"WITH {CTA} SELECT cluster, cell_type, {R('activity')} AS activity, {R('p')} AS p_val, {R('padj')} AS padj, markers FROM fq")
 def c01_full(spark, sf):
-    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), _markers(spark, sf))
+    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf), _markers(spark, sf))
     return t.select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
 
 
 @query("C01_K16_W05_F19_best", f"""WITH {CTA}, bst AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(activity, 6) DESC, cell_type) AS rn FROM fq)
 SELECT cluster, CASE WHEN padj > 0.10 THEN 'Unknown' ELSE cell_type END AS cell_type, {R('activity')} AS activity, {R('p')} AS p_val, {R('padj')} AS padj, markers FROM bst WHERE rn = 1""")
 def c01_best(spark, sf):
-    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), _markers(spark, sf))
+    t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf), _markers(spark, sf))
     return C.best_cell_types(t).select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
 
 
@@ -226,7 +226,7 @@ def h05m(spark, sf):
 
 @query("H05_hvg_m3drop")
 def h05(spark, sf):
-    return H.m3drop(log_normalize(ad.token_counts(spark, sf)))
+    return H.m3drop(log_normalize(ad.token_counts(spark, sf).stored()).stored())
 
 
 UMI = f"""{LINE}, ti AS (SELECT cell, sum(value) AS t FROM m GROUP BY 1), tot AS (SELECT count(*) AS nc, sum(t) AS total, sum(t * t) AS t2 FROM ti),
@@ -252,7 +252,7 @@ def h06e(spark, sf):
 
 @query("H06_hvg_m3drop_umi")
 def h06(spark, sf):
-    return H.m3drop_umi(ad.line_counts(spark, sf))
+    return H.m3drop_umi(ad.line_counts(spark, sf).stored())
 
 
 # ---- quality control -----------------------------------------------------
@@ -294,13 +294,13 @@ def _square(spark, g):
 
 @query("P01_F10_svd")
 def p01(spark, sf):
-    m = log_normalize(ad.line_counts(spark, sf))
+    m = log_normalize(ad.line_counts(spark, sf)).stored()
     return L.explode_scores(L.truncated_svd(m, H.seurat(m, 300), 20)[1])
 
 
 @query("P02_K07_pca")
 def p02(spark, sf):
-    m = log_normalize(ad.line_counts(spark, sf))
+    m = log_normalize(ad.line_counts(spark, sf)).stored()
     return L.explode_scores(L.centred_pca(m, H.seurat(m, 300), 20)[1])
 
 

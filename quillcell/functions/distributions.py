@@ -18,11 +18,11 @@ _TINY = 1e-300
 
 
 def _erfc(x):
-    return np.frompyfunc(math.erfc, 1, 1)(np.asarray(x, float)).astype(float)
+    return np.asarray(np.frompyfunc(math.erfc, 1, 1)(np.asarray(x, float)), float)
 
 
 def _lgamma(x):
-    return np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float)).astype(float)
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float)), float)
 
 
 def normal_sf_np(z):

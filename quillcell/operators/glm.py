@@ -153,6 +153,10 @@ def _columns(predictors: list[str]) -> list[Column]:
     return [F.lit(1.0), *[F.col(c).cast("double") for c in predictors]]
 
 
+def _in_range(family: Family, mu: Column) -> Column:
+    return mu > 0 if family.name.startswith("gamma") else F.lit(True)
+
+
 def fit_glm(
     df: DataFrame, predictors: list[str], label: str, family: Family = GAUSSIAN, alpha: float = 0.0,
     weight: str | None = None, offset: str | None = None, max_iter: int = 100, tol: float = 1e-8,
@@ -172,14 +176,21 @@ def fit_glm(
     else:
         coef = np.array(start, float)
     penalty = np.diag([0.0] + [alpha] * (p - 1))
-    previous, converged = math.inf, False
+    previous, converged, sound = math.inf, False, None
     for step in range(1, max_iter + 1):
         nu = _dot(coef, xs) + (F.col(offset) if offset else F.lit(0.0))
         mu = family.inv_link(nu)
         dmu, var = family.d_inv_link(nu, mu), family.variance(mu)
-        info, score, (deviance,) = gram_sums(
-            df, xs, (y - mu) / dmu, sw * dmu * dmu / var, [F.sum(sw * family.deviance(y, mu))]
+        # rows whose mean lies outside the family's range have no deviance
+        dev = F.when(_in_range(family, mu), sw * family.deviance(y, mu))
+        usable = F.when(_in_range(family, mu), dmu * dmu / var)
+        info, score, (deviance, outside) = gram_sums(
+            df, xs, F.when(_in_range(family, mu), (y - mu) / dmu), sw * usable, [F.sum(dev), F.count_if(dev.isNull())]
         )
+        if outside and sound is not None:
+            coef = (coef + sound) / 2.0
+            continue
+        sound = coef
         objective = deviance + alpha * float(np.sum(coef[1:] ** 2))
         if abs(objective - previous) <= tol * (abs(objective) + tol):
             converged = True

@@ -301,7 +301,8 @@ def umi_moments(m: Matrix) -> DataFrame:
     )
     share = F.col("tj") / F.col("total")
     var = (F.col("x2") - 2 * share * F.col("xt") + share * share * F.col("t2")) / F.col("nc")
-    size = F.col("tj") ** 2 * (F.col("t2") / F.col("total") ** 2) / ((F.col("nc") - 1) * F.col("var_pop") - F.col("tj"))
+    excess = (F.col("nc") - 1) * F.col("var_pop") - F.col("tj")
+    size = F.col("tj") ** 2 * (F.col("t2") / F.col("total") ** 2) / F.nullif(excess, F.lit(0.0))
     return (
         gene.withColumn("nc", nc).withColumn("total", total).withColumn("t2", t2)
         .withColumn("var_pop", var).withColumn("raw_size", size)

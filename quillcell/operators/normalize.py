@@ -33,7 +33,7 @@ def rpkm(m: Matrix, lengths: DataFrame) -> Matrix:
         m.expr.withColumn("_k", unversioned()).join(keyed, "_k").select("gene", "cell", "value", "length")
     )
     totals = matched.groupBy("cell").agg(F.sum("value").alias("reads"))
-    per_kilobase = (F.col("value") / (F.col("reads") / 1e6)) / (F.col("length") / 1000)
+    per_kilobase = (F.col("value") / (F.col("reads") / 1e6)) / F.nullif(F.col("length") / 1000, F.lit(0.0))
     return m.keep(matched.join(totals, "cell").withColumn("value", F.log2(per_kilobase + 1)))
 
 

@@ -26,7 +26,7 @@ def wide_entries(lines: DataFrame, header: list[str] | None, layout: Layout) ->
     """
     body = lines.filter("value <> ''").select(F.split("value", _literal(layout.delimiter)).alias("f"))
     fields = body.select(F.element_at("f", 1).alias("gene"), F.posexplode(F.expr("slice(f, 2, size(f) - 1)")).alias("pos", "text"))
-    entries = fields.withColumn("value", F.col("text").cast("double")).filter("value <> 0 OR value IS NULL")
+    entries = fields.withColumn("value", F.col("text").try_cast("double")).filter("value <> 0 OR value IS NULL")
     if header is None:
         cell = F.concat(F.lit("cell"), (F.col("pos") + 1).cast("string"))
     else:

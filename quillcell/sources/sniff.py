@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -44,10 +45,8 @@ def all_numbers(fields: Column) -> Column:
 
 
 def is_header(line: str, delimiter: str) -> bool:
-    def number(x: str) -> bool:
-        return x.replace(".", "", 1).isdigit()
-
-    return not all(number(x) for x in line.split(delimiter))
+    """A first line is a header unless every field is a non-negative decimal."""
+    return not all(re.fullmatch(r"\d+\.?\d*|\.\d+", x) for x in line.split(delimiter))
 
 
 def field_counts(lines: DataFrame, delimiter: str) -> DataFrame:
@@ -73,7 +72,13 @@ def sniff(lines: DataFrame, delimiter: str = "auto", header: str = "auto") -> La
 
 
 def check_columns(lines: DataFrame, layout: Layout) -> None:
-    counts = [r["fields"] for r in field_counts(lines, layout.delimiter).orderBy("fields").limit(3).collect()]
-    allowed = 1 if not layout.header or layout.id_cell else 2
-    if len(counts) > allowed or (len(counts) == 2 and counts[1] - counts[0] != 1):
+    """Raise unless all data lines have one number of fields and the header fits it."""
+    body = lines
+    width = None
+    if layout.header:
+        first = lines.first()["value"]
+        width = len(first.split(layout.delimiter))
+        body = lines.filter(F.col("value") != first)
+    counts = [r["fields"] for r in field_counts(body, layout.delimiter).orderBy("fields").limit(3).collect()]
+    if len(counts) > 1 or (counts and width is not None and width not in (counts[0], counts[0] - 1)):
         raise MatrixError(f"lines differ in their number of fields: {counts}")

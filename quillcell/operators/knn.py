@@ -110,7 +110,7 @@ def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, max
 
     bounded = placed.groupBy("cell_no", "block").applyInPandas(home_bound, "vid string, features array<double>, bound double")
 
-    between = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0.0)) if n_pivots * n_pivots * pivots.shape[1] < 2e7 else None
+    between = np.stack([np.sqrt(((pivots - p) ** 2).sum(1)) for p in pivots])
 
     @F.pandas_udf("array<int>")
     def visits(v: pd.Series, bound: pd.Series) -> pd.Series:
@@ -118,12 +118,11 @@ def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, max
         limit = bound.to_numpy(float)[:, None]
         slack = 1e-9 * (1.0 + d)
         keep = (d - radius[None, :] <= limit + slack) & (size[None, :] > 0)
-        if between is not None:
-            own = d.argmin(axis=1)
-            gap = between[own]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                plane = (d * d - d[np.arange(len(d)), own][:, None] ** 2) / (2.0 * gap)
-            keep &= ~(np.where(gap > 0, plane, 0.0) > limit + slack)
+        # a point beyond the bisecting plane of two pivots is at least its distance to the plane away
+        own = d.argmin(axis=1)
+        gap = np.maximum(between[own], 1e-300)
+        ahead = d * d * (1.0 - 1e-11) - d[np.arange(len(d)), own][:, None] ** 2 * (1.0 + 1e-11)
+        keep &= ~((gap > 1e-300) & (ahead > 2.0 * gap * (limit + slack)))
         return pd.Series([np.nonzero(row)[0].astype("int32") for row in keep])
 
     routed = cut_lineage(bounded.select("vid", "features", F.explode(visits("features", "bound")).alias("cell_no")))

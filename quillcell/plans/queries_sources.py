@@ -79,18 +79,26 @@ def s17(spark, sf):
     return FI.drop_duplicated_genes(ad.table(spark, sf, "part").select(F.concat("p_name", "p_brand").alias("gene"), "p_size"))
 
 
-@query("S03_S06_K21_delimited_matrix", f"WITH {LINE} {ENTRIES} m")
+@query("S03_S06_K21_delimited_matrix", f"""SELECT CAST(l_partkey AS VARCHAR) AS gene, 'n' || CAST(s_nationkey AS VARCHAR) AS cell, {R('sum(l_quantity)')} AS value
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def s03(spark, sf):
-    """Write the dense text of the matrix as bzip2 and read it as an unknown format."""
-    m = ad.line_counts(spark, sf)
-    cells = [r["cell"] for r in m.cells.orderBy("cell").collect()]
-    header = spark.createDataFrame([("\t".join(["id", *cells]),)], "value string")
+    """Write the dense text of a part x nation matrix as bzip2 and read it as an unknown format.
+
+    A dense text has one column per cell, so the cells are nations, whose number is fixed.
+    """
+    nations = ad.table(spark, sf, "supplier").select(F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cell"))
+    expr = (
+        ad.table(spark, sf, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.col("l_partkey").cast("string").alias("gene"), "cell").agg(F.sum("l_quantity").alias("value"))
+    )
+    cells = [f"n{r['n_nationkey']}" for r in ad.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     path = scratch_path(spark, "dense")
-    SK.dense_lines(m.expr, cells).repartition(8).write.option("compression", "bzip2").text(path)
-    lines = header.unionByName(spark.read.text(path))
-    layout = SN.sniff(header.unionByName(spark.read.text(path).limit(10)))
-    SN.check_columns(lines, layout)
-    return MX.wide_entries(spark.read.text(path), cells, layout).select("gene", "cell", r6("value"))
+    SK.dense_lines(expr, cells).write.option("compression", "bzip2").text(path)
+    body = spark.read.text(path)
+    header = spark.createDataFrame([("\t".join(["id", *cells]),)], "value string")
+    layout = SN.sniff(header.unionByName(body.limit(10)))
+    SN.check_columns(header.unionByName(body), layout)
+    return MX.wide_entries(body, cells, layout).select("gene", "cell", r6("value"))
 
 
 @query("S08_D16_matrix_market", f"""WITH {LINE} SELECT 'S' || gene || '_E' || gene AS gene, cell, {R('value')} AS value FROM m""")

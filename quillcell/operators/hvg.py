@@ -247,7 +247,7 @@ def dropout_moments(m: Matrix) -> DataFrame:
     )
 
 
-def michaelis_constant(genes: DataFrame, rounds: int = 9, grid: int = 33) -> float:
+def michaelis_constant(genes: DataFrame, rounds: int = 11, grid: int = 17) -> float:
     """The K that minimises ``sum (p - 1 + s / (K + s))^2``.
 
     With the error variance profiled out this is the maximum likelihood estimate. Every
@@ -256,7 +256,8 @@ def michaelis_constant(genes: DataFrame, rounds: int = 9, grid: int = 33) -> flo
     low, high = -7.0, 7.0
     for _ in range(rounds):
         ks = np.logspace(low, high, grid)
-        losses = genes.agg(*[F.sum(F.pow(F.col("p") - 1 + F.col("s") / (float(k) + F.col("s")), 2)) for k in ks]).first()
+        gaps = [F.col("p") - float(k) / (float(k) + F.col("s")) for k in ks]
+        losses = genes.agg(*[F.sum(g * g) for g in gaps]).first()
         best = int(np.argmin(np.array(losses, float)))
         step = (high - low) / (grid - 1)
         low, high = low + (best - 1) * step, low + (best + 1) * step

@@ -33,9 +33,10 @@ def bh_thresholds(df: DataFrame, p: str = "p_val", q: str = "FDR") -> DataFrame:
     )
     upto = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = Window.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    # suffix minima run in falling order: a frame that ends at the current row is one pass
+    after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     local_up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
-    local_down = Window.partitionBy("_b").orderBy("_p").rowsBetween(0, Window.unboundedFollowing)
+    local_down = Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
     # at most about 1.7e5 rows: the bucket range is fixed
     offsets = (
         hist.groupBy("_b").agg(F.sum("_c").alias("_bc"))

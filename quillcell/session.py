@@ -51,10 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     RDD checkpoint the table is computed once, is read by column, and has a known size, so
     joins with it can be planned from that size.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, "cut")
+    return written(df, "cut")[0]
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and the path at which to ``discard`` it."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no later plan reads, through Hadoop's own file system."""
+    if not os.path.basename(path) or not path.startswith(checkpoint_dir(spark)):
+        raise ValueError(f"{path} is not below the checkpoint folder")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

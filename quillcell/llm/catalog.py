@@ -2,9 +2,25 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillcell.llm.mixing import mix
 from quillcell.llm.near_dup import NearDup, near_duplicates
+from quillcell.llm.packing import pack
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
+    first = F.element_at(F.transform("copies", lambda c: c["position"]), F.when(F.size("copies") > 0, F.lit(1)))
+    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"))
+
+
+def op9_concatenate_cut(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER)
 
 
 def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
@@ -12,5 +28,39 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op10_odd_sketches,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_curriculum_mix, op9_concatenate_cut, op10_odd_sketches)}
+ORACLES = {
+    "op3_curriculum_mix": """
+WITH s AS (
+  SELECT doc_id, source IS NULL AS no, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size FROM documents),
+per AS (
+  SELECT no, src, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY no, src) - 1 AS place
+  FROM s GROUP BY 1, 2),
+w AS (SELECT *, [5, 2, 1][CAST(place % 3 AS INTEGER) + 1] AS weight, 3 * source_size AS lim FROM per),
+lv AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(lim) OVER (
+      ORDER BY CAST(lim AS DOUBLE) / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / sum(weight) OVER (ORDER BY CAST(lim AS DOUBLE) / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+t AS (
+  SELECT no, src, place, source_size, CASE WHEN level * weight >= lim THEN CAST(lim AS DOUBLE) ELSE weight * (
+    SELECT level FROM lv WHERE level * weight < lim ORDER BY CAST(lim AS DOUBLE) / weight, place LIMIT 1) END AS target FROM lv),
+p AS (
+  SELECT s.*, place, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS words,
+    CAST(coalesce(sum(size) OVER (PARTITION BY no, src ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM s JOIN t USING (no, src)),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS rounds FROM p),
+r AS (
+  SELECT *, CAST(rounds * size + least(greatest(words - rounds * source_size - before, 0), size) AS BIGINT) AS taken,
+    before / nullif(target, 0) AS u FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, taken,
+  CASE WHEN taken > 0 THEN round(CASE place % 3
+    WHEN 0 THEN CASE WHEN u <= 0.625 THEN (1.5 - sqrt(2.25 - 2 * u)) / 1.0
+      ELSE 0.5 + (1.0 - sqrt(1.0 - 2 * (u - 0.625))) END
+    WHEN 1 THEN u
+    ELSE CASE WHEN u <= 0.375 THEN sqrt(0.25 + 2 * u) - 0.5
+      ELSE 0.5 + (sqrt(1.0 + 2 * (u - 0.375)) - 1.0) END END, 9) END AS position
+FROM r
+""",
+}

@@ -7,12 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.llm.mixing import mix
+from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
+from quillcell.llm.topk import exact_top_k, vectors
+from quillcell.session import cut_lineage
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    rows = cut_lineage(vectors(spark.read.parquet(f"{sf}/embeddings.parquet"), zero=False))
+    return multi_index_search(rows.filter("vec_id % 20 = 0"), rows, 20)
+
+
+def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    rows = vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    rows = cut_lineage(rows.withColumn("v", F.transform("v", lambda x: F.floor(64 * x).cast("double"))))
+    return exact_top_k(rows.filter("vec_id % 20 = 0"), rows, 20, integer=True)
+
+
 def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
     first = F.element_at(F.transform("copies", lambda c: c["position"]), F.when(F.size("copies") > 0, F.lit(1)))
@@ -28,8 +42,19 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op3_curriculum_mix, op9_concatenate_cut, op10_odd_sketches)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op3_curriculum_mix, op6_exact_top_k, op9_concatenate_cut, op10_odd_sketches)}
 ORACLES = {
+    "op6_exact_top_k": """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, e.vec_id, CAST(list_inner_product(q.v, e.v) AS BIGINT) AS score
+  FROM e q JOIN e ON q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
+""",
     "op3_curriculum_mix": """
 WITH s AS (
   SELECT doc_id, source IS NULL AS no, coalesce(source, '') AS src, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,

@@ -10,8 +10,10 @@ threshold is dropped before its texts are fetched.
 No step pairs all members of a bucket. Equal shingle sets are one class from the start.
 In round one a class meets only the smallest document of each of its buckets, as a join on
 the key. In round two classes meet only inside buckets that still hold more than one
-component, and only across components. A link that neither round looks at would join two
-documents that are already connected, so components are those of all links.
+component, and only across components. Shingles that no other document of those buckets has
+bound what a document can share, so copies that were each edited on their own, which fill
+large buckets and link to nobody, do not meet. A link that neither round looks at would join
+two documents that are already connected, so components are those of all links.
 
 Texts that reach the threshold share a band but for a chance of ``(1 - t**rows)**bands``
 (below 1e-6 for the defaults at 0.8), and the sketch limit lies 5.5 standard deviations
@@ -148,6 +150,13 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+def _lone_items(sets: DataFrame) -> DataFrame:
+    """``doc_id, lone``: how many shingles of a set no other of these sets has."""
+    once = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(
+        F.count("*").alias("_n"), F.min("doc_id").alias("doc_id")).filter("_n = 1")
+    return once.groupBy("doc_id").agg(F.count("*").alias("lone"))
+
+
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -180,33 +189,30 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 
     first = placed.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     first, first_path = written(first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), "pairs")
-    touched = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-
-    def sets_of(wanted: DataFrame) -> tuple[DataFrame, str]:
-        return written(shingles(text.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), how.shingle), "sets")
-
-    sets, sets_path = sets_of(touched)
+    shared = text.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets, sets_path = written(shingles(shared, how.shingle), "sets")
     links, links_path = written(_confirmed(first, sets, how.percent), "links")
     stars = cut_lineage(component_stars(links))
 
     labelled = placed.join(stars, placed.doc_id == stars.node, "left").select(
         placed.doc_id, "key", F.coalesce("component", placed.doc_id).alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_, open_path = written(
-        labelled.join(mixed.select("key"), "key", "left_semi").join(facts, "doc_id"), "open")
-    x = open_.select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = open_.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-    second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible).select("a", "b")
+    open_, open_path = written(labelled.join(mixed.select("key"), "key", "left_semi"), "open")
+    lone, lone_path = written(_lone_items(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")), "lone")
+    common = F.col("n") - F.coalesce("lone", F.lit(0))
+    known = facts.join(lone, "doc_id", "left").withColumn("common", common).filter(100 * common >= how.percent * F.col("n"))
+    known = open_.join(known.drop("lone"), "doc_id")
+    x, y = (known.select("key", *(F.col(c).alias(f"{p}{end}") for c, p in (
+        ("doc_id", ""), ("label", "l"), ("n", "n"), ("sketch", "s"), ("common", "c")))) for end in "ab")
+    most = F.least("ca", "cb")
+    reach = 100 * most >= how.percent * (F.col("na") + F.col("nb") - most)
+    second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & reach & possible).select("a", "b")
     second, second_path = written(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.limit(1).count():
-        more, more_path = sets_of(
-            second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(touched, "doc_id", "left_anti"))
-        extra = cut_lineage(_confirmed(second, sets.unionByName(more), how.percent))
-        if extra.limit(1).count():
-            stars = cut_lineage(component_stars(links.unionByName(extra)))
-        discard(spark, more_path)
-    for path in (reps_path, placed_path, first_path, sets_path, links_path, open_path, second_path):
+    extra = cut_lineage(_confirmed(second, sets, how.percent))
+    if extra.limit(1).count():
+        stars = cut_lineage(component_stars(links.unionByName(extra)))
+    for path in (reps_path, placed_path, first_path, sets_path, links_path, open_path, lone_path, second_path):
         discard(spark, path)
     classes = least.join(stars, least.rep == stars.node, "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))

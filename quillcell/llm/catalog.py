@@ -10,6 +10,7 @@ from quillcell.llm.mixing import mix
 from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
+from quillcell.llm.pii import KINDS, listed, personal_data
 from quillcell.llm.topk import exact_top_k, vectors
 from quillcell.session import cut_lineage
 
@@ -21,6 +22,14 @@ def op1_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     return multi_index_search(rows.filter("vec_id % 20 = 0"), rows, 20)
 
 
+def op4_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
+    found = personal_data(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    found = found.select("row.doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
+    of = lambda i: lambda x: x["k"] == i
+    counts = [F.size(F.filter("base", of(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
     rows = cut_lineage(rows.withColumn("v", F.transform("v", lambda x: F.floor(64 * x).cast("double"))))
@@ -42,7 +51,7 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op3_curriculum_mix, op6_exact_top_k, op9_concatenate_cut, op10_odd_sketches)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op3_curriculum_mix, op4_weak_supervision, op6_exact_top_k, op9_concatenate_cut, op10_odd_sketches)}
 ORACLES = {
     "op6_exact_top_k": """
 WITH e AS (

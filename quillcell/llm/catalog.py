@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillcell.llm import byte_cnn, language
 from quillcell.llm.mixing import mix
 from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
 from quillcell.llm.pii import KINDS, listed, personal_data
 from quillcell.llm.topk import exact_top_k, vectors
+from quillcell.llm.url_filter import judged, parse
 from quillcell.session import cut_lineage
 
+RULES = (parse("org/", "allow"), parse("example.org/es/", "block"), parse("example.org/en/1", "block"),
+         parse("com/fr/", "allow"), parse("com/de/", "block"))
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -30,12 +34,36 @@ def op4_weak_supervision(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op5_language_bitmask(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    known = language.learn(docs.filter(fold(4) != 2).select("lang", "text"))
+    rows = docs.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string"))
+    return language.predicted(rows, known)
+
+
+def op7_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").cast("string"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(fold(5) != 0).select("doc_id", F.col("quality").alias("y"))
+    network = byte_cnn.learn(docs.join(labels, "doc_id"))
+    out = byte_cnn.scored(docs, network)
+    return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark.read.parquet(f"{sf}/embeddings.parquet"))
     rows = cut_lineage(rows.withColumn("v", F.transform("v", lambda x: F.floor(64 * x).cast("double"))))
     return exact_top_k(rows.filter("vec_id % 20 = 0"), rows, 20, integer=True)
 
 
+def fold(n: int) -> Column:
+    """The remainder that splits documents into folds; null without ``doc_id``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_boosted_url_trees(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url"), RULES)
+
+
 def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
     first = F.element_at(F.transform("copies", lambda c: c["position"]), F.when(F.size("copies") > 0, F.lit(1)))
@@ -51,7 +79,7 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op3_curriculum_mix, op4_weak_supervision, op6_exact_top_k, op9_concatenate_cut, op10_odd_sketches)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op9_concatenate_cut, op10_odd_sketches)}
 ORACLES = {
     "op6_exact_top_k": """
 WITH e AS (

@@ -10,11 +10,14 @@ threshold is dropped before its texts are fetched.
 No step pairs all members of a bucket. Equal shingle sets are one class from the start.
 In round one a class meets only the smallest document of each of its buckets, as a join on
 the key. In round two classes meet only inside buckets that still hold more than one
-component, and only across components. Shingles that no other document of those buckets has
-bound what a document can share, so copies that were each edited on their own, which fill
-large buckets and link to nobody, do not meet. A link that neither round looks at would join
+component, and only across components. A link that neither round looks at would join
 two documents that are already connected, so components are those of all links.
 
+A second bitmap keeps the parity of the full set. Each bit in which two of these differ
+needs an item in which the sets differ, so this count rejects without error, and sharply
+where texts are short; copies that were each edited on their own fill large buckets, and
+mostly fall here.
+
 Texts that reach the threshold share a band but for a chance of ``(1 - t**rows)**bands``
 (below 1e-6 for the defaults at 0.8), and the sketch limit lies 5.5 standard deviations
 above what the threshold gives.
@@ -36,7 +39,7 @@ from quillcell.operators.components import component_stars
 from quillcell.session import cut_lineage, discard, written
 
 SKETCH_BITS = 512
-_WORDS = SKETCH_BITS // 64
+PARITY_BITS = 1024
 
 
 @dataclass(frozen=True)
@@ -77,14 +80,14 @@ def _minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
-    """``doc_id, n_shingles, fp1, fp2, bands, sketch``; the last four are null for an empty set."""
+    """``doc_id, n_shingles, fp1, fp2, bands, sketch, parity``; all but the first two are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _samples(how.seed, how.bands * how.rows)
         which = np.arange(how.bands * how.rows, dtype=U64)
         for batch in batches:
             hashes, counts = token_hashes(batch.column("text"))
-            size, fp1, fp2, mins, full = [], [], [], [], []
+            size, fp1, fp2, mins, even, full = [], [], [], [], [], []
             for items in shingle_sets(hashes, counts, how.shingle):
                 size.append(len(items))
                 full.append(len(items) > 0)
@@ -92,6 +95,8 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
                     fp1.append(items.sum(dtype=U64))
                     fp2.append(mix(items ^ U64(0x5DEECE66D)).sum(dtype=U64))
                     mins.append(_minhash(items, a, b))
+                    per_bit = np.bincount((items & U64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+                    even.append(np.packbits((per_bit & 1).astype(np.uint8)))
             full = np.array(full, dtype=bool)
             n = int(full.sum())
             low = np.array(mins, dtype=np.uint32).reshape(n, how.bands * how.rows)
@@ -100,6 +105,7 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
             bits = (spread >> U64(40)) % U64(SKETCH_BITS) + np.arange(n, dtype=U64)[:, None] * U64(SKETCH_BITS)
             odd = np.bincount(bits.ravel().astype(np.int64), minlength=n * SKETCH_BITS) & 1
             sketch = np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+            parity = np.array(even, dtype=np.uint8).reshape(n, PARITY_BITS // 8).view(np.int64)
             place = np.where(full, np.cumsum(full) - 1, -1)
 
             def lay(values: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -114,11 +120,11 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
             long, longs = pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(long), pa.array(size, long), lay(np.array(fp1, dtype=U64), long),
-                 lay(np.array(fp2, dtype=U64), long), lay(keys, longs), lay(sketch, longs)],
-                ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch"])
+                 lay(np.array(fp2, dtype=U64), long), lay(keys, longs), lay(sketch, longs), lay(parity, longs)],
+                ["doc_id", "n_shingles", "fp1", "fp2", "bands", "sketch", "parity"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>")
+        run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -135,8 +141,8 @@ def shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
 
 
-def _apart(x: str, y: str) -> Column:
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, _WORDS)),
+def _apart(x: str, y: str, bits: int) -> Column:
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, bits // 64)),
                F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
 
@@ -150,13 +156,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-def _lone_items(sets: DataFrame) -> DataFrame:
-    """``doc_id, lone``: how many shingles of a set no other of these sets has."""
-    once = sets.select("doc_id", F.explode("items").alias("item")).groupBy("item").agg(
-        F.count("*").alias("_n"), F.min("doc_id").alias("doc_id")).filter("_n = 1")
-    return once.groupBy("doc_id").agg(F.count("*").alias("lone"))
-
-
 def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
@@ -173,46 +172,51 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     ids = least.select("rep", "fp1", "fp2")
     reps, reps_path = written(
         named.join(ids, (named.doc_id == ids.rep) & (named.fp1 == ids.fp1) & (named.fp2 == ids.fp2), "left_semi")
-        .groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .groupBy("doc_id").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"),
+             F.first("parity").alias("parity")),
         "reps")
     keys = reps.select("doc_id", F.posexplode("bands").alias("_band", "key"))
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("members")).filter("members > 1")
     placed, placed_path = written(keys.select("doc_id", "key").join(buckets.select("key", "lead"), "key"), "placed")
 
-    facts = reps.select("doc_id", "n", "sketch")
+    facts = reps.select("doc_id", "n", "sketch", "parity")
     shorter, longer = F.least("na", "nb"), F.greatest("na", "nb")
-    # sets of n and m items have a similarity of at most n / m
-    possible = (100 * shorter >= how.percent * longer) & (_apart("sa", "sb") <= how.limit())
+    # sets of n and m items have a similarity of at most n / m, and differ in at least as many items as in bits of parity
+    differ = (100 + how.percent) * _apart("pa", "pb", PARITY_BITS) <= (100 - how.percent) * (F.col("na") + F.col("nb"))
+    possible = (100 * shorter >= how.percent * longer) & (_apart("sa", "sb", SKETCH_BITS) <= how.limit()) & differ
 
     def side(x: str) -> DataFrame:
-        return facts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        return facts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"), F.col("parity").alias(f"p{x}"))
 
     first = placed.filter("doc_id <> lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     first, first_path = written(first.join(side("b"), "b").join(side("a"), "a").filter(possible).select("a", "b"), "pairs")
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    shared = text.join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets, sets_path = written(shingles(shared, how.shingle), "sets")
+    touched = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+    def sets_of(wanted: DataFrame) -> tuple[DataFrame, str]:
+        return written(shingles(text.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), how.shingle), "sets")
+
+    sets, sets_path = sets_of(touched)
     links, links_path = written(_confirmed(first, sets, how.percent), "links")
     stars = cut_lineage(component_stars(links))
 
     labelled = placed.join(stars, placed.doc_id == stars.node, "left").select(
         placed.doc_id, "key", F.coalesce("component", placed.doc_id).alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    open_, open_path = written(labelled.join(mixed.select("key"), "key", "left_semi"), "open")
-    lone, lone_path = written(_lone_items(sets.join(open_.select("doc_id").distinct(), "doc_id", "left_semi")), "lone")
-    common = F.col("n") - F.coalesce("lone", F.lit(0))
-    known = facts.join(lone, "doc_id", "left").withColumn("common", common).filter(100 * common >= how.percent * F.col("n"))
-    known = open_.join(known.drop("lone"), "doc_id")
+    known = labelled.join(mixed.select("key"), "key", "left_semi").join(facts, "doc_id")
+    known, open_path = written(known, "open")
     x, y = (known.select("key", *(F.col(c).alias(f"{p}{end}") for c, p in (
-        ("doc_id", ""), ("label", "l"), ("n", "n"), ("sketch", "s"), ("common", "c")))) for end in "ab")
-    most = F.least("ca", "cb")
-    reach = 100 * most >= how.percent * (F.col("na") + F.col("nb") - most)
-    second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & reach & possible).select("a", "b")
+        ("doc_id", ""), ("label", "l"), ("n", "n"), ("sketch", "s"), ("parity", "p")))) for end in "ab")
+    second = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & possible).select("a", "b")
     second, second_path = written(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    extra = cut_lineage(_confirmed(second, sets, how.percent))
-    if extra.limit(1).count():
-        stars = cut_lineage(component_stars(links.unionByName(extra)))
-    for path in (reps_path, placed_path, first_path, sets_path, links_path, open_path, lone_path, second_path):
+    if second.limit(1).count():
+        more, more_path = sets_of(
+            second.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().join(touched, "doc_id", "left_anti"))
+        extra = cut_lineage(_confirmed(second, sets.unionByName(more), how.percent))
+        if extra.limit(1).count():
+            stars = cut_lineage(component_stars(links.unionByName(extra)))
+        discard(spark, more_path)
+    for path in (reps_path, placed_path, first_path, sets_path, links_path, open_path, second_path):
         discard(spark, path)
     classes = least.join(stars, least.rep == stars.node, "left").select(
         "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("class_id"))

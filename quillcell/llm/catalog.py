@@ -12,6 +12,7 @@ from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
 from quillcell.llm.pii import KINDS, listed, personal_data
+from quillcell.llm.pitman_yor import neighbours, scores
 from quillcell.llm.topk import exact_top_k, vectors
 from quillcell.llm.url_filter import judged, parse
 from quillcell.session import cut_lineage
@@ -70,6 +71,12 @@ def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"))
 
 
+def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = scores(docs, fold(7) != 2, neighbours())
+    return out
+
+
 def op9_concatenate_cut(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER)
 
@@ -79,7 +86,7 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op9_concatenate_cut, op10_odd_sketches)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op8_pitman_yor, op9_concatenate_cut, op10_odd_sketches)}
 ORACLES = {
     "op6_exact_top_k": """
 WITH e AS (

@@ -92,16 +92,16 @@ def position(share: Column, place: Column, schedules: Sequence[Sequence[float]])
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3,
-        schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False) -> DataFrame:
+        schedules: Sequence[Sequence[float]] = SCHEDULES, whole: bool = False, with_text: bool = False) -> DataFrame:
     """``row, size, source_size, target, copies, taken`` for every row of ``docs``.
 
-    ``row`` is the struct of all columns of ``docs`` but ``text``, so no name can clash.
+    ``row`` is the struct of all columns of ``docs``, ``text`` only ``with_text``, so no name can clash.
     ``copies`` is an array of ``position, words``: full rounds, then the share of the last
     one; ``taken`` sums its words. With ``whole`` the last document is taken in full or not
     at all, whichever is nearer. A null text has size 0 and no copies; a null source is a
     source of its own, the last; repeated rows are rows of their own. No rows, no result.
     """
-    keep = [c for c in docs.columns if c != "text"]
+    keep = [F.col(f"`{c}`") for c in docs.columns if with_text or c != "text"]
     sized = word_counts(docs.select(
         F.struct(*keep).alias("row"), F.col("text").cast("string").alias("text"), F.col("source").isNull().alias("_null"),
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"),
@@ -113,8 +113,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3,
     sums = sized.groupBy(*key).agg(F.sum("_size").alias("_sum")).select(
         *key, F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
     local = Window.partitionBy(*key).orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("_local", F.coalesce(F.sum("_size").over(local), F.lit(0))).join(sums, key)
-    full = placed.join(targets(sized, weights, most), ["_null", "_src"])
+    # all that a document needs is in one row per bucket, so its own row is shuffled once
+    facts = sums.join(targets(sized, weights, most), ["_null", "_src"])
+    full = sized.withColumn("_local", F.coalesce(F.sum("_size").over(local), F.lit(0))).join(facts, key)
     words_ = F.floor(F.col("target") + 0.5).cast("long")
     rounds = F.when(F.col("source_size") > 0, F.floor(words_ / F.nullif("source_size", F.lit(0))).cast("long")).otherwise(F.lit(0))
     full = full.withColumn("_rounds", rounds).withColumn("_left", words_ - F.col("_rounds") * F.col("source_size"))
@@ -134,3 +135,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = 3,
     return full.withColumn("copies", copies).select(
         "row", F.col("_size").alias("size"), "source_size", "target", "copies",
         F.aggregate("copies", F.lit(0).cast("long"), lambda s, c: s + c["words"]).alias("taken"))
+
+
+def training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The ``columns`` of each copy that was taken, sorted by training position over the whole table.
+
+    Copies with one position follow one another by the hash of their document.
+    """
+    each = mixed.select("row", F.explode("copies").alias("copy"))
+    spread = F.xxhash64(F.col("row.doc_id"))
+    keyed = each.select("row", F.col("copy.position").alias("_position"), spread.alias("_spread"))
+    ordered = keyed.repartitionByRange("_position", "_spread").sortWithinPartitions("_position", "_spread")
+    return ordered.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))

@@ -224,3 +224,12 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_copies(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
+
+    Of rows that repeat a ``doc_id`` all stay or go together; those without one stay.
+    """
+    gone = near_duplicates(docs, how).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

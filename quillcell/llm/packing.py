@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,9 +26,8 @@ from pyspark.sql import functions as F
 from quillcell.session import cut_lineage
 
 _ROWS = 256
-_WORDS = 4096
-#: Words whose ids a Python worker keeps; others are encoded anew in each batch that has them.
-KEPT_WORDS = 500_000
+#: Words and pieces of words whose ids a Python worker keeps; others are encoded anew in each batch that has them.
+KEPT_WORDS, KEPT_PIECES = 500_000, 300_000
 
 
 def drops_white_space(spec: dict) -> bool:
@@ -40,45 +40,77 @@ def drops_white_space(spec: dict) -> bool:
     )
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if visible in Latin-1, else the next from 256 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {**{b: chr(b) for b in visible}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+#: Words for which lower-casing is letter by letter and no rule of Unicode composition or white space is in doubt.
+_PLAIN = re.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0132-\u0148\u014a-\u0177\u0179-\u017e]+")
+
+
 class Encoder:
-    """Token ids of texts as bytes, little-endian, two bytes an id where the vocabulary allows."""
+    """Token ids of texts as bytes, little-endian, two bytes an id where the vocabulary allows.
+
+    Where the tokenizer drops white space, ids are kept by word. The pieces of a new plain
+    word go to the tokenizer's model one by one and are kept too; any other word goes
+    through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.by_word = drops_white_space(spec)
+        steps = [s["type"] for s in (spec.get("normalizer") or {}).get("normalizers", [])]
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.pieces = None
+        if self.by_word and steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in before] == ["Split", "ByteLevel"]:
+            self.pieces = regex.compile(before[0]["pattern"]["Regex"])
+        self.letters = byte_letters()
+        self.special = [t["content"] for t in spec["added_tokens"]]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {"": b""}
+        self.known_pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], dtype=self.dtype).tobytes()
+        if len(self.known_pieces) < KEPT_PIECES:
+            self.known_pieces[piece] = ids
+        return ids
 
     def _encode_words(self, words: list[str]) -> dict[str, bytes]:
-        out = {}
-        for at in range(0, len(words), _WORDS):
-            part = words[at : at + _WORDS]
-            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            owner = np.array(found.word_ids, dtype=np.int64)
-            ids = np.array(found.ids, dtype=self.dtype)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(part)))])
-            raw, step = ids.tobytes(), self.dtype.itemsize
-            for i, word in enumerate(part):
-                out[word] = raw[ends[i] * step : ends[i + 1] * step]
+        out, rest, known = {}, [], self.known_pieces
+        for word in words:
+            if self.pieces and _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
+                out[word] = b"".join([known.get(p) or self._piece(p) for p in self.pieces.findall(word.lower())])
+            else:
+                rest.append(word)
+        for word, found in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
+            out[word] = np.array(found.ids, dtype=self.dtype).tobytes()
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_word:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.words
-        new = list({w for ws in split for w in ws if w not in known})
-        if new:
-            found = self._encode_words(new)
-            if len(known) < KEPT_WORDS:
-                known.update(found)
-            else:
-                known = {**found, **{w: known[w] for ws in split for w in ws if w in known}}
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        get = self.words.get
+        parts = [list(map(get, ws)) for ws in split]
+        open_ = [(p, i, ws[i]) for p, ws in zip(parts, split) if None in p for i, x in enumerate(p) if x is None]
+        if open_:
+            found = self._encode_words(list({w for _, _, w in open_}))
+            for p, i, w in open_:
+                p[i] = found[w]
+            if len(self.words) < KEPT_WORDS:
+                self.words.update(found)
+        return [b"".join(p) for p in parts]
 
 
 @lru_cache(maxsize=2)

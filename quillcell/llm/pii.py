@@ -29,16 +29,16 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 #: ``\\G`` lets a match begin inside a run whose first part the match before has taken.
 STRICT = {
-    "email": ("@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
-    "ip": (".", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": (None, r"[0-9](?:[\x20-]?[0-9])++"),
-    "phone": ("+", r"\+[0-9][\x20().0-9-]+[0-9]"),
+    "email": (("@",), rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
+    "ip": ((), r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": ((), r"[0-9](?:[\x20-]?[0-9])++"),
+    "phone": (("+",), r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 LOOSE = {
-    "email": ("at", rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{{1,63}}){{1,8}}"),
-    "ip": (":", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
-    "card": (None, r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
-    "phone": (None, r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
+    "email": (("(at)", "[at]", "(AT)", "[AT]"), rf"(?i)(?<!{_LOCAL}){_LOCAL}{{1,64}}\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{{1,63}}(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{{1,63}}){{1,8}}"),
+    "ip": ((":",), r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card": ((), r"(?<![0-9])[0-9](?:[\x20.-]?[0-9]){12,18}(?![0-9])"),
+    "phone": ((), r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])"),
 }
 ENDINGS = ("com", "org", "net", "edu", "gov", "int", "info", "io", "de", "fr", "es", "it", "nl", "uk", "eu", "ch", "at")
 CALLING = ("+1", "+33", "+34", "+39", "+44", "+49")
@@ -51,14 +51,18 @@ BEFORE = {
 AGAINST = "(?i)(token|key|secret|hash|sha|id|isbn|version|order|ref)[\\x20]*[:=#]?[\\x20]*[\"']?$"
 
 
-def _matches(text: Column, rule: tuple[str | None, str]) -> Column:
-    """All matches, without scanning texts that lack the pattern's fixed character."""
-    sign, pattern = rule
-    guard = text.contains(sign) if sign else text.rlike("[0-9]")
+def _matches(text: Column, rule: tuple[tuple[str, ...], str]) -> Column:
+    """All matches, without scanning texts that lack what every match holds: one of the signs, or a digit."""
+    signs, pattern = rule
+    guard = F.col("_digit")
+    if signs:
+        guard = text.contains(signs[0])
+        for sign in signs[1:]:
+            guard = guard | text.contains(sign)
     return F.when(guard, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def _starts(text: Column, found: Column, rule: tuple[str | None, str]) -> Column:
+def _starts(text: Column, found: Column, rule: tuple[tuple[str, ...], str]) -> Column:
     """Where each match begins, from the pieces between matches; scanned only if there are any."""
     gaps = F.when(F.size(found) > 0, F.transform(F.split(text, rule[1], -1), F.length)).otherwise(F.array().cast("array<int>"))
     return F.struct(found.alias("m"), gaps.alias("g"))
@@ -151,6 +155,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     """``row, spans``: the struct of all columns of ``docs`` and its spans with votes and features."""
     t = F.col("_text")
     found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    found = found.withColumn("_digit", t.rlike("[0-9]"))
     found = found.select("row", "_text", *(_matches(t, STRICT[k]).alias(f"m_{k}") for k in KINDS), *(_matches(t, LOOSE[k]).alias(f"l_{k}") for k in KINDS))
     found = found.select(
         "row", "_text", *(_starts(t, F.col(f"m_{k}"), STRICT[k]).alias(f"m_{k}") for k in KINDS),

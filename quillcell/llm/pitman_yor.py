@@ -36,7 +36,8 @@ CLASS_BITS = 5
 _FIRST = (1 << CLASS_BITS) - 1
 _END = U64(0x1B873593CC9E2D51)
 BLOCK = 8192
-_WORDS_A_BUCKET = 4096
+_ROWS = 1024
+_ROWS_A_BUCKET = 4096
 
 
 @dataclass(frozen=True)
@@ -82,13 +83,21 @@ def _requests(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, row = _stream(batch.column("text"))
-            block = batch.column("block").to_numpy(zero_copy_only=False)
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            for b in np.unique(block):
-                mine = (block == b)[row]
-                distinct, back = np.unique(key[mine], return_inverse=True)
-                count = np.bincount(back, weights=train[row[mine]], minlength=len(distinct)).astype(np.int64)
+            whose = batch.column("block").to_numpy(zero_copy_only=False)
+            parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for at in range(0, batch.num_rows, _ROWS):
+                rows = batch.slice(at, _ROWS)
+                key, row = _stream(rows.column("text"))
+                train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
+                for b in np.unique(whose[at : at + _ROWS]):
+                    mine = (whose[at : at + _ROWS] == b)[row]
+                    distinct, back = np.unique(key[mine], return_inverse=True)
+                    count = np.bincount(back, weights=train[row[mine]], minlength=len(distinct)).astype(np.uint32)
+                    parts.setdefault(int(b), []).append((distinct, count))
+            for b in sorted(parts):
+                keys, counts = (np.concatenate(x) for x in zip(*parts.pop(b)))
+                distinct, back = np.unique(keys, return_inverse=True)
+                count = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
                 bucket = (distinct >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), dtype=np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
                 ends = np.append(cut[1:], len(distinct))
@@ -276,7 +285,7 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
         rows = cut_lineage(rows)
         rows = rows.select("doc_id", "text", "train", neighbours().alias("block"))
     count = rows.count()
-    bits = max(0, int(np.ceil(np.log2(max(1, count / _WORDS_A_BUCKET)))))
+    bits = max(0, int(np.ceil(np.log2(max(1, count / _ROWS_A_BUCKET)))))
     packed = cut_lineage(_packed(_requests(rows, bits)))
     model = fit(packed, how)
     n, v = model.tokens, model.words
@@ -288,10 +297,10 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
         base = np.log10((known + 1) / (n + v + 1))
         every, out = [], []
         left = left.combine_chunks()
-        for batch in left.to_batches(max_chunksize=2048):
+        for batch in left.to_batches(max_chunksize=_ROWS):
             every.append(np.unique(_stream(batch.column("text"))[0]))
         distinct = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=U64)
-        for batch in left.to_batches(max_chunksize=2048):
+        for batch in left.to_batches(max_chunksize=_ROWS):
             key, row = _stream(batch.column("text"))
             at = np.searchsorted(distinct, key)
             size = batch.num_rows

@@ -162,11 +162,13 @@ def candidates(docs: DataFrame) -> DataFrame:
         *(_starts(t, F.col(f"l_{k}"), LOOSE[k]).alias(f"l_{k}") for k in KINDS))
     found = found.select("row", "_text", *(_place(F.col(f"m_{k}")).alias(f"m_{k}") for k in KINDS), *(_place(F.col(f"l_{k}")).alias(f"l_{k}") for k in KINDS))
     checked = lambda k: lambda x: valid(k, x["m"])
-    apart = lambda k: lambda x: ~F.exists(f"m_{k}", lambda y: (x["s"] < y["s"] + F.length(y["m"])) & (y["s"] < x["s"] + F.length(x["m"])))
+    # a looser span may touch no strict one of any kind
+    apart = lambda x: ~F.exists("_strict", lambda y: (x["s"] < y["s"] + F.length(y["m"])) & (y["s"] < x["s"] + F.length(x["m"])))
     judge = lambda k, strict: lambda x: _judged(k, t, x, strict)
     found = found.select("row", "_text", *(F.filter(f"m_{k}", checked(k)).alias(f"m_{k}") for k in KINDS), *(f"l_{k}" for k in KINDS))
+    found = found.withColumn("_strict", F.concat(*(F.col(f"m_{k}") for k in KINDS)))
     judged = [F.transform(f"m_{k}", judge(k, True)) for k in KINDS]
-    judged += [F.transform(F.filter(f"l_{k}", apart(k)), judge(k, False)) for k in KINDS]
+    judged += [F.transform(F.filter(f"l_{k}", apart), judge(k, False)) for k in KINDS]
     return found.select("row", F.concat(*judged).alias("spans"))
 
 

@@ -40,6 +40,7 @@ from quillcell.session import cut_lineage, discard, written
 
 SKETCH_BITS = 512
 PARITY_BITS = 1024
+_FILTER_BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -127,18 +128,32 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
         run, "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def shingles(docs: DataFrame, k: int) -> DataFrame:
-    """``doc_id, items``: the distinct shingle hashes of each text."""
+def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``doc_id, items``: the distinct shingle hashes of the documents whose id ``wanted`` holds.
+
+    A bitmap of the hashes of these ids, of one fixed size, keeps most other texts out of
+    the shuffle; the join that follows is exact.
+    """
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(_FILTER_BITS))
+    marks = wanted.select(spread.alias("h")).groupBy(F.floor(F.col("h") / 64).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(h % 64 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(_FILTER_BITS // 64, dtype=np.int64)
+    bitmap[marks.column("at").to_numpy()] = marks.column("bits").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap.view(U64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column("h").to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array((shared.value[h // 64] >> (h % 64).astype(U64)) & U64(1) == 1))
             sets = list(shingle_sets(*token_hashes(batch.column("text")), k))
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, dtype=U64), *sets]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], ["doc_id", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, items array<long>")
+    named = docs.filter("doc_id is not null").select("doc_id", "text", spread.alias("h"))
+    found = named.mapInArrow(run, "doc_id long, items array<long>")
+    return found.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def _apart(x: str, y: str, bits: int) -> Column:
@@ -194,7 +209,7 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     touched = first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
     def sets_of(wanted: DataFrame) -> tuple[DataFrame, str]:
-        return written(shingles(text.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), how.shingle), "sets")
+        return written(shingles(text, wanted, how.shingle), "sets")
 
     sets, sets_path = sets_of(touched)
     links, links_path = written(_confirmed(first, sets, how.percent), "links")

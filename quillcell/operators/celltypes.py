@@ -84,8 +84,12 @@ def annotate_clusters(m: Matrix, clusters: DataFrame, markers: DataFrame) -> Dat
     return benjamini_hochberg(tested, "p_val", "padj").select("cluster", "cell_type", "activity", "p_val", "padj", "markers")
 
 
-def best_cell_types(table: DataFrame) -> DataFrame:
-    """The most active cell type per cluster, 'Unknown' when it is not significant."""
-    w = Window.partitionBy("cluster").orderBy(F.round("activity", 6).desc(), F.asc("cell_type"))
+def best_cell_types(table: DataFrame, digits: int | None = None) -> DataFrame:
+    """The most active cell type per cluster, 'Unknown' when it is not significant.
+
+    With ``digits`` activities that agree to so many places count as ties, which go by name.
+    """
+    activity = F.col("activity") if digits is None else F.round("activity", digits)
+    w = Window.partitionBy("cluster").orderBy(activity.desc(), F.asc("cell_type"))
     top = table.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
     return top.withColumn("cell_type", F.when(F.col("padj") > UNKNOWN_ABOVE, "Unknown").otherwise(F.col("cell_type")))

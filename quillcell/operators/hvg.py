@@ -52,9 +52,13 @@ def binned_dispersion(m: Matrix, bins: int = 20) -> DataFrame:
     )
 
 
-def seurat(m: Matrix, n: int = 1000, bins: int = 20) -> DataFrame:
-    """Genes by normalised dispersion; genes alone in their bin have no z and come last."""
-    order = [F.round("z", 6).desc_nulls_last(), F.asc("gene")]
+def seurat(m: Matrix, n: int = 1000, bins: int = 20, digits: int | None = None) -> DataFrame:
+    """Genes by normalised dispersion; genes alone in their bin have no z and come last.
+
+    With ``digits`` values that agree to so many places count as ties, which go by name.
+    """
+    z = F.col("z") if digits is None else F.round("z", digits)
+    order = [z.desc_nulls_last(), F.asc("gene")]
     return ranked(binned_dispersion(m, bins), order, n)
 
 

@@ -49,16 +49,20 @@ def genes_per_cluster(m: Matrix, clusters: DataFrame) -> DataFrame:
     return genes_per_cell(m).join(clusters, "cell").select("cluster", "cell", "genes")
 
 
-def top_genes_per_cluster(m: Matrix, clusters: DataFrame, top: int = 10) -> DataFrame:
-    """The ``top`` genes of each cluster by mean; the row limit is applied before the shuffle."""
+def top_genes_per_cluster(m: Matrix, clusters: DataFrame, top: int = 10, digits: int | None = None) -> DataFrame:
+    """The ``top`` genes of each cluster by mean; the row limit is applied before the shuffle.
+
+    With ``digits`` means that agree to so many places count as ties, which go by name.
+    """
     means = group_moments(m, clusters).select("gene", "cluster", "mean")
-    w = Window.partitionBy("cluster").orderBy(F.round("mean", 6).desc(), F.asc("gene"))
+    mean = F.col("mean") if digits is None else F.round("mean", digits)
+    w = Window.partitionBy("cluster").orderBy(mean.desc(), F.asc("gene"))
     return means.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
-def top_gene_values(m: Matrix, clusters: DataFrame, top: int = 10) -> DataFrame:
+def top_gene_values(m: Matrix, clusters: DataFrame, top: int = 10, digits: int | None = None) -> DataFrame:
     """The values of each cluster's top genes in its cells, zeros included."""
-    genes = top_genes_per_cluster(m, clusters, top).select("cluster", "gene", "rank")
+    genes = top_genes_per_cluster(m, clusters, top, digits).select("cluster", "gene", "rank")
     wanted = genes.join(clusters, "cluster")
     return wanted.join(m.expr, ["gene", "cell"], "left").select(
         "cluster", "gene", "rank", "cell", F.coalesce("value", F.lit(0.0)).alias("value")

@@ -10,7 +10,7 @@ from dataclasses import asdict, dataclass, fields
 DATA_FORMATS = ("raw", "rpkm", "log2")
 DELIMITERS = ("auto", "tab", "space")
 HEADERS = ("auto", "yes", "no")
-HVG_METHODS = ("seurat", "brennecke", "scran", "Chen2016", "M3Drop_smartseq2", "M3Drop_UMI")
+HVG_METHODS = ("seurat", "Brennecke2013", "scran", "Chen2016", "M3Drop_smartseq2", "M3Drop_UMI")
 PCA_METHODS = ("irlb", "regular")
 PARTITIONS = ("RBERVertexPartition", "ModularityVertexPartition")
 EMBEDDINGS = ("tSNE", "UMAP")

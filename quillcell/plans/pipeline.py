@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from dataclasses import asdict, dataclass
 
@@ -16,7 +17,7 @@ from quillcell.operators.knn import neighbour_table
 from quillcell.operators.layout import tsne, umap
 from quillcell.operators.normalize import normalize
 from quillcell.params import PipelineParams
-from quillcell.plans.stages import StageStore, exists, read_text, write_text
+from quillcell.plans.stages import StageStore, exists, input_mark, read_text, write_text
 from quillcell.sources import archives, matrices, sinks, tables
 
 log = logging.getLogger("quillcell")
@@ -46,8 +47,8 @@ def find_variable_genes(method: str, n: int, norm: Matrix, raw: Matrix | None =
     """Dispatch over the six methods; the count-based one takes the raw matrix."""
     if method == "seurat":
         return hvg.seurat(norm, n)
-    if method == "brennecke":
-        return hvg.brennecke(norm, n)
+    if method == "Brennecke2013":
+        return hvg.brennecke(norm, n, spikes if spikes is not None and not spikes.expr.isEmpty() else None)
     if method == "scran":
         if spikes is None:
             raise MatrixError("this method needs spike-in genes")
@@ -65,7 +66,9 @@ class Pipeline:
     def __init__(self, spark: SparkSession, params: PipelineParams):
         self.spark, self.p = spark, params
         self.out = params.output.rstrip("/")
-        self.store = StageStore(spark, self.out)
+        side = ("filename", "annotations", "custom_clustering", "add_celltypes", "markers", "symbol_map", "exon_lengths", "gene_gtf")
+        marks = "|".join(input_mark(getattr(params, name, None)) for name in side)
+        self.store = StageStore(spark, self.out, hashlib.sha256(marks.encode()).hexdigest()[:8])
 
     # ---- input -----------------------------------------------------------
 
@@ -181,7 +184,7 @@ class Pipeline:
         if p.annotations:
             long = tables.annotate(long, tables.annotations(self.spark, p.annotations))
         sinks.write_csv(sinks.rename(long, sinks.LONG_NAMES), sinks.target(self.out, "t_tests_long"), "\t", True)
-        sinks.write_csv(contrasts.wide_p_values(result), sinks.target(self.out, "t_tests"), ",", True)
+        sinks.write_lines(sinks.wide_lines(result, "comparison", "p_val", ","), sinks.target(self.out, "t_tests"))
         ordered = found.orderBy("cluster", "pvalue_simes", "gene")
         sinks.write_csv(sinks.rename(ordered, sinks.SIMES_NAMES), sinks.target(self.out, "markers"), "\t", True)
         return result, found
@@ -191,10 +194,11 @@ class Pipeline:
         medians = self.store.get("medians", self.p.digest(*_TARGET), lambda: aggregates.group_median(restricted, targets))
         means = aggregates.group_moments(restricted, targets).select("gene", "cluster", "mean")
         for df, value, name in ((medians, "median", "median"), (means, "mean", "mean")):
-            wide = aggregates.to_wide(df, "cluster", value)
+            extra = None
             if self.p.annotations:
-                wide = tables.annotate(wide, tables.annotations(self.spark, self.p.annotations))
-            sinks.write_csv(wide, sinks.target(self.out, name), "\t", True)
+                df = tables.annotate(df, tables.annotations(self.spark, self.p.annotations))
+                extra = [c for c in df.columns if c not in ("gene", "cluster", value)]
+            sinks.write_lines(sinks.wide_lines(df, "cluster", value, "\t", extra), sinks.target(self.out, name))
         return medians
 
     def cell_types(self, d: Loaded, targets: DataFrame) -> tuple[DataFrame, DataFrame] | None:

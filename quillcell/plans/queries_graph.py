@@ -40,12 +40,17 @@ def g02(spark, sf):
 
 @query("G03_components", """WITH k AS (SELECT o_orderkey AS node, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)
   OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM orders)
-SELECT node, min(node) OVER (PARTITION BY coalesce(run, 0)) AS component FROM k""")
+SELECT (node * 2654435761) % 4294967296 AS node,
+  min((node * 2654435761) % 4294967296) OVER (PARTITION BY coalesce(run, 0)) AS component FROM k""")
 def g03c(spark, sf):
-    # consecutive orders are linked unless the first is urgent
+    # consecutive orders are linked unless the first is urgent; an odd factor shuffles the ids, so they do not rise along a path
+    def spread(key):
+        return (key * 2654435761) % 4294967296
+
     o = ad.table(spark, sf, "orders")
-    nodes = o.select(F.col("o_orderkey").alias("node"))
-    links = o.filter("o_orderpriority <> '1-URGENT'").select(F.col("o_orderkey").alias("src"), (F.col("o_orderkey") + 1).alias("dst"))
+    key = F.col("o_orderkey").cast("long")
+    nodes = o.select(spread(key).alias("node"))
+    links = o.filter("o_orderpriority <> '1-URGENT'").select(spread(key).alias("src"), spread(key + 1).alias("dst"))
     return connected_components(nodes, links.join(nodes, F.col("dst") == F.col("node"), "left_semi"))
 
 
@@ -134,7 +139,7 @@ k AS (SELECT gene, cluster, row_number() OVER (PARTITION BY cluster ORDER BY rou
 SELECT k.cluster, k.gene, CAST(rank AS INTEGER) AS rank, cl.cell, {R('coalesce(v, 0)')} AS value FROM k JOIN cl ON k.cluster = cl.cluster
 LEFT JOIN nrm ON nrm.gene = k.gene AND nrm.cell = cl.cell WHERE rank <= 5""")
 def v06(spark, sf):
-    t = V.top_gene_values(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), 5)
+    t = V.top_gene_values(log_normalize(ad.line_counts(spark, sf)), ad.supplier_clusters(spark, sf), 5, 6)
     return t.select("cluster", "gene", "rank", "cell", r6("value"))
 
 

@@ -333,7 +333,7 @@ k AS (SELECT gene, cluster, mean, row_number() OVER (PARTITION BY cluster ORDER
 SELECT gene, cluster, {R('mean')} AS mean, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 10""")
 def w09(spark, sf):
     m = log_normalize(ad.line_counts(spark, sf))
-    return top_genes_per_cluster(m, ad.supplier_clusters(spark, sf), 10).select("gene", "cluster", r6("mean"), "rank")
+    return top_genes_per_cluster(m, ad.supplier_clusters(spark, sf), 10, 6).select("gene", "cluster", r6("mean"), "rank")
 
 
 @query("W12_argmax", f"""WITH {LINE} SELECT gene, max_by(cell, (value, cell)) AS top_cell, min_by(cell, (value, cell)) AS low_cell FROM m GROUP BY 1""")
@@ -438,14 +438,14 @@ SELECT gene, {R('mean')} AS mean, {R('d')} AS dispersion, bin, {R('z')} AS z,
   CAST(row_number() OVER (ORDER BY round(z, 6) DESC NULLS LAST, gene) AS INTEGER) AS rank FROM zz
 ORDER BY round(z, 6) DESC NULLS LAST, gene LIMIT 1000""")
 def h01(spark, sf):
-    top = seurat(log_normalize(ad.line_counts(spark, sf)), 1000)
+    top = seurat(log_normalize(ad.line_counts(spark, sf)), 1000, digits=6)
     return top.select("gene", r6("mean"), r6("dispersion"), "bin", r6("z"), "rank")
 
 
 def flagship(spark, sf, n=50):
     """Filter, normalise and rank the variable genes of the part x supplier matrix."""
     m = FI.min_expressed(FI.min_reads(ad.line_counts(spark, sf).stored(), 1000).stored(), 2.0).stored()
-    return seurat(log_normalize(m), n).select("gene", r6("mean"), r6("dispersion"), "bin", r6("z"), "rank")
+    return seurat(log_normalize(m), n, digits=6).select("gene", r6("mean"), r6("dispersion"), "bin", r6("z"), "rank")
 
 
 @query("flagship_filter_normalize_hvg", f"""WITH m0 AS (

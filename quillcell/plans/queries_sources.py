@@ -177,7 +177,7 @@ def s23(spark, sf):
 @query("K06_hvg_list")
 def k06(spark, sf):
     """The variable genes as the pipeline writes them."""
-    top = seurat(log_normalize(ad.line_counts(spark, sf)), 500)
+    top = seurat(log_normalize(ad.line_counts(spark, sf)), 500, digits=6)
     path = scratch_path(spark, "hvg")
     SK.write_single(top.orderBy("rank").select("gene"), path)
     return spark.read.csv(path, schema="gene string")

@@ -161,7 +161,7 @@ def c01_full(spark, sf):
 SELECT cluster, CASE WHEN padj > 0.10 THEN 'Unknown' ELSE cell_type END AS cell_type, {R('activity')} AS activity, {R('p')} AS p_val, {R('padj')} AS padj, markers FROM bst WHERE rn = 1""")
 def c01_best(spark, sf):
     t = C.annotate_clusters(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf), _markers(spark, sf))
-    return C.best_cell_types(t).select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
+    return C.best_cell_types(t, 6).select("cluster", "cell_type", r6("activity"), r6("p_val"), r6("padj"), "markers")
 
 
 @query("C02_S21_F16_symbols", f"""WITH {LINE}, sy AS (SELECT CAST(p_partkey AS VARCHAR) AS gene, 'SYM' || CAST(p_partkey % 1500 AS VARCHAR) AS symbol FROM part),

@@ -4,30 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from quillcell.session import file_system, qualified
 
-def resolve(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
-
-def exists(path: str) -> bool:
-    system, local = resolve(path)
-    return system.get_file_info(local).type != fs.FileType.NotFound
+def write_text(path: str, text: str) -> None:
+    """A small file, written through the file system that Spark would use for the path."""
+    system, where = file_system(path)
+    system.mkdirs(where.getParent())
+    stream = system.create(where, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
 
 
 def read_text(path: str) -> str:
-    system, local = resolve(path)
-    with system.open_input_file(local) as f:
-        return f.read().decode()
+    row = SparkSession.active().read.text(qualified(path), wholetext=True).first()
+    return row[0] if row else ""
 
 
-def write_text(path: str, text: str) -> None:
-    system, local = resolve(path)
-    system.create_dir(local.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(local) as f:
-        f.write(text.encode())
+def exists(path: str) -> bool:
+    system, where = file_system(path)
+    return system.exists(where)
+
+
+def input_mark(path: str | None) -> str:
+    """Name, length and time of change of an input, so that a changed file makes a stage stale."""
+    if not path or not exists(path):
+        return str(path)
+    system, where = file_system(path)
+    status = system.getFileStatus(where)
+    return f"{qualified(path)}:{status.getLen()}:{status.getModificationTime()}"
 
 
 class StageStore:
@@ -37,11 +46,13 @@ class StageStore:
     while writing starts that stage again.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, inputs: str = ""):
+        """``inputs`` stands for the state of the input files, see :func:`input_mark`."""
+        self.inputs = inputs
+        self.spark, self.root = spark, qualified(root.rstrip("/"))
 
     def path(self, name: str, digest: str) -> str:
-        return f"{self.root}/stages/{name}-{digest}"
+        return f"{self.root}/stages/{name}-{digest}{self.inputs}"
 
     def get(self, name: str, digest: str, build: Callable[[], DataFrame]) -> DataFrame:
         path = self.path(name, digest)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,3 +73,16 @@ def discard(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder, for tables a plan writes and reads back."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+
+
+def file_system(path: str) -> tuple[JavaObject, JavaObject]:
+    """Hadoop's file system and path object, as Spark itself would resolve ``path``."""
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def qualified(path: str) -> str:
+    """``path`` with scheme and full folder, so that all parts of a run mean the same place."""
+    system, where = file_system(path)
+    return system.makeQualified(where).toString()

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import os
 import shutil
 import tarfile
 import zipfile
@@ -18,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 
 from quillcell.operators.filters import MatrixError
-from quillcell.session import scratch_path
+from quillcell.session import qualified, scratch_path
 from quillcell.sources.matrices import MTX_FILES
 
 # Magic bytes of the accepted containers.
@@ -26,8 +27,13 @@ MAGIC = ((b"\x1f\x8b", "gzip"), (b"PK\x03\x04", "zip"), (b"BZh", "bzip2"))
 _PIECE = 1 << 20
 
 
+def _uri(path: str) -> str:
+    """A path as a URI; one without a scheme is taken from the working folder."""
+    return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
+
+
 def _open(path: str):
-    system, local = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    system, local = fs.FileSystem.from_uri(_uri(path))
     return system.open_input_file(local)
 
 
@@ -69,7 +75,7 @@ def _is_gzipped_tar(path: str) -> bool:
 
 
 def _extract(path: str, kind: str, out: str) -> list[str]:
-    system, root = fs.FileSystem.from_uri(out if "://" in out or out.startswith("file:") else f"file://{out}")
+    system, root = fs.FileSystem.from_uri(_uri(out))
     system.create_dir(root, recursive=True)
 
     def save(name: str, stream) -> str:
@@ -105,6 +111,7 @@ def unpack(spark: SparkSession, path: str) -> tuple[str, str]:
 
     A corrupt stream fails the task, which is the integrity check.
     """
+    path = qualified(path)
     check_not_empty(path)
     kind = container(path)
     if kind == "text":

@@ -50,6 +50,29 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = False) ->
     df.write.mode("overwrite").csv(path, sep=sep, header=header)
 
 
+def wide_lines(df: DataFrame, column: str, value: str, sep: str, first: list[str] | None = None) -> DataFrame:
+    """One packed line per gene with a field per distinct ``column``, and the header before them.
+
+    There is no pivot, so any number of clusters or comparisons fits; a line has as many
+    fields as the table has columns. ``first`` are further columns of the gene, put after it.
+    """
+    lead = ["gene", *(first or [])]
+    names = df.select(F.col(column).cast("string").alias("c")).distinct()
+    labels = names.agg(F.array_sort(F.collect_set("c")).alias("labels"))
+    cell = F.struct(F.col(column).cast("string").alias("k"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
+    packed = df.groupBy(*lead).agg(F.map_from_entries(F.collect_set(cell)).alias("cells"))
+    fields = F.transform(F.col("labels"), lambda k: F.coalesce(F.element_at("cells", k), F.lit("")))
+    body = packed.withColumn("labels", labels.scalar()).select(
+        F.lit(1).alias("o"), F.col("gene").alias("g"), F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in lead), fields).alias("value"))
+    head = labels.select(F.lit(0).alias("o"), F.lit("").alias("g"), F.concat_ws(sep, *map(F.lit, lead), "labels").alias("value"))
+    return head.unionByName(body).orderBy("o", "g").select("value")
+
+
+def write_lines(df: DataFrame, path: str) -> None:
+    """Lines in their order; the header is the first line of the first file."""
+    df.write.mode("overwrite").text(path)
+
+
 def write_single(df: DataFrame, path: str, sep: str = "\t", header: bool = False) -> None:
     """One file; for tables bounded by a parameter (variable genes, clusters x cell types)."""
     df.coalesce(1).write.mode("overwrite").csv(path, sep=sep, header=header)

@@ -166,13 +166,3 @@ def test_bootstrap_centres_on_the_fit(xy):
     boot = G.nonparametric_bootstrap(df, ["x1"], "n", G.POISSON, 4, 1) + G.parametric_bootstrap(fit, df, 3, 9)
     assert np.allclose(np.mean([b.coef for b in boot], axis=0), fit.coef, atol=0.25)
 
-
-def test_colours_are_distinct_hex(spark):
-    from quillcell.operators.colors import lab_to_hex, pastel, rgb_to_lab, unique_colors
-
-    got = unique_colors(spark, 6)
-    assert len(set(got)) == 6 and all(len(c) == 7 and c[0] == "#" for c in got)
-    rgb = np.array([[1.0, 1.0, 1.0], [0.0, 0.0, 0.0], [1.0, 0.0, 0.0]])
-    assert rgb_to_lab(rgb)[0][0] == pytest.approx(100.0, abs=0.01)
-    assert lab_to_hex(rgb_to_lab(rgb))[1] == "#000000"
-    assert len(pastel([(0.1, 0.2, 0.3)])) == 3

@@ -63,13 +63,6 @@ def pairwise_t_tests(m: Matrix, clusters: DataFrame, direction: str = "up", comp
     return out.select("comparison", "cluster", "other", "gene", "p_val", "FDR", "t_stat", "logFC", "mean_A", "mean_B")
 
 
-def wide_p_values(tests: DataFrame, comparisons: list[str] | None = None) -> DataFrame:
-    """Gene rows, one p-value column per comparison."""
-    grouped = tests.groupBy("gene")
-    pivoted = grouped.pivot("comparison", comparisons) if comparisons else grouped.pivot("comparison")
-    return pivoted.agg(F.first("p_val"))
-
-
 def combine_tests(tests: DataFrame) -> DataFrame:
     """Simes p-value of each gene as a marker of each cluster."""
     return simes(tests, ["cluster", "gene"], "p_val", "pvalue_simes")

@@ -14,6 +14,7 @@ from quillcell.operators.normalize import log_normalize, rpkm, unlog
 from quillcell.operators.plotdata import top_genes_per_cluster
 from quillcell.operators.quantile import exact_quantile
 from quillcell.plans import adapters as ad
+from quillcell.sources import tables as TB
 from quillcell.plans.catalog import (
     BRANDS, EMB, LABELS, LINE, LINEAR, MOMENTS, NAMED, NAMES, NC, NORM, R, REGIONS, TOKENS, query, r6,
 )
@@ -131,7 +132,8 @@ SELECT g.gene, {R('reads')} AS reads, p_name AS "desc" FROM g JOIN part ON g.gen
 WHERE p_brand <> 'Brand#11'""")
 def j02(spark, sf):
     anno = ad.table(spark, sf, "part").filter("p_brand <> 'Brand#11'").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_name").alias("desc"))
-    return A.reads_per_gene(ad.line_counts(spark, sf)).join(anno, "gene").select("gene", r6("reads"), "desc")
+    named = TB.annotate(A.reads_per_gene(ad.line_counts(spark, sf)), anno)
+    return named.filter(F.col("desc") != TB.DEFAULT_ANNOTATION).select("gene", r6("reads"), "desc")
 
 
 @query("J03_annotation_default", f"""WITH {LINE}, g AS (SELECT DISTINCT gene FROM m)
@@ -139,7 +141,7 @@ SELECT g.gene, coalesce(p_name, 'no annotation') AS "desc" FROM g
 LEFT JOIN (SELECT * FROM part WHERE p_brand <> 'Brand#11') p ON g.gene = CAST(p_partkey AS VARCHAR)""")
 def j03(spark, sf):
     anno = ad.table(spark, sf, "part").filter("p_brand <> 'Brand#11'").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_name").alias("desc"))
-    return ad.line_counts(spark, sf).genes.join(anno, "gene", "left").select("gene", F.coalesce("desc", F.lit("no annotation")).alias("desc"))
+    return TB.annotate(ad.line_counts(spark, sf).genes, anno).select("gene", "desc")
 
 
 @query("J06_rrna_in_matrix", f"WITH {LINE} SELECT DISTINCT gene FROM m WHERE gene IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_type = 'PROMO')")
@@ -164,7 +166,8 @@ def j09(spark, sf):
     cells, given = ad.line_counts(spark, sf).cells, ad.supplier_clusters(spark, sf)
     extra = given.join(cells, "cell", "left_anti").agg(F.count("*")).scalar()
     missing = cells.join(given, "cell", "left_anti").agg(F.count("*")).scalar()
-    return given.join(cells, "cell", "left_semi").select("cell", "cluster", extra.alias("without_data"), missing.alias("without_cluster"))
+    covered = cells.join(given, "cell", "left_semi")
+    return TB.match_clustering(covered, given).select("cell", "cluster", extra.alias("without_data"), missing.alias("without_cluster"))
 
 
 # ---- aggregates ----------------------------------------------------------

@@ -9,6 +9,8 @@ from quillcell.plans import adapters as ad
 from quillcell.plans.catalog import query
 from quillcell.session import scratch_path
 from quillcell.sources import lines as LN
+from quillcell.sources import sinks as SK
+from quillcell.sources import tables as TB
 
 # Reads made from the orders: a short barcode alphabet so barcodes repeat.
 READS = """rd AS (SELECT o_orderkey AS k, '@r' || CAST(o_orderkey AS VARCHAR) || ' x' AS id,
@@ -50,7 +52,9 @@ LISTED = "wl AS (SELECT substr(seq, 1, 12) AS bc, count(*) AS freq FROM rd GROUP
 
 @query("F22_S27_whitelist", f"WITH {READS}, {LISTED} SELECT bc, freq FROM wl")
 def f22(spark, sf):
-    return RD.whitelist(RD.barcode_counts(reads(spark, sf)), 50)
+    path = scratch_path(spark, "barcodes")
+    SK.write_csv(RD.barcode_counts(reads(spark, sf)).select("bc", "freq"), path, " ")
+    return RD.whitelist(TB.barcodes(spark, path), 50)
 
 
 @query("F21_keep_reads", f"WITH {READS}, {LISTED} SELECT k, seq FROM rd WHERE substr(seq, 1, 12) IN (SELECT bc FROM wl) AND length(seq) - length(replace(seq, 'N', '')) < 10")

@@ -19,6 +19,9 @@ from quillcell.plans.catalog import (
     BRANDS, EMB, LABELS, LINE, LINEAR, NC, NORM, R, REGIONS, query, r6,
 )
 from quillcell.plans.queries_matrix import GROUPS, MEDIANS
+from quillcell.session import scratch_path
+from quillcell.sources import sinks as SK
+from quillcell.sources import tables as TB
 
 # ---- corrections over a p-value column made of the order prices ----------
 
@@ -95,7 +98,17 @@ def d01_p(spark, sf):
 
 @query("K11_wide_p_values")
 def k11(spark, sf):
-    return D.wide_p_values(d01_p(spark, sf))
+    return SK.wide_lines(d01_p(spark, sf), "comparison", "p_val", ",")
+
+
+@query("K11_K14_wide_lines", f"""WITH {LINE}, k AS (SELECT DISTINCT cell FROM m),
+v AS (SELECT g.gene, k.cell, count(m.value) AS n FROM (SELECT DISTINCT gene FROM m) g CROSS JOIN k
+  LEFT JOIN m ON m.gene = g.gene AND m.cell = k.cell GROUP BY 1, 2)
+SELECT 'gene,' || string_agg(cell, ',' ORDER BY cell) AS value FROM k
+UNION ALL SELECT gene || ',' || string_agg(CASE WHEN n > 0 THEN CAST(n AS VARCHAR) ELSE '' END, ',' ORDER BY cell) FROM v GROUP BY gene""")
+def k11_lines(spark, sf):
+    # the wide writer with a column per supplier
+    return SK.wide_lines(ad.line_counts(spark, sf).expr.withColumn("n", F.lit(1)), "cell", "n", ",")
 
 
 @query("D03_K13_discovered_markers")
@@ -131,7 +144,10 @@ def _medians(spark, sf):
 
 @query("C03_S20_F17_markers", f"WITH {MK} SELECT gene, cell_type, count(*) OVER (PARTITION BY gene) AS freq FROM ms")
 def c03(spark, sf):
-    m = _markers(spark, sf)
+    path = scratch_path(spark, "markers")
+    names = {"gene": "official gene symbol", "cell_type": "cell type", "ui": "ubiquitousness index"}
+    SK.write_csv(ad.brand_markers(spark, sf).withColumnsRenamed(names), path, "\t", True)
+    m = C.select_markers(TB.markers(spark, path), "mouse")
     return m.join(C.marker_weights(m).select("gene", "freq"), "gene").select("gene", "cell_type", "freq")
 
 
@@ -174,7 +190,9 @@ def c02(spark, sf):
         F.concat(F.lit("ENSMUSG"), F.col("p_partkey").cast("string")).alias("ensembl"),
         F.concat(F.lit("Sym"), (F.col("p_partkey") % 1500).cast("string")).alias("symbol"),
     )
-    return C.map_symbols(ids, sy).expr.select("gene", "cell", r6("value"))
+    path = scratch_path(spark, "symbols")
+    SK.write_csv(sy, path, "\t")
+    return C.map_symbols(ids, TB.symbols(spark, path)).expr.select("gene", "cell", r6("value"))
 
 
 # ---- variable genes ------------------------------------------------------

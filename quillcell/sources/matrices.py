@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillcell.matrix import Matrix
 from quillcell.operators.filters import MatrixError, check_minimum, drop_duplicated_genes, duplicated_genes
 from quillcell.sources.lines import numbered_lines
-from quillcell.sources.sniff import Layout, _literal, check_columns, sniff
+from quillcell.sources.sniff import has_nul, Layout, _literal, check_columns, sniff
 
 MTX_FILES = ("matrix.mtx", "barcodes.tsv", "genes.tsv")
 
@@ -54,6 +54,9 @@ def read_delimited(
     check_minimum(genes, min_genes, "genes")
     expr = wide_entries(body, names, layout)
     if expr.filter("value IS NULL").limit(1).count():
+        # a file with NUL bytes is no text, whatever else fails in it
+        if lines.filter(has_nul(F.col("value"))).limit(1).count():
+            raise MatrixError("the file is binary and no container that can be read")
         raise MatrixError("the matrix has fields that are no numbers")
     twice = duplicated_genes(genes)
     if on_duplicate == "error":

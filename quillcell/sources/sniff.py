@@ -23,6 +23,11 @@ class Layout:
     id_cell: bool
 
 
+def has_nul(content: Column) -> Column:
+    """True where a NUL byte shows that the content is no text."""
+    return F.contains(content.cast("binary"), F.unhex(F.lit("00")))
+
+
 def delimiter_counts(lines: DataFrame) -> DataFrame:
     """One row: how often each candidate occurs in the lines."""
     names = {" ": "space", "\t": "tab", ",": "comma"}

@@ -1,6 +1,7 @@
 """Neighbours, graph, communities, layouts and doublets on small fixtures against brute force."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -68,6 +69,16 @@ def test_components_of_a_long_path(spark):
     assert {got["050"], got["150"], got["299"]} == {"000", "100", "200"}
 
 
+def test_components_of_a_path_in_random_order(spark):
+    ids = list(range(10_000))
+    random.Random(7).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(20_000, 20_001), (20_000, 20_000)], "src long, dst long")
+    nodes = spark.range(10_000).union(spark.range(20_000, 20_003)).withColumnRenamed("id", "node")
+    got = {r["component"]: r["count"] for r in C.connected_components(nodes, edges).groupBy("component").count().collect()}
+    assert got == {0: 10_000, 20_000: 2, 20_002: 1}
+    assert C.connected_components(nodes.limit(0), edges.limit(0)).count() == 0
+
+
 def test_communities_find_blobs_and_are_connected(spark):
     pts = blobs(copies=0)
     table = knn.neighbour_table(as_df(spark, pts), 8)

@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import os
 
 import numpy as np
 import pytest
@@ -88,3 +89,19 @@ def test_stage_store_builds_once(spark, tmp_path):
     assert len(calls) == 1
     store.get("a", "other", build)
     assert len(calls) == 2
+
+
+def test_relative_paths_and_changed_inputs(spark, tmp_path, monkeypatch):
+    from quillcell.plans.stages import exists, input_mark, read_text, write_text
+
+    monkeypatch.chdir(tmp_path)
+    where = os.path.relpath(tmp_path / "out" / "note.txt", os.getcwd())
+    home = spark._jvm.org.apache.hadoop.fs.Path(".").getFileSystem(spark._jsc.hadoopConfiguration()).getWorkingDirectory().toString()
+    relative = os.path.relpath(str(tmp_path / "out" / "note.txt"), home.removeprefix("file:"))
+    write_text(relative, "a\nb")
+    assert exists(relative) and read_text(relative) == "a\nb" and (tmp_path / where).read_text() == "a\nb"
+    before = input_mark(relative)
+    write_text(relative, "longer text")
+    assert input_mark(relative) != before
+    store = StageStore(spark, os.path.dirname(relative))
+    assert store.get("x", "1", lambda: spark.range(3)).count() == 3 and (tmp_path / "out" / "stages" / "x-1" / "_SUCCESS").exists()

@@ -25,7 +25,7 @@ LEAST_QUALITY = 0.3
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the byte network rejects; learned from the labels of the training folds."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(fold(5) != 0).select("doc_id", F.col("quality").alias("y"))
-    network = byte_cnn.learn(docs.select("doc_id", F.col("text").cast("string")).join(labels, "doc_id"))
+    network = byte_cnn.learn(docs, labels)
     scored = byte_cnn.scored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string")), network)
     return scored.filter(F.col("score") >= LEAST_QUALITY).select("row.*")
 

@@ -154,13 +154,20 @@ class Network:
         return float(1 / (1 + np.exp(-np.clip(z[0], -30, 30))))
 
 
-def learn(labelled: DataFrame, sample: int = 2048) -> Network | None:
-    """A network fitted on ``doc_id, text, y``; None without two classes to tell apart."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 2048) -> Network | None:
+    """A network fitted on the texts of ``docs`` that ``labels`` marks; None without two classes to tell apart.
+
+    ``labels`` is ``doc_id, y``. Its ``sample`` rows of the smallest hashes are sent to the
+    texts, so no text is shuffled; rows without id or mark do not count.
+    """
+    marked = labels.filter("y is not null and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("y").cast("int").alias("y"))
+    marked = marked.orderBy(F.xxhash64("_id"), "_id", "y").limit(sample)
     size = F.octet_length("text")
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(size - CROP + 1, F.lit(1)).cast("long"))
-    rows = labelled.filter("text is not null and y is not null and doc_id is not null").withColumn("_hash", F.xxhash64("doc_id"))
+    texts = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    rows = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("_id")).withColumn("_hash", F.xxhash64("doc_id"))
     crop = F.substring(F.col("text").cast("binary"), (place + 1).cast("int"), F.lit(CROP))
-    rows = rows.select("_hash", "doc_id", crop.alias("crop"), F.col("y").cast("int").alias("y")).orderBy("_hash", "doc_id").limit(sample).toArrow()
+    rows = rows.select("_hash", "doc_id", crop.alias("crop"), "y").orderBy("_hash", "doc_id").limit(sample).toArrow()
     y = rows.column("y").to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         return None

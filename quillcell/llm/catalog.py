@@ -45,7 +45,7 @@ def op5_language_bitmask(spark: SparkSession, sf: str) -> DataFrame:
 def op7_byte_cnn(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("text").cast("string"))
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter(fold(5) != 0).select("doc_id", F.col("quality").alias("y"))
-    network = byte_cnn.learn(docs.join(labels, "doc_id"))
+    network = byte_cnn.learn(docs, labels)
     out = byte_cnn.scored(docs, network)
     return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

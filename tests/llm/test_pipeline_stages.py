@@ -12,7 +12,7 @@ def test_stages(spark, sf):
     (_, quality), (_, copies), (_, private), (_, mixing), (_, packing) = pipeline.STAGES
     kept = quality(spark, docs, sf).cache()
     labels = spark.read.parquet(f"{sf}/labels.parquet").filter(fold(5) != 0).select("doc_id", F.col("quality").alias("y"))
-    score = byte_cnn.scored(docs.select("doc_id", "text"), byte_cnn.learn(docs.join(labels, "doc_id").select("doc_id", "text", "y")))
+    score = byte_cnn.scored(docs.select("doc_id", "text"), byte_cnn.learn(docs, labels))
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in score.collect() if r.score >= pipeline.LEAST_QUALITY}
     single = copies(spark, kept, sf).cache()
     groups = brute([(r.doc_id, r.text) for r in kept.collect()], 5, 80)

@@ -132,7 +132,7 @@ def test_quality_held_out(spark):
 
 def test_quality_odd_rows(spark):
     docs = documents(spark).select("doc_id", "text")
-    assert {r.score for r in byte_cnn.scored(docs, byte_cnn.learn(docs.withColumn("y", F.lit(1)))).collect()} == {0.5}
+    assert {r.score for r in byte_cnn.scored(docs, byte_cnn.learn(docs, docs.select("doc_id", F.lit(1).alias("y")))).collect()} == {0.5}
     net = byte_cnn.Network()
     got = {r.doc_id: r.score for r in byte_cnn.scored(docs, net).collect()}
     assert got[2] == got[3] and all(0 <= s <= 1 for s in got.values()) and got[5] == got[6]

@@ -11,7 +11,8 @@ of the whole index should exceed is found by bisection, and the walk ends once t
 seen should hold ``recall`` of those rows. All rows of the seen cells are scored again with
 their full vectors.
 
-Rows are stored by first centroid, in shards of bounded size whatever a cell holds.
+Rows are stored by first centroid, in shards of bounded size whatever a cell holds; a query
+goes to the shards in which it looks at a cell, and there sees the rows of these cells only.
 """
 
 from __future__ import annotations
@@ -190,17 +191,7 @@ def multi_index_search(queries: DataFrame, entries: DataFrame, k: int, recall: f
         ids, vecs = x.field("vec_id").to_numpy(zero_copy_only=False), matrix(x.field("v"))
         seen = np.array([np.unpackbits(np.frombuffer(s, dtype=np.uint8)) for s in x.field("seen").to_pylist()], dtype=bool)
         e_ids, e, b = y.field("vec_id").to_numpy(zero_copy_only=False), matrix(y.field("v")), y.field("b").to_numpy(zero_copy_only=False)
-        found: list[list] = [[] for _ in ids]
-        for cell in np.unique(b):
-            here, ask = np.flatnonzero(b == cell), np.flatnonzero(seen[:, cell])
-            for i, pair in zip(ask, tile_lists(ids[ask], vecs[ask], e_ids[here], e[here], k, False)):
-                found[i].append(pair)
-        lists = []
-        for pairs in found:
-            near = np.concatenate([np.zeros(0, dtype=np.int64), *(p[0] for p in pairs)])
-            score = np.concatenate([np.zeros(0), *(p[1] for p in pairs)])
-            order = np.lexsort((near, -score))[:k]
-            lists.append((near[order], score[order]))
+        lists = tile_lists(ids, vecs, e_ids, e, k, False, seen[:, b])
         return lists_table(block, shard, ids, lists)
 
     return ranked(merge_tree(tiles(q, e, ["block", "shard"], run), shards, k), "double")

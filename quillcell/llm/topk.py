@@ -69,8 +69,9 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep]))][:k]
 
 
-def tile_lists(q_ids: np.ndarray, q: np.ndarray, e_ids: np.ndarray, e: np.ndarray, k: int, integer: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query its ``k`` best rows of the shard and their scores.
+def tile_lists(q_ids: np.ndarray, q: np.ndarray, e_ids: np.ndarray, e: np.ndarray, k: int, integer: bool,
+               allowed: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query its ``k`` best rows of the shard, or of those ``allowed`` to it, and their scores.
 
     Products of doubles are only a first look: all rows that rounding could lift over the
     limit are scored again, each as its own sum, so equal vectors have equal scores.
@@ -82,6 +83,9 @@ def tile_lists(q_ids: np.ndarray, q: np.ndarray, e_ids: np.ndarray, e: np.ndarra
         product = _exact_product(part, e) if integer else part @ e.T
         for i, row in enumerate(product):
             mine = e_ids != q_ids[at + i]
+            if allowed is not None:
+                mine &= allowed[at + i]
+            mine = np.flatnonzero(mine)
             ids, scores = e_ids[mine], row[mine]
             if integer:
                 top = best(ids, scores, k)
@@ -91,7 +95,7 @@ def tile_lists(q_ids: np.ndarray, q: np.ndarray, e_ids: np.ndarray, e: np.ndarra
                 near = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k] - slack * np.linalg.norm(part[i]))
             else:
                 near = np.arange(len(ids))
-            exact = (e[mine][near] * part[i]).sum(axis=1)
+            exact = (e[mine[near]] * part[i]).sum(axis=1)
             top = best(ids[near], exact, k)
             out.append((ids[near][top], exact[top]))
     return out

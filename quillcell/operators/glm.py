@@ -7,6 +7,7 @@ that returns p x p sums; only those reach the driver.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -197,6 +198,8 @@ def fit_glm(
             break
         previous = objective
         coef = coef + np.linalg.solve(info + penalty, score - penalty @ coef)
+    if not converged:
+        warnings.warn(f"the fit has not converged in {max_iter} steps", RuntimeWarning, stacklevel=2)
     return GlmFit(family, list(predictors), coef, deviance, total, info, alpha, step, converged, offset)
 
 
@@ -274,6 +277,8 @@ def glm_net_path(
             change, beta = float(np.max(np.abs(new - beta))), new
             if change <= tol * max(1.0, float(np.max(np.abs(beta)))):
                 break
+        else:
+            warnings.warn(f"the path has not converged at {lam} in {max_iter} steps", RuntimeWarning, stacklevel=2)
         path.append(beta.copy())
     return path
 

@@ -11,12 +11,14 @@ from quillcell.session import cut_lineage
 def _p_bucket(p):
     """A fixed monotone bucket of a p-value.
 
-    Below 0.01 there are 64 buckets per factor of two, above it 10^5 equal steps, so the
-    bucket table has a constant bound whatever the data, and no bucket holds more than
-    a sliver of a continuous p distribution.
+    Below 0.01 there are 64 buckets per factor of two of ``p``, above 0.99 as many of
+    ``1 - p``, where one-sided tests crowd, and equal steps between. The bucket table has a
+    constant bound whatever the data, and no bucket holds more than a sliver of the values.
     """
     small = F.floor(F.log2(F.greatest(p, F.lit(5e-324)) / 0.01) * 64)
-    return F.when(p < 0.01, F.least(small, F.lit(-1))).otherwise(F.floor((p - 0.01) * 1e5)).cast("long")
+    large = 98_001 - F.ceil(F.log2(F.greatest(1 - p, F.lit(2.0**-60)) / 0.01) * 64)
+    middle = F.least(F.floor((p - 0.01) * 1e5), F.lit(98_000))
+    return F.when(p < 0.01, F.least(small, F.lit(-1))).when(p > 0.99, F.greatest(large, F.lit(98_001))).otherwise(middle).cast("long")
 
 
 def bh_thresholds(df: DataFrame, p: str = "p_val", q: str = "FDR") -> DataFrame:
@@ -37,7 +39,7 @@ def bh_thresholds(df: DataFrame, p: str = "p_val", q: str = "FDR") -> DataFrame:
     after = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     local_up = Window.partitionBy("_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
     local_down = Window.partitionBy("_b").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    # at most about 1.7e5 rows: the bucket range is fixed
+    # at most about 1.8e5 rows: the bucket range is fixed
     offsets = (
         hist.groupBy("_b").agg(F.sum("_c").alias("_bc"))
         .select("_b", F.coalesce(F.sum("_bc").over(upto), F.lit(0)).alias("_off"),

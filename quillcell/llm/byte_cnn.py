@@ -24,7 +24,7 @@ from quillcell.llm.textops import buffers
 WIDTH, STRIDE, CHUNK, CROP = 12, 4, 512, 3072
 _HALF = CHUNK // 2
 _STEPS = _HALF // STRIDE
-_BYTES = 1 << 19
+_BYTES = 1 << 17
 
 
 class Network:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillcell.llm.textops import U64, buffers, mix
 
 GRAM = 4
-_SPAN = 1 << 21
+_SPAN = 1 << 19
 _FOLD = np.full(256, 32, dtype=np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[65:91] = np.arange(97, 123)

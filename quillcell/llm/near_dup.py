@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillcell.llm.textops import U64, mix, shingle_sets, token_hashes
+from quillcell.llm.textops import U64, mix, shingle_sets, slices, token_hashes
 from quillcell.operators.components import component_stars
 from quillcell.session import cut_lineage, discard, written
 
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _samples(how.seed, how.bands * how.rows)
         which = np.arange(how.bands * how.rows, dtype=U64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             hashes, counts = token_hashes(batch.column("text"))
             size, fp1, fp2, mins, even, full = [], [], [], [], [], []
             for items in shingle_sets(hashes, counts, how.shingle):
@@ -144,12 +144,13 @@ def shingles(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = batch.column("h").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((shared.value[h // 64] >> (h % 64).astype(U64)) & U64(1) == 1))
-            sets = list(shingle_sets(*token_hashes(batch.column("text")), k))
-            ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, dtype=U64), *sets]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], ["doc_id", "items"])
+            kept = batch.filter(pa.array((shared.value[h // 64] >> (h % 64).astype(U64)) & U64(1) == 1))
+            for part in slices(kept):
+                sets = list(shingle_sets(*token_hashes(part.column("text")), k))
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, dtype=U64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))], ["doc_id", "items"])
 
     named = docs.filter("doc_id is not null").select("doc_id", "text", spread.alias("h"))
     found = named.mapInArrow(run, "doc_id long, items array<long>")

@@ -27,7 +27,7 @@ from quillcell.session import cut_lineage
 
 _ROWS = 256
 #: Words and pieces of words whose ids a Python worker keeps; others are encoded anew in each batch that has them.
-KEPT_WORDS, KEPT_PIECES = 500_000, 300_000
+KEPT_WORDS, KEPT_PIECES = 300_000, 150_000
 
 
 def drops_white_space(spec: dict) -> bool:

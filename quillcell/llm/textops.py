@@ -16,7 +16,7 @@ _WHITE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
-_SEGMENT = 1 << 21
+_SEGMENT = 1 << 19
 _powers: dict[str, np.ndarray] = {}
 
 U64 = np.uint64
@@ -44,6 +44,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of so many rows, which bounds what is laid out for them at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
@@ -60,7 +66,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Spans of about two megabytes that end at white space or between rows."""
+    """Spans of about half a megabyte that end at white space or between rows."""
     start, end = 0, len(data)
     while start < end:
         stop = min(end, start + _SEGMENT)

@@ -14,9 +14,9 @@ class, are shared: each sweep uses those of the sweep before. A bucket repeats i
 sweeps from their seeds and the recorded totals, so no seating is stored and a lost executor
 changes nothing.
 
-Texts are scored in blocks of neighbouring rows. A block asks once for each distinct word
-and class in it, and the answers come back in the order of asking. Words are told apart by
-59 bits of hash. Counts cover all training texts, and grow with them.
+Texts are scored in blocks of neighbouring rows. Each batch of a block asks once for every
+distinct word and class in it; answers come back with their keys, and a block that lies in
+several batches or tasks drops the repeats. Words are told apart by 59 bits of hash. Counts cover all training texts, and grow with them.
 """
 
 from __future__ import annotations
@@ -79,7 +79,10 @@ def _raw(x: np.ndarray, kind: str) -> bytes:
 
 
 def _requests(docs: DataFrame, bits: int) -> DataFrame:
-    """``bucket, block, keys, counts``: a block's distinct keys in a bucket and how often training has them."""
+    """``bucket, block, keys, counts``: the distinct keys of a batch of a block in a bucket and how often training has them.
+
+    A block has a row per bucket and batch that holds some of it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,7 +241,7 @@ def fit(packed: DataFrame, how: Sampler) -> Model:
 
 
 def _answers(packed: DataFrame, model: Model) -> DataFrame:
-    """``block, bucket, chance, count`` for the keys that each block asked for."""
+    """``block, bucket, keys, chance, count`` for the keys that each block asked for, once for each time it asked."""
     shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,10 +267,11 @@ def _answers(packed: DataFrame, model: Model) -> DataFrame:
                 parts = [asked[a:b] for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("blocks")[i].values, pa.array(np.full(len(parts), bucket)),
+                     pa.array([_raw(keys[p], "<u8") for p in parts], pa.binary()),
                      pa.array([_raw(chance[p], "<f4") for p in parts], pa.binary()), pa.array([_raw(per_word[p], "<i8") for p in parts], pa.binary())],
-                    ["block", "bucket", "chance", "count"])
+                    ["block", "bucket", "keys", "chance", "count"])
 
-    return packed.mapInArrow(run, "block long, bucket long, chance binary, count binary")
+    return packed.mapInArrow(run, "block long, bucket long, keys binary, chance binary, count binary")
 
 
 def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sampler = Sampler()) -> DataFrame:
@@ -291,18 +295,18 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
     n, v = model.tokens, model.words
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        answers = right.sort_by("bucket")
-        chance = np.frombuffer(b"".join(answers.column("chance").to_pylist()), dtype="<f4").astype(np.float64)
-        known = np.frombuffer(b"".join(answers.column("count").to_pylist()), dtype="<i8")
+        asked, chance, known = (np.frombuffer(b"".join(right.column(c).to_pylist()), dtype=kind)
+                                for c, kind in (("keys", "<u8"), ("chance", "<f4"), ("count", "<i8")))
+        distinct, first = np.unique(asked, return_index=True)
+        chance, known = chance[first].astype(np.float64), known[first]
         base = np.log10((known + 1) / (n + v + 1))
-        every, out = [], []
+        out = []
         left = left.combine_chunks()
-        for batch in left.to_batches(max_chunksize=_ROWS):
-            every.append(np.unique(_stream(batch.column("text"))[0]))
-        distinct = np.unique(np.concatenate(every)) if every else np.zeros(0, dtype=U64)
         for batch in left.to_batches(max_chunksize=_ROWS):
             key, row = _stream(batch.column("text"))
             at = np.searchsorted(distinct, key)
+            if not np.array_equal(distinct[np.minimum(at, len(distinct) - 1)], key):
+                raise RuntimeError("a block has words that it never asked for")
             size = batch.num_rows
             total = np.bincount(row, minlength=size)
             lp = np.bincount(row, weights=chance[at], minlength=size)

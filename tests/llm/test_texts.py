@@ -179,6 +179,24 @@ def test_scores_base_is_exact(spark):
     assert {r.score for r in scores(docs, F.lit(False)).collect()} == {0.0}
 
 
+def test_scores_do_not_depend_on_batches(spark):
+    """A block that batches or tasks cut asks several times, and every row is still scored by its own words."""
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.range(0, 300, 1, 1).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.element_at(
+            F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", k), F.lit(40)) + 1).cast("int")))).alias("text"))
+    read = lambda df: sorted(map(tuple, scores(df, F.col("doc_id") % 3 != 0, F.floor(F.col("doc_id") / 128)).collect()))
+    whole = read(docs)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+        assert read(docs) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert read(docs.repartition(5)) == whole
+
+
 def test_next_word_chances_sum_to_one(spark):
     """All first words, the unknown one and the end too, have probability one together."""
     docs = spark.createDataFrame([(i, "aa bb aa cc dd aa bb") for i in range(30)], "doc_id long, text string")

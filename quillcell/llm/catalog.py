@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn, language
-from quillcell.llm.mixing import mix
+from quillcell.llm.mixing import in_order, mix
 from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
@@ -68,7 +68,8 @@ def op2_boosted_url_trees(spark: SparkSession, sf: str) -> DataFrame:
 def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text"))
     first = F.element_at(F.transform("copies", lambda c: c["position"]), F.when(F.size("copies") > 0, F.lit(1)))
-    return mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"))
+    placed = mixed.select("row.doc_id", "size", "source_size", "target", "taken", F.round(first, 9).alias("position"), F.xxhash64("row.doc_id").alias("_spread"))
+    return in_order(placed, "position", "_spread").drop("_spread")
 
 
 def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:

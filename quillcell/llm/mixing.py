@@ -145,5 +145,9 @@ def training_order(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
     each = mixed.select("row", F.explode("copies").alias("copy"))
     spread = F.xxhash64(F.col("row.doc_id"))
     keyed = each.select("row", F.col("copy.position").alias("_position"), spread.alias("_spread"))
-    ordered = keyed.repartitionByRange("_position", "_spread").sortWithinPartitions("_position", "_spread")
-    return ordered.select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+    return in_order(keyed, "_position", "_spread").select(*(F.col(f"row.`{c}`").alias(c) for c in columns))
+
+
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` sorted over the whole table: ranges of the keys ``by``, each sorted in its task."""
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)

@@ -1,8 +1,10 @@
 """Packing by concatenate and cut.
 
 Pass one turns every text into token ids and writes them once, with the count of ids that
-the task had written before; a task is then known by its total alone. Prefix sums over the
-totals give each task its place in one endless row of ids, and fixed windows cut that row.
+its split of a file had before; a split is then known by its total alone. Prefix sums over
+the totals, by file name and place in the file, give each split its place in one endless row
+of ids, and fixed windows cut that row. (The scan deals out splits by size, so tasks are not
+in file order.)
 A document that a cut crosses leaves one record on either side of it (``cut_before``,
 ``cut_after``). Only the last window can be short, so at most ``window - 1`` places are
 padding.
@@ -118,27 +120,50 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def reads_files(docs: DataFrame) -> bool:
+    """Whether rows come straight from files, so that each split of a file is in one task and in its own order."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation")
+
+
 def tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``doc_id, part, before, n, ids``: ``n`` counts the end id; ``before`` what the task had so far."""
+    """``doc_id, file, part, before, n, width, ids``: ``n`` counts the end id; ``before`` what the part had so far.
+
+    A part is a split, by its file and start in it; of rows that do not come from files, a task.
+    """
+    files = reads_files(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         end = np.array([end_id], dtype=encoder.dtype).tobytes()
-        part, before = TaskContext.get().partitionId(), 0
+        task, before, now = TaskContext.get().partitionId(), 0, None
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 rows = batch.slice(at, _ROWS)
                 ids = [x + end for x in encoder.encode([t or "" for t in rows.column("text").to_pylist()])]
                 n = np.array([len(x) // encoder.dtype.itemsize for x in ids], dtype=np.int64)
-                starts = before + np.cumsum(n) - n
-                before += int(n.sum())
+                file, part = rows.column("file"), rows.column("part")
+                if not files:
+                    part = pa.array(np.full(len(n), task))
+                starts = np.empty(len(n), dtype=np.int64)
+                for i, (key, size) in enumerate(zip(zip(file.to_pylist(), part.to_pylist()), n.tolist())):
+                    if key != now:
+                        now, before = key, 0
+                    starts[i] = before
+                    before += size
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("doc_id"), pa.array(np.full(len(n), part)), pa.array(starts), pa.array(n),
+                    [rows.column("doc_id"), file, part, pa.array(starts), pa.array(n),
                      pa.array(np.full(len(n), encoder.dtype.itemsize)), pa.array(ids, pa.binary())],
-                    ["doc_id", "part", "before", "n", "width", "ids"])
+                    ["doc_id", "file", "part", "before", "n", "width", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, part long, before long, n long, width long, ids binary")
+    place = docs.metadataColumn("_metadata") if files else None
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        (place["file_path"] if files else F.lit("")).alias("file"),
+        (place["file_block_start"] if files else F.lit(0)).cast("long").alias("part"),
+    ).mapInArrow(run, "doc_id long, file string, part long, before long, n long, width long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
@@ -147,15 +172,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 4096, end_id: int = 2, w
     One row per piece, with its ids as an array where ``with_ids`` is set. A null or empty
     text is its end id alone. Every row of ``docs`` is packed, repeated ones and those
     without ``doc_id`` too; other columns are not looked at. No rows, no pieces. The order
-    of documents is that of the input's files.
+    of documents is that of the input's files by name, and of the rows in them; if ``docs``
+    is not read from files, that of its tasks.
 
-    The broadcast holds two numbers per task of pass one, whatever the rows.
+    The broadcast holds a row per split of the input, whatever the rows.
     """
     table = cut_lineage(tokens(docs, tokenizer, end_id))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = table.groupBy("part").agg(F.sum("n").alias("total"))
-    places = totals.select("part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("place"))
-    placed = table.join(F.broadcast(places), "part").select(
+    # a part number of more than five digits makes a name longer, so longer names come later
+    earlier = Window.orderBy(F.length("file"), "file", "part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = table.groupBy("file", "part").agg(F.sum("n").alias("total"))
+    places = totals.select("file", "part", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("place"))
+    placed = table.join(F.broadcast(places), ["file", "part"]).select(
         "doc_id", (F.col("place") + F.col("before")).alias("at"), "n", "width", "ids")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from odd_rows import documents, nothing
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn, language
-from quillcell.llm.catalog import TOKENIZER, fold, op5_language_bitmask, op7_byte_cnn
+from quillcell.llm.catalog import TOKENIZER, fold, op3_curriculum_mix, op5_language_bitmask, op7_byte_cnn
 from quillcell.llm.mixing import mix, training_order
 from quillcell.llm.packing import Encoder, pack, sequences
 from quillcell.llm.pitman_yor import Model, Sampler, Totals, scores, seat
@@ -95,6 +95,38 @@ def test_pack_is_a_round_trip(spark):
     assert pack(nothing(spark), TOKENIZER).count() == 0
 
 
+def test_sequences_follow_positions_over_files(spark, tmp_path):
+    """Files grow along the order, so the scan reads them in another one; packing keeps that of their names."""
+    docs = spark.range(0, 400, 1, 1).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.md5(F.col("id").cast("string")), 20)).alias("text"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        copies = mix(docs, whole=True).select("row.doc_id", F.xxhash64("row.doc_id").alias("h"), F.explode("copies").alias("c")).collect()
+        want = [r.doc_id for r in sorted(copies, key=lambda r: (r.c.position, r.h))]
+        training_order(mix(docs, whole=True, with_text=True), docs.columns).write.parquet(f"{tmp_path}/mixed")
+        for i, n in enumerate((5, 20, 60, 200)):
+            docs.filter((F.col("doc_id") >= (0, 5, 25, 85)[i]) & (F.col("doc_id") < (0, 5, 25, 85)[i] + n)).write.parquet(f"{tmp_path}/grown/p={i}")
+        for cost in ("4MB", "1"):
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            for path, ids in (("mixed", want), ("grown", list(range(285)))):
+                table = spark.read.parquet(f"{tmp_path}/{path}")
+                assert len(table.inputFiles()) == 4
+                rows = sorted(pack(table, TOKENIZER, window=64).collect(), key=lambda r: (r.sequence_id, r.offset))
+                assert [r.doc_id for r in rows if r.start == 0] == ids
+                assert [r.sequence_id * 64 + r.offset for r in rows] == np.cumsum([0] + [r.length for r in rows])[:-1].tolist()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_mix_query_is_in_training_order(spark):
+    rows = op3_curriculum_mix(spark, "/root/testdata/sf0.01").collect()
+    at = [-1.0 if r.position is None else r.position for r in rows]
+    assert at == sorted(at) and len(set(at)) > 2
+
+
 def test_words_encode_like_the_whole_tokenizer():
     e = Encoder(TOKENIZER)
     texts = ["Àé's we'll 1²a_b-c", "ſ ŉ ĳ \u00ad x\u0301 ª", "<|startoftext|>x", "tab\tnl\nnbsp\u00a0end", "", "😀😀 ß"]

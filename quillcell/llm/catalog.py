@@ -74,7 +74,7 @@ def op3_curriculum_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = scores(docs, fold(7) != 2, neighbours())
+    out = scores(docs, fold(7) != 2, neighbours(), classes=None)
     return out
 
 

@@ -1,7 +1,7 @@
 """Language-model scores from a hierarchical Pitman-Yor model, fitted by Gibbs sampling.
 
-A restaurant per context (a class of the word before) shares one parent restaurant of single
-words, whose base is uniform over the vocabulary and one unknown word. Customers of a word
+A restaurant per context (the word before, or the start of a text) has as parent one restaurant
+of single words, whose base is uniform over the vocabulary and one unknown word. Customers of a word
 sit at its tables or open one; every table of a context is a customer of the parent. A Gibbs
 step redraws the whole seating of one word in one restaurant, customer by customer by the
 Chinese-restaurant rule given all other seatings; runs of customers who join old tables are
@@ -9,14 +9,15 @@ skipped in one draw, so a step costs the tables it opens and not the customers.
 probabilities are averaged over the last sweeps.
 
 Words are spread over buckets by hash, a bucket with all contexts of its words, so parent and
-children are seated together. Only the totals of tables per restaurant, one number per
-class, are shared: each sweep uses those of the sweep before. A bucket repeats its earlier
-sweeps from their seeds and the recorded totals, so no seating is stored and a lost executor
-changes nothing.
+children are seated together. Only the totals of tables per restaurant are shared: each sweep
+uses those of the sweep before. They are summed by context, and a bucket gets back those of
+the contexts it has. It repeats its earlier sweeps from their seeds and the recorded totals,
+so no seating is stored and a lost executor changes nothing.
 
 Texts are scored in blocks of neighbouring rows. Each batch of a block asks once for every
-distinct word and class in it; answers come back with their keys, and a block that lies in
-several batches or tasks drops the repeats. Words are told apart by 59 bits of hash. Counts cover all training texts, and grow with them.
+distinct word and context in it; answers come back with their keys, and a block that lies in
+several batches or tasks drops the repeats. Words, and pairs of words, are told apart by 64
+bits of hash. Counts cover all training texts, and grow with them.
 """
 
 from __future__ import annotations
@@ -30,14 +31,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillcell.llm.textops import U64, buffers, hash_spans, mix, words
-from quillcell.session import cut_lineage
+from quillcell.session import cut_lineage, discard, written
 
-CLASS_BITS = 5
-_FIRST = (1 << CLASS_BITS) - 1
 _END = U64(0x1B873593CC9E2D51)
+_START = U64(0xA0761D6478BD642F)
 BLOCK = 8192
 _ROWS = 1024
 _ROWS_A_BUCKET = 4096
+#: Bits of a key that say which of its bucket's contexts it has.
+_LOCAL = 32
 
 
 @dataclass(frozen=True)
@@ -48,20 +50,22 @@ class Sampler:
     seed: int = 29
 
 
-def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (word hash and class of the word before) of all tokens in order, and the row of each.
+def _stream(column: pa.Array, classes: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word, the context and the row of all tokens in order; every row ends with the end token.
 
-    Every row ends with the end token. The class of a word comes from its last two bytes.
+    The context is the word before or, with ``classes``, a class of its last two bytes.
     """
     data, offsets = buffers(column)
     n = len(offsets) - 1
     hashes, kinds, rows = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
     for low, starts, ends, row in words(data, offsets):
         hashes.append(hash_spans(low, starts, ends))
-        last = low[ends - 1].astype(U64) * U64(256) + np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(U64)
-        kinds.append(mix(last) % U64(_FIRST))
+        if classes:
+            last = low[ends - 1].astype(U64) * U64(256) + np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(U64)
+            kinds.append(mix(last) % U64(classes))
         rows.append(row)
-    h, kind, row = np.concatenate(hashes), np.concatenate(kinds), np.concatenate(rows)
+    h, row = np.concatenate(hashes), np.concatenate(rows)
+    kind = np.concatenate(kinds) if classes else h
     count = np.bincount(row, minlength=n)
     at = np.arange(len(h)) + row
     end = np.cumsum(count) + np.arange(n)
@@ -70,16 +74,27 @@ def _stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     token[at], token[end] = h, _END
     owner[at], owner[end] = row, np.arange(n)
     before[at + 1] = kind
-    before[end - count] = _FIRST
-    return (token & ~U64(_FIRST)) | before, owner
+    before[end - count] = U64(classes) if classes else _START
+    return token, before, owner
+
+
+def _pair(word: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return mix(word + mix(before ^ _END))
+
+
+def _shares(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first bits of sorted hashes: each value that comes, and where its run starts and ends."""
+    part = (hashes >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), dtype=np.int64)
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    return part[starts], starts, np.append(starts[1:], len(hashes)).astype(np.int64)
 
 
 def _raw(x: np.ndarray, kind: str) -> bytes:
     return np.ascontiguousarray(x, dtype=kind).tobytes()
 
 
-def _requests(docs: DataFrame, bits: int) -> DataFrame:
-    """``bucket, block, keys, counts``: the distinct keys of a batch of a block in a bucket and how often training has them.
+def _requests(docs: DataFrame, bits: int, classes: int | None) -> DataFrame:
+    """``bucket, block, words, before, counts``: the distinct pairs of a batch of a block in a bucket and how often training has them.
 
     A block has a row per bucket and batch that holds some of it.
     """
@@ -87,51 +102,63 @@ def _requests(docs: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whose = batch.column("block").to_numpy(zero_copy_only=False)
-            parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+            parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
             for at in range(0, batch.num_rows, _ROWS):
                 rows = batch.slice(at, _ROWS)
-                key, row = _stream(rows.column("text"))
+                word, before, row = _stream(rows.column("text"), classes)
                 train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
                 for b in np.unique(whose[at : at + _ROWS]):
                     mine = (whose[at : at + _ROWS] == b)[row]
-                    distinct, back = np.unique(key[mine], return_inverse=True)
-                    count = np.bincount(back, weights=train[row[mine]], minlength=len(distinct)).astype(np.uint32)
-                    parts.setdefault(int(b), []).append((distinct, count))
+                    w, u = word[mine], before[mine]
+                    _, first, back = np.unique(_pair(w, u), return_index=True, return_inverse=True)
+                    count = np.bincount(back, weights=train[row[mine]], minlength=len(first)).astype(np.uint32)
+                    parts.setdefault(int(b), []).append((w[first], u[first], count))
             for b in sorted(parts):
-                keys, counts = (np.concatenate(x) for x in zip(*parts.pop(b)))
-                distinct, back = np.unique(keys, return_inverse=True)
-                count = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
-                bucket = (distinct >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(distinct), dtype=np.int64)
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(cut[1:], len(distinct))
+                w, u, counts = (np.concatenate(x) for x in zip(*parts.pop(b)))
+                _, first, back = np.unique(_pair(w, u), return_index=True, return_inverse=True)
+                count = np.bincount(back, weights=counts, minlength=len(first)).astype(np.int64)
+                order = np.argsort(w[first], kind="stable")
+                w, u, count = w[first][order], u[first][order], count[order]
+                buckets, starts, ends = _shares(w, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[cut]), pa.array(np.full(len(cut), b)),
-                     pa.array([_raw(distinct[s:e], "<u8") for s, e in zip(cut, ends)], pa.binary()),
-                     pa.array([_raw(count[s:e], "<u4") for s, e in zip(cut, ends)], pa.binary())],
-                    ["bucket", "block", "keys", "counts"])
+                    [pa.array(buckets), pa.array(np.full(len(buckets), b)),
+                     *(pa.array([_raw(x[s:e], kind) for s, e in zip(starts, ends)], pa.binary()) for x, kind in ((w, "<u8"), (u, "<u8"), (count, "<u4")))],
+                    ["bucket", "block", "words", "before", "counts"])
 
-    return docs.mapInArrow(run, "bucket long, block long, keys binary, counts binary")
+    return docs.mapInArrow(run, "bucket long, block long, words binary, before binary, counts binary")
 
 
 def _packed(requests: DataFrame) -> DataFrame:
-    """One row per bucket: its distinct keys, their training counts, and who asked for which."""
+    """One row per bucket: its distinct pairs, their training counts, and who asked for which.
+
+    ``words`` and ``contexts`` are the distinct hashes, sorted; a key has the place of its
+    word there in the upper half, that of its context in the lower.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, dtype="<u8") for x in table.column("keys").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("counts").to_pylist()])
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(back, weights=counts, minlength=len(distinct)).astype(np.int64)
-        word_first = np.flatnonzero(np.diff(distinct >> U64(CLASS_BITS), prepend=U64(0)) | (np.arange(len(distinct)) == 0).astype(U64))
-        per_word = np.add.reduceat(count, word_first)
-        per_class = np.bincount((distinct & U64(_FIRST)).astype(np.int64), weights=count, minlength=_FIRST + 1).astype(np.int64)
-        shape = [int((per_word > 0).sum()), *(int((x == k).sum()) for x in (count, per_word) for k in (1, 2))]
+        w, u, counts = (np.concatenate([np.frombuffer(x, dtype=kind) for x in table.column(c).to_pylist()])
+                        for c, kind in (("words", "<u8"), ("before", "<u8"), ("counts", "<u4")))
+        lengths = [len(x) // 8 for x in table.column("words").to_pylist()]
+        _, first, back = np.unique(_pair(w, u), return_index=True, return_inverse=True)
+        named, word = np.unique(w[first], return_inverse=True)
+        contexts, kind = np.unique(u[first], return_inverse=True)
+        keys = (word.astype(U64) << U64(_LOCAL)) | kind.astype(U64)
+        order = np.argsort(keys)
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        keys, back = keys[order], place[back]
+        count = np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
+        per_word = np.bincount(word[order], weights=count, minlength=len(named))
+        facts = [int((per_word > 0).sum()), *(int((x == k).sum()) for x in (count, per_word) for k in (1, 2)), int(count.sum())]
         return pa.table({
-            "bucket": table.column("bucket").slice(0, 1), "keys": pa.array([_raw(distinct, "<u8")], pa.binary()),
-            "counts": pa.array([_raw(count, "<i8")], pa.binary()), "facts": pa.array([[*shape, *per_class.tolist()]], pa.list_(pa.int64())),
+            "bucket": table.column("bucket").slice(0, 1), "keys": pa.array([_raw(keys, "<u8")], pa.binary()),
+            "words": pa.array([_raw(named, "<u8")], pa.binary()), "contexts": pa.array([_raw(contexts, "<u8")], pa.binary()),
+            "counts": pa.array([_raw(count, "<i8")], pa.binary()), "facts": pa.array([facts], pa.list_(pa.int64())),
             "blocks": pa.array([table.column("block").to_pylist()], pa.list_(pa.int64())),
-            "lengths": pa.array([[len(k) for k in keys]], pa.list_(pa.int64())), "asked": pa.array([_raw(back, "<u4")], pa.binary())})
+            "lengths": pa.array([lengths], pa.list_(pa.int64())), "asked": pa.array([_raw(back, "<u4")], pa.binary())})
 
-    schema = ("bucket long, keys binary, counts binary, facts array<long>, blocks array<long>, lengths array<long>, asked binary")
+    schema = ("bucket long, keys binary, words binary, contexts binary, counts binary, facts array<long>, blocks array<long>, "
+              "lengths array<long>, asked binary")
     return requests.groupBy("bucket").applyInArrow(run, schema)
 
 
@@ -164,11 +191,15 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, draw: np.ra
 
 @dataclass
 class Totals:
-    """What all buckets share: customers and tables of each class, and tables of the parent."""
+    """Customers and tables of contexts in all buckets, and tables of the parent.
+
+    ``all_tables`` is for every context; without it the given ones are all there are.
+    """
 
     customers: np.ndarray
     tables: np.ndarray
     parent_tables: float
+    all_tables: float | None = None
 
 
 @dataclass
@@ -178,6 +209,7 @@ class Model:
     discounts: tuple[float, float]
     how: Sampler
     history: list[Totals]
+    bits: int = 5
 
     @property
     def base(self) -> float:
@@ -186,12 +218,12 @@ class Model:
     def parent(self, customers: np.ndarray, tables: np.ndarray, shared: Totals) -> np.ndarray:
         s, d = self.how.strength, self.discounts[1]
         kept = np.maximum(customers - d * tables, 0)
-        return (kept + (s + d * shared.parent_tables) * self.base) / (s + shared.tables.sum())
+        return (kept + (s + d * shared.parent_tables) * self.base) / (s + (shared.tables.sum() if shared.all_tables is None else shared.all_tables))
 
     def run(self, bucket: int, keys: np.ndarray, counts: np.ndarray, sweeps: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """The seatings of a bucket after each sweep: tables per key, word of each key, customers and tables per word."""
-        kind = (keys & U64(_FIRST)).astype(np.int64)
-        change = np.diff(keys >> U64(CLASS_BITS), prepend=U64(0)) > 0
+        kind = (keys & U64((1 << self.bits) - 1)).astype(np.int64)
+        change = np.diff(keys >> U64(self.bits), prepend=U64(0)) > 0
         if len(change):
             change[0] = True
         first = np.flatnonzero(change)
@@ -208,51 +240,89 @@ class Model:
             yield tables, word, guests, held
 
 
-def fit(packed: DataFrame, how: Sampler) -> Model:
-    """Runs the sweeps; each is a job that returns the table totals of its buckets, already summed."""
-    sums = packed.select(F.posexplode("facts").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    facts = np.zeros(5 + _FIRST + 1, dtype=np.int64)
-    for r in sums:
-        facts[r.i] = r.x
-    n_words, ones, twos, word_ones, word_twos = facts[:5].tolist()
-    customers = facts[5:].astype(float)
-    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-    model = Model(n_words, int(customers.sum()), (discount(ones, twos), discount(word_ones, word_twos)), how,
-                  [Totals(customers, 0.5 * customers, 0.5 * n_words)])
-    sc = packed.sparkSession.sparkContext
-    for sweep in range(how.sweeps):
-        shared = sc.broadcast(model)
+def _totals(sent: DataFrame) -> DataFrame:
+    """``bucket, total``: for each context that a bucket sent a number for, in their order, the sum over all buckets."""
 
-        def run(batches: Iterator[pa.RecordBatch], done: int = sweep + 1) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for bucket, raw, count in zip(*(batch.column(c).to_pylist() for c in ("bucket", "keys", "counts"))):
-                    keys, counts = np.frombuffer(raw, dtype="<u8"), np.frombuffer(count, dtype="<i8")
-                    for tables, _, _, held in shared.value.run(bucket, keys, counts, done):
-                        pass
-                    per = np.bincount((keys & U64(_FIRST)).astype(np.int64), weights=tables, minlength=_FIRST + 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(_FIRST + 2)), pa.array(np.append(per, held.sum()).astype(np.int64))], ["i", "x"])
+    def run(table: pa.Table) -> pa.Table:
+        contexts = [np.frombuffer(x, dtype="<u8") for x in table.column("contexts").to_pylist()]
+        values = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table.column("values").to_pylist()])
+        _, back = np.unique(np.concatenate(contexts), return_inverse=True)
+        total = np.bincount(back, weights=values)[back].astype(np.int64)
+        ends = np.cumsum([len(x) for x in contexts])
+        return pa.table({"bucket": table.column("bucket"), "place": table.column("place"),
+                         "total": pa.array([_raw(total[e - len(x) : e], "<i8") for x, e in zip(contexts, ends)], pa.binary())})
+
+    summed = sent.select("place", "bucket", "contexts", "values").groupBy("place").applyInArrow(run, "bucket long, place long, total binary")
+    return summed.groupBy("bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "total"))), lambda x: x["total"]).alias("total"))
+
+
+def _restored(model: Model, shared: list[tuple[float, float]], totals: list[list[bytes]]) -> Model:
+    """The model with the history of one bucket: customers of its contexts, then their tables after each sweep."""
+    customers, *tables = (np.frombuffer(b"".join(x), dtype="<i8").astype(float) for x in totals)
+    tables = [0.5 * customers, *tables]
+    history = [Totals(customers, t, parent, every) for t, (parent, every) in zip(tables, shared)]
+    return Model(model.words, model.tokens, model.discounts, model.how, history, _LOCAL)
 
-        totals = np.zeros(_FIRST + 2)
-        for r in packed.select("bucket", "keys", "counts").mapInArrow(run, "i long, x long").groupBy("i").agg(F.sum("x").alias("x")).collect():
-            totals[r.i] = r.x
-        model.history.append(Totals(customers, totals[:-1], float(totals[-1])))
-    return model
 
+def fit(packed: DataFrame, how: Sampler, bits: int) -> tuple[Model, list[tuple[float, float]], DataFrame]:
+    """The model without its history, the sums over all contexts after each sweep, and ``bucket, totals`` with each bucket's history.
 
-def _answers(packed: DataFrame, model: Model) -> DataFrame:
+    A sweep writes the tables of each bucket by context; their sums go back to the buckets.
+    The driver gets sums over all contexts alone.
+    """
+    facts = np.zeros(6, dtype=np.int64)
+    for r in packed.select(F.posexplode("facts").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect():
+        facts[r.i] = r.x
+    n_words, ones, twos, word_ones, word_twos, tokens = facts.tolist()
+    discount = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
+    model = Model(n_words, tokens, (discount(ones, twos), discount(word_ones, word_twos)), how, [], _LOCAL)
+    shared = [(0.5 * n_words, 0.5 * tokens)]
+    columns = ["bucket", "keys", "contexts", "counts"]
+    state = None
+    for sweep in range(how.sweeps + 1):
+        def run(batches: Iterator[pa.RecordBatch], done: int = sweep, known: list = list(shared)) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    keys, contexts, counts = (np.frombuffer(row[c], dtype=t) for c, t in (("keys", "<u8"), ("contexts", "<u8"), ("counts", "<i8")))
+                    value, held = counts, np.zeros(0)
+                    if done:
+                        for value, _, _, held in _restored(model, known, row["totals"]).run(row["bucket"], keys, counts, done):
+                            pass
+                    kind = (keys & U64((1 << _LOCAL) - 1)).astype(np.int64)
+                    per = np.bincount(kind, weights=value, minlength=len(contexts)).astype(np.int64)
+                    places, starts, ends = _shares(contexts, bits)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(places), row["bucket"])), pa.array(places),
+                         *(pa.array([_raw(x[s:e], t) for s, e in zip(starts, ends)], pa.binary()) for x, t in ((contexts, "<u8"), (per, "<i8"))),
+                         pa.array(np.add.reduceat(per, starts)), pa.array(np.where(np.arange(len(places)) == 0, int(held.sum()), 0))],
+                        ["bucket", "place", "contexts", "values", "tables", "held"])
+
+        source = packed.select(*columns) if state is None else packed.select(*columns).join(state, "bucket")
+        sent, path = written(source.mapInArrow(run, "bucket long, place long, contexts binary, values binary, tables long, held long"), "sweep")
+        if sweep:
+            sums = sent.agg(F.sum("held").alias("held"), F.sum("tables").alias("tables")).first()
+            shared.append((float(sums.held or 0), float(sums.tables or 0)))
+        totals = _totals(sent)
+        state = cut_lineage(totals.select("bucket", F.array("total").alias("totals")) if state is None else state.join(totals, "bucket").select(
+            "bucket", F.concat("totals", F.array("total")).alias("totals")))
+        discard(packed.sparkSession, path)
+    return model, shared, state
+
+
+def _answers(packed: DataFrame, model: Model, shared: list[tuple[float, float]], state: DataFrame) -> DataFrame:
     """``block, bucket, keys, chance, count`` for the keys that each block asked for, once for each time it asked."""
-    shared = packed.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        s, d = m.how.strength, m.discounts[0]
+        s, d = model.how.strength, model.discounts[0]
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = batch.column("bucket")[i].as_py()
                 keys = np.frombuffer(batch.column("keys")[i].as_py(), dtype="<u8")
                 counts = np.frombuffer(batch.column("counts")[i].as_py(), dtype="<i8")
-                kind = (keys & U64(_FIRST)).astype(np.int64)
+                named, contexts = (np.frombuffer(batch.column(c)[i].as_py(), dtype="<u8") for c in ("words", "contexts"))
+                m = _restored(model, shared, batch.column("totals")[i].as_py())
+                kind = (keys & U64((1 << _LOCAL) - 1)).astype(np.int64)
+                pairs = _pair(named[(keys >> U64(_LOCAL)).astype(np.int64)], contexts[kind])
                 chance = np.zeros(len(keys))
                 for sweep, (tables, word, guests, held) in enumerate(m.run(bucket, keys, counts, m.how.sweeps), 1):
                     if sweep > m.how.sweeps - m.how.averaged:
@@ -267,21 +337,23 @@ def _answers(packed: DataFrame, model: Model) -> DataFrame:
                 parts = [asked[a:b] for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("blocks")[i].values, pa.array(np.full(len(parts), bucket)),
-                     pa.array([_raw(keys[p], "<u8") for p in parts], pa.binary()),
+                     pa.array([_raw(pairs[p], "<u8") for p in parts], pa.binary()),
                      pa.array([_raw(chance[p], "<f4") for p in parts], pa.binary()), pa.array([_raw(per_word[p], "<i8") for p in parts], pa.binary())],
                     ["block", "bucket", "keys", "chance", "count"])
 
-    return packed.mapInArrow(run, "block long, bucket long, keys binary, chance binary, count binary")
+    return packed.join(state, "bucket").mapInArrow(run, "block long, bucket long, keys binary, chance binary, count binary")
 
 
-def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sampler = Sampler()) -> DataFrame:
+def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sampler = Sampler(),
+           classes: int | None = 31) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity`` per row of ``docs``.
 
     ``train`` says which rows are learned from; null counts as not. ``block`` numbers runs
     of neighbouring rows; without it the table is written once and numbered by file and
     row. A null or empty text is its end token alone. Without a training text every
     probability is 1. Repeated rows are scored, and learned from, as often as they come;
-    other columns are not looked at.
+    other columns are not looked at. ``classes`` is the number of classes of the word before
+    that serve as contexts; None makes every word before a context of its own, as in op8.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"), *([block.alias("block")] if block is not None else []))
@@ -290,8 +362,8 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
         rows = rows.select("doc_id", "text", "train", neighbours().alias("block"))
     count = rows.count()
     bits = max(0, int(np.ceil(np.log2(max(1, count / _ROWS_A_BUCKET)))))
-    packed = cut_lineage(_packed(_requests(rows, bits)))
-    model = fit(packed, how)
+    packed = cut_lineage(_packed(_requests(rows, bits, classes)))
+    model, shared, state = fit(packed, how, bits)
     n, v = model.tokens, model.words
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -303,7 +375,8 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
         out = []
         left = left.combine_chunks()
         for batch in left.to_batches(max_chunksize=_ROWS):
-            key, row = _stream(batch.column("text"))
+            word, before, row = _stream(batch.column("text"), classes)
+            key = _pair(word, before)
             at = np.searchsorted(distinct, key)
             if not np.array_equal(distinct[np.minimum(at, len(distinct) - 1)], key):
                 raise RuntimeError("a block has words that it never asked for")
@@ -319,7 +392,7 @@ def scores(docs: DataFrame, train: Column, block: Column | None = None, how: Sam
 
     schema = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
               "perplexity double")
-    return rows.groupBy("block").cogroup(_answers(packed, model).groupBy("block")).applyInArrow(score, schema)
+    return rows.groupBy("block").cogroup(_answers(packed, model, shared, state).groupBy("block")).applyInArrow(score, schema)
 
 
 _NONE = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), *((c, pa.int64()) for c in ("n_tokens", "n_known", "train_tokens")),

@@ -218,7 +218,7 @@ def test_scores_do_not_depend_on_batches(spark):
         F.col("id").alias("doc_id"),
         F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.element_at(
             F.array(*map(F.lit, words)), (F.pmod(F.xxhash64("id", k), F.lit(40)) + 1).cast("int")))).alias("text"))
-    read = lambda df: sorted(map(tuple, scores(df, F.col("doc_id") % 3 != 0, F.floor(F.col("doc_id") / 128)).collect()))
+    read = lambda df: sorted(map(tuple, scores(df, F.col("doc_id") % 3 != 0, F.floor(F.col("doc_id") / 128), classes=None).collect()))
     whole = read(docs)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
@@ -229,6 +229,15 @@ def test_scores_do_not_depend_on_batches(spark):
     assert read(docs.repartition(5)) == whole
 
 
+def test_every_word_before_is_a_context_of_its_own(spark):
+    """Words before that end in the same two bytes foretell different words."""
+    docs = spark.range(0, 400, 1, 2).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "aaxx left").otherwise("bbxx right").alias("text"))
+    probe = spark.createDataFrame([(1000, "aaxx left"), (1001, "aaxx right"), (1002, "bbxx right"), (1003, "bbxx left")], "doc_id long, text string")
+    rows = {r.doc_id: r.score for r in scores(docs.unionByName(probe), F.col("doc_id") < 1000, classes=None).collect()}
+    assert rows[1000] > rows[1001] + 1 and rows[1002] > rows[1003] + 1
+
+
 def test_next_word_chances_sum_to_one(spark):
     """All first words, the unknown one and the end too, have probability one together."""
     docs = spark.createDataFrame([(i, "aa bb aa cc dd aa bb") for i in range(30)], "doc_id long, text string")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn, language
+from quillcell.llm.line_dedup import without_repeated_lines
 from quillcell.llm.mixing import in_order, mix
 from quillcell.llm.multi_index import multi_index_search
 from quillcell.llm.near_dup import NearDup, near_duplicates
@@ -87,8 +88,24 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op8_pitman_yor, op9_concatenate_cut, op10_odd_sketches)}
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = without_repeated_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op8_pitman_yor, op9_concatenate_cut, op10_odd_sketches, op13_line_dedup)}
 ORACLES = {
+    "op13_line_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+e AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM e),
+f AS (SELECT key, min(doc_id) AS one FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+m AS (SELECT k.*, f.key IS NOT NULL AND doc_id <> one AS gone FROM k LEFT JOIN f USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+""",
     "op6_exact_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings

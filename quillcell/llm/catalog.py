@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn, language
+from quillcell.llm.divergence import divergences
 from quillcell.llm.line_dedup import without_repeated_lines
 from quillcell.llm.mixing import in_order, mix
 from quillcell.llm.multi_index import multi_index_search
@@ -14,6 +15,7 @@ from quillcell.llm.near_dup import NearDup, near_duplicates
 from quillcell.llm.packing import pack
 from quillcell.llm.pii import KINDS, listed, personal_data
 from quillcell.llm.pitman_yor import neighbours, scores
+from quillcell.llm.spelling import variants
 from quillcell.llm.topk import exact_top_k, vectors
 from quillcell.llm.url_filter import judged, parse
 from quillcell.session import cut_lineage
@@ -88,13 +90,65 @@ def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(docs, NearDup(shingle=3, percent=85))
 
 
+def op11_k2_quadtree(spark: SparkSession, sf: str) -> DataFrame:
+    return divergences(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return variants(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = without_repeated_lines(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op8_pitman_yor, op9_concatenate_cut, op10_odd_sketches, op13_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_inverted_multi_index, op2_boosted_url_trees, op3_curriculum_mix, op4_weak_supervision, op5_language_bitmask, op6_exact_top_k, op7_byte_cnn, op8_pitman_yor, op9_concatenate_cut, op10_odd_sketches, op11_k2_quadtree, op12_spelling_variants, op13_line_dedup)}
 ORACLES = {
+    "op11_k2_quadtree": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT d.lang, source, coalesce(v, 0) AS v FROM d LEFT JOIN v ON d.lang = v.lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, g.v, k.term, coalesce(c.n, 0) AS n FROM g JOIN k ON g.lang = k.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT *, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM f),
+l AS (SELECT lang, term, any_value(v) AS v, sum(n) AS n FROM f GROUP BY ALL),
+q AS (SELECT *, 1 + (1000000000 * (n + 5)::HUGEINT) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q FROM l),
+s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT p.lang, source, 'term', p.term, CAST(p - q AS BIGINT) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE p.n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM e)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 50
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE bits AS (
+  SELECT i AS b, i AS c, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+tab AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8),
+w AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
+u AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || w, ''),
+    lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [CAST(192 + unicode(x) // 64 AS BIGINT), 128 + unicode(x) % 64] END))),
+    lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295) AS h FROM u, tab),
+r AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM r WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT DISTINCT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM d a JOIN v b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM d a JOIN v b ON a.cut = b.word),
+g AS (SELECT word, count(*) AS n_near, max(m) AS m, first(other ORDER BY m DESC, other) AS other FROM e GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN g USING (word)),
+p AS (SELECT word, word AS root FROM f WHERE form IS NULL
+  UNION ALL SELECT f.word, p.root FROM f JOIN p ON f.form = p.word)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN p USING (word)
+""",
     "op13_line_dedup": """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 e AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(len(l))) AS i FROM d),

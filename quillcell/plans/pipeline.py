@@ -164,7 +164,7 @@ class Pipeline:
         null = "er" if p.leiden_partition == "RBERVertexPartition" else "configuration"
         found = self.store.get(
             "clusters", p.digest(*_CLUSTER),
-            lambda: communities(scores.select(F.col("cell").alias("node")), edges, p.leiden_res, p.seed, null),
+            lambda: communities(scores.select(F.col("cell").alias("node")), edges, p.leiden_res, null),
         )
         found = found.withColumn("cluster", F.col("cluster").cast("string"))
         sinks.write_csv(edges.select("src", "dst"), sinks.target(self.out, "snn"))

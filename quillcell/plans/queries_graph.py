@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillcell.operators import doublets as D
@@ -61,6 +62,28 @@ def g03(spark, sf):
     return communities(nodes, graph, 0.8)
 
 
+@query("G03_planted_nations", """WITH c AS (SELECT c_custkey AS k, c_nationkey AS nation FROM customer)
+SELECT CAST(k AS VARCHAR) AS cell, count(*) OVER (PARTITION BY nation) AS size, CAST(min(k) OVER (PARTITION BY nation) AS VARCHAR) AS first FROM c""")
+def g03n(spark, sf):
+    """Customers of a nation all know each other, and the first ones of two nations do so in a ring.
+
+    A resolution at which the null expects a third of a link for each pair lies between the
+    densities inside and between nations, so the nations are the best partition.
+    """
+    c = ad.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("nation"))
+    a, b = c.toDF("ka", "nation"), c.toDF("kb", "nation")
+    inside = a.join(b, "nation").filter("ka < kb").select("ka", "kb")
+    heads = c.groupBy("nation").agg(F.min("k").alias("k"))
+    after = Window.orderBy("nation")  # 25 nations
+    ring = heads.select(F.col("k").alias("ka"), F.lead("k").over(after).alias("kb")).filter("kb is not null")
+    links = inside.unionByName(ring).select(F.col("ka").cast("string").alias("src"), F.col("kb").cast("string").alias("dst")).persist()
+    n, m = c.count(), links.count()
+    found = communities(c.select(F.col("k").cast("string").alias("node")), links, n * n / (6.0 * m), iterations=1)
+    links.unpersist()
+    w = Window.partitionBy("cluster")
+    return found.select("cell", F.count("*").over(w).alias("size"), F.min(F.col("cell").cast("long")).over(w).cast("string").alias("first"))
+
+
 # ---- layouts and doublets ------------------------------------------------
 
 @query("E01_K08_tsne")

@@ -14,7 +14,7 @@ from quillcell.operators.normalize import log_normalize
 from quillcell.operators.reads import rrna_genes
 from quillcell.operators.hvg import seurat
 from quillcell.plans import adapters as ad
-from quillcell.plans.catalog import LINE, NORM, R, query, r6
+from quillcell.plans.catalog import LINE, MOMENTS, NC, NORM, R, query, r6
 from quillcell.plans.stages import StageStore
 from quillcell.session import scratch_path
 from quillcell.sources import matrices as MX
@@ -176,7 +176,10 @@ def s23(spark, sf):
     return rrna_genes(gene_gtf(spark, sf))
 
 
-@query("K06_hvg_list")
+@query("K06_hvg_list", f"""WITH {LINE}, {NC}, {NORM}, {MOMENTS},
+b AS (SELECT gene, var / mean AS d, CAST(greatest(1, ceil((mean - min(mean) OVER ()) / ((max(mean) OVER () - min(mean) OVER ()) / 20))) AS INTEGER) AS bin FROM gs),
+zz AS (SELECT gene, (d - avg(d) OVER (PARTITION BY bin)) / nullif(stddev_samp(d) OVER (PARTITION BY bin), 0) AS z FROM b)
+SELECT gene FROM zz ORDER BY round(z, 6) DESC NULLS LAST, gene LIMIT 500""")
 def k06(spark, sf):
     """The variable genes as the pipeline writes them."""
     top = seurat(log_normalize(ad.line_counts(spark, sf)), 500, digits=6)

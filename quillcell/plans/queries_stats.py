@@ -16,7 +16,7 @@ from quillcell.operators.multiplicity import average_rank, benjamini_hochberg, s
 from quillcell.operators.normalize import log_normalize
 from quillcell.plans import adapters as ad
 from quillcell.plans.catalog import (
-    BRANDS, EMB, LABELS, LINE, LINEAR, NC, NORM, R, REGIONS, query, r6,
+    BRANDS, EMB, LABELS, LINE, LINEAR, NAMED, NC, NORM, R, REGIONS, query, r6,
 )
 from quillcell.plans.queries_matrix import GROUPS, MEDIANS
 from quillcell.session import scratch_path
@@ -91,14 +91,42 @@ def d01_dense(spark, sf):
     return _contrasts(group_moments(ad.embedding_matrix(spark, sf), ad.embedding_clusters(spark, sf)))
 
 
-@query("D01_K12_t_tests")
-def d01_p(spark, sf):
+# the upper tail of Student's t as a finite sum: powers of the cosine of atan(t / sqrt(df)), by the parity of df
+TAIL = """cf AS (SELECT df, sqrt(df) AS root, df % 2 AS odd, list_transform(generate_series(0, (CAST(df AS BIGINT) - 2 - df % 2) // 2), lambda j:
+    CASE WHEN df % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1.0)) ELSE exp(lgamma(j + 1.0) - lgamma(j + 1.5)) * sqrt(pi()) / 2 END) AS coef
+  FROM (SELECT DISTINCT CAST(df AS BIGINT) AS df FROM ct)),
+an AS (SELECT ct.*, odd, coef, atan(t / root) AS th FROM ct JOIN cf ON ct.df = cf.df),
+su AS (SELECT *, sin(th) * coalesce(list_sum(list_transform(coef, lambda c, i: c * pow(cos(th), 2 * (i - 1) + odd))), 0) AS s FROM an),
+pv AS (SELECT *, (1 - CASE WHEN odd = 1 THEN 2 / pi() * (th + s) ELSE s END) / 2 AS p FROM su),
+rp AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(p) OVER () AS n FROM pv),
+qv AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(n * p / k) OVER (ORDER BY p DESC NULLS LAST, k DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM rp)"""
+
+
+def _tests(spark, sf):
     return D.pairwise_t_tests(ad.embedding_matrix(spark, sf), ad.embedding_clusters(spark, sf))
 
 
-@query("K11_wide_p_values")
+@query("D01_K12_t_tests", f"""WITH {EMB}, {LABELS}, {DENSE_GROUPS}, {CONTRASTS}, {TAIL}
+SELECT comparison, split_part(comparison, '_vs_', 1) AS cluster, split_part(comparison, '_vs_', 2) AS other, gene, {R('p')} AS p_val, {R('q')} AS "FDR",
+  {R('t')} AS t_stat, {R('"logFC"')} AS "logFC", {R('mean_A')} AS "mean_A", {R('mean_B')} AS "mean_B" FROM qv""")
+def d01_p(spark, sf):
+    t = _tests(spark, sf)
+    return t.select("comparison", "cluster", "other", "gene", *[r6(c) for c in ("p_val", "FDR", "t_stat", "logFC", "mean_A", "mean_B")])
+
+
+@query("D01_any_direction", f"""WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}, {CONTRASTS}, {TAIL}
+SELECT comparison, gene, {R('2 * least(p, 1 - p)')} AS p_val FROM pv""")
+def d01_any(spark, sf):
+    t = D.pairwise_t_tests(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf), "any")
+    return t.select("comparison", "gene", r6("p_val"))
+
+
+@query("K11_wide_p_values", f"""WITH {EMB}, {LABELS}, {DENSE_GROUPS}, {CONTRASTS}, {TAIL}
+SELECT 'gene,' || string_agg(comparison, ',' ORDER BY comparison) AS value FROM (SELECT DISTINCT comparison FROM pv)
+UNION ALL SELECT gene || ',' || string_agg(coalesce(CAST(CAST(p AS DECIMAL(9, 6)) AS VARCHAR), ''), ',' ORDER BY comparison) FROM pv GROUP BY gene""")
 def k11(spark, sf):
-    return SK.wide_lines(d01_p(spark, sf), "comparison", "p_val", ",")
+    """The wide table of p-values, to six places."""
+    return SK.wide_lines(_tests(spark, sf).withColumn("p_val", F.col("p_val").cast("decimal(9,6)")), "comparison", "p_val", ",")
 
 
 @query("K11_K14_wide_lines", f"""WITH {LINE}, k AS (SELECT DISTINCT cell FROM m),
@@ -111,9 +139,14 @@ def k11_lines(spark, sf):
     return SK.wide_lines(ad.line_counts(spark, sf).expr.withColumn("n", F.lit(1)), "cell", "n", ",")
 
 
-@query("D03_K13_discovered_markers")
+@query("D03_K13_discovered_markers", f"""WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}, {CONTRASTS}, {TAIL},
+o AS (SELECT split_part(comparison, '_vs_', 1) AS cluster, gene, p FROM pv WHERE p IS NOT NULL),
+r AS (SELECT cluster, gene, p, rank() OVER (PARTITION BY cluster, gene ORDER BY p) + (count(*) OVER (PARTITION BY cluster, gene, p) - 1) / 2.0 AS k,
+  count(*) OVER (PARTITION BY cluster, gene) AS m FROM o)
+SELECT cluster, gene, {R('least(1.0, min(m * p / k))')} AS pvalue_simes FROM r GROUP BY 1, 2""")
 def d03(spark, sf):
-    return D.discover_markers(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))[1]
+    found = D.discover_markers(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))[1]
+    return found.select("cluster", "gene", r6("pvalue_simes"))
 
 
 # ---- cell types ----------------------------------------------------------
@@ -208,10 +241,35 @@ def h02(spark, sf):
     return H.brennecke(log_normalize(ad.line_counts(spark, sf)))
 
 
-@query("H03_hvg_scran")
+def _moments_of(name, where):
+    return f"""{name}m AS (SELECT * FROM m WHERE {where}), {name}t AS (SELECT cell, sum(value) AS reads FROM {name}m GROUP BY 1),
+{name}n AS (SELECT count(*) AS n FROM {name}t), {name}v AS (SELECT gene, log2(value * 10000.0 / reads + 1) AS v FROM {name}m JOIN {name}t ON {name}m.cell = {name}t.cell),
+{name}s AS (SELECT gene, count(*) AS z, avg(v) AS mz, coalesce(var_pop(v), 0) * count(*) AS m2z FROM {name}v GROUP BY 1),
+{name}g AS (SELECT gene, z * mz / n AS mean, (m2z + mz * mz * z * (n - z) / n) / (n - 1) AS var FROM {name}s, {name}n)"""
+
+
+# the quartic as a sum of polynomials that are orthogonal on the spike-in means (three-term recurrence)
+QUARTIC = """pt AS (SELECT (mean - avg(mean) OVER ()) / stddev_pop(mean) OVER () AS u, ln(var) AS y FROM sg WHERE var > 0),
+ab AS (SELECT avg(mean) AS mu, stddev_pop(mean) AS sd FROM sg WHERE var > 0),
+k0 AS (SELECT avg(u) AS a0, count(*) AS n0, avg(y) AS c0 FROM pt),
+p1 AS (SELECT u, y, u - a0 AS q1 FROM pt, k0), k1 AS (SELECT sum(u * q1 * q1) / sum(q1 * q1) AS a1, sum(q1 * q1) AS n1, sum(y * q1) / sum(q1 * q1) AS c1 FROM p1),
+p2 AS (SELECT u, y, q1, (u - a1) * q1 - n1 / n0 AS q2 FROM p1, k0, k1),
+k2 AS (SELECT sum(u * q2 * q2) / sum(q2 * q2) AS a2, sum(q2 * q2) AS n2, sum(y * q2) / sum(q2 * q2) AS c2 FROM p2),
+p3 AS (SELECT u, y, q2, (u - a2) * q2 - n2 / n1 * q1 AS q3 FROM p2, k1, k2),
+k3 AS (SELECT sum(u * q3 * q3) / sum(q3 * q3) AS a3, sum(q3 * q3) AS n3, sum(y * q3) / sum(q3 * q3) AS c3 FROM p3),
+k4 AS (SELECT sum(y * q4) / sum(q4 * q4) AS c4 FROM (SELECT y, (u - a3) * q3 - n3 / n2 * q2 AS q4 FROM p3, k2, k3)),
+e AS (SELECT gene, mean, var, (mean - mu) / sd AS u, k0.*, k1.*, k2.*, k3.*, k4.* FROM dg, ab, k0, k1, k2, k3, k4),
+e1 AS (SELECT *, u - a0 AS q1 FROM e), e2 AS (SELECT *, (u - a1) * q1 - n1 / n0 AS q2 FROM e1), e3 AS (SELECT *, (u - a2) * q2 - n2 / n1 * q1 AS q3 FROM e2),
+bv AS (SELECT gene, mean, var, var - exp(c0 + c1 * q1 + c2 * q2 + c3 * q3 + c4 * ((u - a3) * q3 - n3 / n2 * q2)) AS bio FROM e3)"""
+NOT_SPIKE, SPIKE = "NOT regexp_matches(gene, '^ERCC[_-]')", "regexp_matches(gene, '^ERCC[_-]')"
+
+
+@query("H03_hvg_scran", f"""WITH {NAMED}, {_moments_of('d', NOT_SPIKE)}, {_moments_of('s', SPIKE)}, {QUARTIC}
+SELECT gene, {R('mean')} AS mean, {R('var')} AS var, {R('bio')} AS bio_var, CAST(row_number() OVER (ORDER BY bio DESC NULLS LAST, gene) AS INTEGER) AS rank
+FROM bv ORDER BY bio DESC NULLS LAST, gene LIMIT 1000""")
 def h03(spark, sf):
     data, spikes = FI.split_spikes(ad.named_counts(spark, sf))
-    return H.scran(log_normalize(data), log_normalize(spikes))
+    return H.scran(log_normalize(data), log_normalize(spikes)).select("gene", r6("mean"), r6("var"), r6("bio_var"), "rank")
 
 
 CHEN = f"""{LINE}, {NC}, {NORM}, {LINEAR},
@@ -268,9 +326,35 @@ def h06e(spark, sf):
     return e.select("gene", r6("p_sum"), r6("v_sum"))
 
 
-@query("H06_hvg_m3drop_umi")
+# the upper tail of the normal distribution from a series without cancellation
+def _upper(z):
+    return f"""CASE WHEN {z} > 9 THEN 0.0 WHEN {z} < -9 THEN 1.0 ELSE 0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) *
+  list_sum(list_transform(range(0, 160), lambda k: exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) + 0.5 * ln(pi()) - (k + 1) * ln(2.0) - lgamma(k + 1.5)))) END"""
+
+
+def _adjusted(source):
+    return f"""rp AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(p) OVER () AS m FROM {source}),
+qv AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(1.0, min(m * p / k) OVER (ORDER BY p DESC NULLS LAST, k DESC ROWS UNBOUNDED PRECEDING)) END AS q FROM rp)"""
+
+
+UMI_TEST = f"""{UMI}, mx AS (SELECT max(size) AS top FROM v),
+sz AS (SELECT v.*, greatest(1e-10, CASE WHEN size < 0 THEN 10 * top ELSE size END) AS sz, ln(tj / nc) AS lm FROM v, mx),
+hi AS (SELECT max(sz) AS top, count(*) FILTER (WHERE log2(tj / nc) > 4) AS high FROM sz),
+ft AS (SELECT regr_slope(ln(sz), lm) AS k, regr_intercept(ln(sz), lm) AS b FROM sz, hi WHERE sz < hi.top AND tj > 0 AND (high <= 2000 OR log2(tj / nc) > 4)),
+tr AS (SELECT gene, tj / total AS rate, nc, dj, exp(b + k * lm) AS size FROM sz, ft),
+ex AS (SELECT gene, any_value(nc) AS nc, any_value(dj) AS dj, sum(exp(-size * ln(1 + rate * t / size))) AS ps,
+  sum(exp(-size * ln(1 + rate * t / size)) * (1 - exp(-size * ln(1 + rate * t / size)))) AS vs FROM tr, ti GROUP BY gene),
+oe AS (SELECT gene, dj / CAST(nc AS DOUBLE) AS o, greatest(ps / nc, 1.0 / nc) AS e, nc, vs FROM ex),
+zz AS (SELECT gene, o, e, (o - e) / nullif(sqrt(vs / (nc * CAST(nc AS DOUBLE)) + o * (1 - o) / nc), 0) AS z FROM oe),
+zp AS (SELECT *, CASE WHEN z IS NOT NULL THEN {_upper('z')} END AS p FROM zz), {_adjusted('zp')}"""
+
+
+@query("H06_hvg_m3drop_umi", f"""WITH {UMI_TEST}
+SELECT gene, {R('o')} AS observed, {R('e')} AS expected, {R('z')} AS z, {R('p')} AS p_val, {R('q')} AS padj FROM qv WHERE q < 0.10""")
 def h06(spark, sf):
-    return H.m3drop_umi(ad.line_counts(spark, sf).stored())
+    """All genes that pass, however many."""
+    found = H.m3drop_umi(ad.line_counts(spark, sf).stored(), 2**31 - 1)
+    return found.select("gene", *[r6(c) for c in ("observed", "expected", "z", "p_val", "padj")])
 
 
 # ---- quality control -----------------------------------------------------
@@ -291,35 +375,88 @@ def q01_orders(spark, sf):
 
 # ---- dimension reduction -------------------------------------------------
 
-@query("P01_gram", f"""WITH {EMB} SELECT CAST(a.gene AS INTEGER) AS i, CAST(b.gene AS INTEGER) AS j, {R('sum(a.value * b.value)')} AS value
-FROM m a JOIN m b ON a.cell = b.cell GROUP BY 1, 2""")
+def _rebuilt(spark, p, weights):
+    """``i, j, value``: the gene-by-gene table that the components stand for."""
+    w = spark.createDataFrame([(i, float(v)) for i, v in enumerate(weights, 1)], "pc int, w double")
+    a = p.loading_table(spark).select(F.col("gene").alias("a"), "pc", F.col("loading").alias("la"))
+    b = a.select(F.col("a").alias("b"), "pc", F.col("la").alias("lb")).join(w, "pc")
+    both = a.join(b, "pc").groupBy(F.col("a").cast("int").alias("i"), F.col("b").cast("int").alias("j")).agg(F.sum(F.col("la") * F.col("lb") * F.col("w")).alias("value"))
+    return both.select("i", "j", r6("value"))
+
+
+def _pairs_of(expr):
+    return f"""WITH {EMB} SELECT CAST(a.gene AS INTEGER) AS i, CAST(b.gene AS INTEGER) AS j, {R(expr)} AS value
+FROM m a JOIN m b ON a.cell = b.cell GROUP BY 1, 2"""
+
+
+@query("P01_gram", _pairs_of("sum(a.value * b.value)"))
 def p01g(spark, sf):
-    g = L.gram(ad.embedding_points(spark, sf))
-    return _square(spark, g)
+    """All components together give back the sums of products of every two genes."""
+    m = ad.embedding_matrix(spark, sf).stored()
+    p = L.truncated_svd(m, m.genes, 1000)[0]
+    return _rebuilt(spark, p, p.strength**2)
 
 
-@query("P02_covariance", f"""WITH {EMB} SELECT CAST(a.gene AS INTEGER) AS i, CAST(b.gene AS INTEGER) AS j, {R('covar_samp(a.value, b.value)')} AS value
-FROM m a JOIN m b ON a.cell = b.cell GROUP BY 1, 2""")
+@query("P02_covariance", _pairs_of("covar_samp(a.value, b.value)"))
 def p02c(spark, sf):
-    pts = ad.embedding_points(spark, sf)
-    return _square(spark, L.covariance(pts, 0)[1])
+    m = ad.embedding_matrix(spark, sf).stored()
+    p = L.centred_pca(m, m.genes, 1000)[0]
+    return _rebuilt(spark, p, p.strength)
+
+
+@query("P02_correlation", _pairs_of("corr(a.value, b.value)"))
+def p02s(spark, sf):
+    m = ad.embedding_matrix(spark, sf).stored()
+    p = L.centred_pca(m, m.genes, 1000, scale=True)[0]
+    return _rebuilt(spark, p, p.strength)
+
+
+def _equations(spark, m, p, scores, weights, n):
+    """``pc, residual, length, energy``: how well each component solves its equation; exact ones give 0, 1 and 1.
 
+    The residual of ``Z'(Z v) = w v`` is taken over all genes as a share of the largest ``w``; stored
+    entries meet the scores, and the centre is one number per gene, so this does not use the solver.
+    """
+    each = L.explode_scores(scores)
+    stats = spark.createDataFrame([(g, float(c), float(s)) for g, c, s in zip(p.genes, p.centre, p.scale)], "gene string, centre double, by double")
+    sums = each.groupBy("pc").agg(F.sum("score").alias("total"), F.sum(F.col("score") * F.col("score")).alias("energy"))
+    w = spark.createDataFrame([(i, float(v)) for i, v in enumerate(weights, 1)], "pc int, w double").join(sums, "pc")
+    image = m.expr.join(each, "cell").groupBy("gene", "pc").agg(F.sum(F.col("value") * F.col("score")).alias("raw"))
+    full = p.loading_table(spark).join(image, ["gene", "pc"], "left").join(stats, "gene").join(w, "pc")
+    gap = (F.coalesce("raw", F.lit(0.0)) - F.col("centre") * F.col("total")) / F.col("by") / n - F.col("w") * F.col("loading")
+    top = float(max(weights))
+    return full.groupBy("pc").agg(
+        F.max(F.abs(gap / top)).alias("residual"), F.sum(F.col("loading") * F.col("loading")).alias("length"),
+        F.first(F.col("energy") / n / F.col("w")).alias("energy")).select("pc", r6("residual"), r6("length"), r6("energy"))
 
-def _square(spark, g):
-    cells = [(i, j, float(g[i, j])) for i in range(len(g)) for j in range(len(g))]
-    return spark.createDataFrame(cells, "i int, j int, value double").select("i", "j", r6("value"))
+
+SOLVED = "SELECT CAST(i AS INTEGER) AS pc, 0.0::DOUBLE AS residual, 1.0::DOUBLE AS length, 1.0::DOUBLE AS energy FROM range(1, 76) t(i)"
+
+
+@query("P01_singular_equations", SOLVED)
+def p01e(spark, sf):
+    m = log_normalize(ad.line_counts(spark, sf)).stored()
+    p, scores = L.truncated_svd(m, H.seurat(m, 1000), 75)
+    return _equations(spark, m, p, scores, p.strength**2, 1)
+
+
+@query("P02_principal_equations", SOLVED)
+def p02e(spark, sf):
+    m = log_normalize(ad.line_counts(spark, sf)).stored()
+    p, scores = L.centred_pca(m, H.seurat(m, 1000), 75, scale=True)
+    return _equations(spark, m, p, scores, p.strength, m.cells.count() - 1)
 
 
 @query("P01_F10_svd")
 def p01(spark, sf):
     m = log_normalize(ad.line_counts(spark, sf)).stored()
-    return L.explode_scores(L.truncated_svd(m, H.seurat(m, 300), 20)[1])
+    return L.explode_scores(L.truncated_svd(m, H.seurat(m, 1000), 75)[1])
 
 
 @query("P02_K07_pca")
 def p02(spark, sf):
     m = log_normalize(ad.line_counts(spark, sf)).stored()
-    return L.explode_scores(L.centred_pca(m, H.seurat(m, 300), 20)[1])
+    return L.explode_scores(L.centred_pca(m, H.seurat(m, 1000), 75)[1])
 
 
 # ---- linear models -------------------------------------------------------

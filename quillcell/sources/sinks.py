@@ -57,13 +57,17 @@ def wide_lines(df: DataFrame, column: str, value: str, sep: str, first: list[str
     fields as the table has columns. ``first`` are further columns of the gene, put after it.
     """
     lead = ["gene", *(first or [])]
-    names = df.select(F.col(column).cast("string").alias("c")).distinct()
-    labels = names.agg(F.array_sort(F.collect_set("c")).alias("labels"))
-    cell = F.struct(F.col(column).cast("string").alias("k"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
-    packed = df.groupBy(*lead).agg(F.map_from_entries(F.collect_set(cell)).alias("cells"))
-    fields = F.transform(F.col("labels"), lambda k: F.coalesce(F.element_at("cells", k), F.lit("")))
-    body = packed.withColumn("labels", labels.scalar()).select(
-        F.lit(1).alias("o"), F.col("gene").alias("g"), F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in lead), fields).alias("value"))
+    labels = df.select(F.col(column).cast("string").alias("c")).distinct().agg(F.array_sort(F.collect_set("c")).alias("labels"))
+    index = labels.select(F.posexplode("labels").alias("at", "c"), F.size("labels").alias("width"))
+    placed = df.join(index, F.col(column).cast("string") == F.col("c"))
+    entry = F.struct((F.col("at") + 1).alias("at"), F.coalesce(F.col(value).cast("string"), F.lit("")).alias("v"))
+    packed = placed.groupBy(*lead, "width").agg(F.array_sort(F.collect_set(entry)).alias("e"))
+    # a field is preceded by as many separators as columns lie between it and the one before
+    gap = lambda i: F.col("e")[i]["at"] - F.when(i > 0, F.col("e")[i - 1]["at"]).otherwise(0)
+    fields = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: F.concat(F.repeat(F.lit(sep), gap(i)), F.col("e")[i]["v"]))
+    rest = F.repeat(F.lit(sep), F.col("width") - F.element_at("e", -1)["at"])
+    names = F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in lead))
+    body = packed.select(F.lit(1).alias("o"), F.col("gene").alias("g"), F.concat(names, F.array_join(fields, ""), rest).alias("value"))
     head = labels.select(F.lit(0).alias("o"), F.lit("").alias("g"), F.concat_ws(sep, *map(F.lit, lead), "labels").alias("value"))
     return head.unionByName(body).orderBy("o", "g").select("value")
 

@@ -95,6 +95,74 @@ def test_communities_find_blobs_and_are_connected(spark):
     assert (np.diff(sizes) <= 0).all()
 
 
+def _quality(edges, label, gamma):
+    inside = sum(w for (a, b), w in edges.items() if label[a] == label[b])
+    sizes = np.bincount(np.unique(list(label.values()), return_inverse=True)[1])
+    return inside - gamma * float((sizes**2).sum()) / 2
+
+
+def _sequential(nodes, edges, gamma, seed):
+    """Local moves of one node after the other, then of whole communities, until nothing gains."""
+    draw = np.random.default_rng(seed)
+    label = {v: v for v in nodes}
+    groups = {v: [v] for v in nodes}
+    while True:
+        moved_any, names = False, list(groups)
+        moved = True
+        home = {g: label[groups[g][0]] for g in names}
+        of = {v: g for g in names for v in groups[g]}
+        weight = {}
+        for (a, b), w in edges.items():
+            if of[a] != of[b]:
+                weight.setdefault(of[a], {}).setdefault(of[b], 0.0)
+                weight.setdefault(of[b], {}).setdefault(of[a], 0.0)
+                weight[of[a]][of[b]] += w
+                weight[of[b]][of[a]] += w
+        while moved:
+            moved = False
+            for g in draw.permutation(names):
+                mass = {}
+                for h in names:
+                    mass[home[h]] = mass.get(home[h], 0) + len(groups[h]) * (h != g)
+                reach = {}
+                for h, w in weight.get(g, {}).items():
+                    reach[home[h]] = reach.get(home[h], 0.0) + w
+                value = lambda c: reach.get(c, 0.0) - gamma * len(groups[g]) * mass.get(c, 0)  # noqa: B023, E731
+                to = max(reach, key=value, default=home[g])
+                if value(to) > value(home[g]) + 1e-9:
+                    home[g], moved, moved_any = to, True, True
+        label = {v: home[g] for g in names for v in groups[g]}
+        if not moved_any:
+            return label
+        groups = {c: [v for v in nodes if label[v] == c] for c in set(label.values())}
+
+
+def test_communities_are_as_good_as_sequential_ones(spark):
+    rng = np.random.default_rng(11)
+    n = 60
+    nodes = [f"v{i:02d}" for i in range(n)]
+    edges = {(nodes[i], nodes[j]): 1.0 for i in range(n) for j in range(i + 1, n) if rng.random() < (0.45 if i // 10 == j // 10 else 0.06)}
+    df = spark.createDataFrame(list(edges), "src string, dst string")
+    found = {r["cell"]: r["cluster"] for r in C.communities(spark.createDataFrame([(v,) for v in nodes], "node string"), df, 1.5).collect()}
+    gamma = 1.5 * 2 * len(edges) / n**2
+    assert set(found) == set(nodes)
+    want = max(_quality(edges, _sequential(nodes, edges, gamma, s), gamma) for s in range(3))
+    assert _quality(edges, found, gamma) >= want - 1e-9
+
+
+def test_refinement_splits_what_is_badly_connected(spark):
+    """Two cliques joined by one weak link inside one community share no part; a lone node stays alone."""
+    clique = lambda names: [(a, b, 1.0) for a in names for b in names if a != b]
+    left, right = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(6)]
+    rows = clique(left) + clique(right) + [("a0", "b0", 0.01), ("b0", "a0", 0.01)]
+    nodes = spark.createDataFrame([(v, 1.0) for v in [*left, *right, "z"]], "node string, mass double")
+    edges = spark.createDataFrame(rows, "src string, dst string, w double")
+    member = nodes.select("node", F.lit("one").alias("community"))
+    parts = {r["node"]: r["part"] for r in C._refine(nodes, edges, member, 0.3).collect()}
+    assert not {parts[v] for v in left} & {parts[v] for v in right}
+    assert parts["z"] == "z" and max(list(parts.values()).count(p) for p in parts.values()) > 1
+
+
 def test_components_and_scores_match_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.poisson(1.0, (25, 8)).astype(float)
@@ -116,6 +184,56 @@ def test_components_and_scores_match_numpy(spark):
     assert np.allclose(np.array([r["features"] for r in q.apply(m).orderBy("cell").collect()]), got)
 
 
+def _sparse(rng, n, d, share):
+    """Random low-rank counts with noise, most of them zero."""
+    x = rng.poisson(rng.gamma(1.0, 1.0, (n, 5)) @ rng.gamma(0.3, 1.0, (5, d))) * (rng.random((n, d)) < share)
+    return x.astype(float)
+
+
+def test_eigenpairs_agree_with_the_dense_solver():
+    rng = np.random.default_rng(5)
+    flat = np.linalg.qr(rng.standard_normal((120, 120)))[0]
+    for values in (1.0 / np.arange(1, 121), np.concatenate([[5.0, 5.0, 5.0], np.full(117, 1.0)]), np.r_[np.ones(2), np.zeros(118)], np.linspace(2, 1, 120)):
+        a = (flat * values) @ flat.T
+        got, vectors, trace = linalg.eigenpairs(lambda v: a @ v, 120, 4)
+        assert np.allclose(got, np.sort(values)[::-1][:4], atol=1e-8)
+        assert np.allclose(vectors.T @ vectors, np.eye(4), atol=1e-8) and np.abs(a @ vectors - vectors * got).max() < 1e-6
+        assert trace[-1] <= 1e-9
+    assert linalg.eigenpairs(lambda v: v, 0, 3)[1].shape == (0, 0)
+
+
+def test_product_in_panels_and_runs(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    x, v, offset = _sparse(rng, 200, 30, 0.2), rng.standard_normal((30, 5)), rng.standard_normal(5)
+    at = [np.flatnonzero(r) for r in x]
+    rows = spark.createDataFrame([(f"c{i}", a.tolist(), x[i, a].tolist()) for i, a in enumerate(at)], "cell string, idx array<int>, val array<double>")
+    u = x @ v - offset
+    for panel in (linalg.PANEL, 8 * 30 * 2):
+        monkeypatch.setattr(linalg, "PANEL", panel)
+        image, total = linalg.multiply(rows, v, offset)
+        assert np.allclose(image, x.T @ u) and np.allclose(total, u.sum(0))
+
+
+def test_wide_gene_sets_need_no_square_table(spark):
+    """20 000 genes, few of them in any cell: a square table would hold 3 GB."""
+    rng = np.random.default_rng(3)
+    n, d = 120, 20_000
+    where = [rng.choice(d, 60, replace=False) for _ in range(n)]
+    x = np.zeros((n, d))
+    for i, w in enumerate(where):
+        x[i, w] = rng.poisson(3.0, 60) + 1.0
+    rows = [(f"g{j:05d}", f"c{i:03d}", float(x[i, j])) for i, w in enumerate(where) for j in w]
+    m = Matrix(spark.createDataFrame(rows, "gene string, cell string, value double"))
+    genes = spark.range(d).select(F.format_string("g%05d", "id").alias("gene"))
+    for fit, y in ((linalg.truncated_svd, x), (linalg.centred_pca, x - x.mean(0))):
+        p, scores = fit(m, genes, 3)
+        got = np.array([r["features"] for r in scores.orderBy("cell").collect()])
+        values, vectors = np.linalg.eigh(y @ y.T)
+        strength = p.strength**2 if fit is linalg.truncated_svd else p.strength * (n - 1)
+        assert np.allclose(strength, values[::-1][:3])
+        assert np.allclose(np.abs(got), np.abs(vectors[:, ::-1][:, :3] * np.sqrt(values[::-1][:3])), atol=1e-5)
+
+
 @pytest.mark.parametrize("layout", ["tsne", "umap"])
 def test_layouts_pull_blobs_apart(spark, layout):
     pts = blobs(copies=0)

@@ -12,7 +12,7 @@ from quillcell.functions import distributions as D
 from quillcell.functions.exprs import half_even, smallest_overlap
 from quillcell.operators import glm as G
 from quillcell.operators.multiplicity import benjamini_hochberg, simes
-from quillcell.operators.quantile import exact_quantile
+from quillcell.operators.quantile import exact_quantile, ordered_bits
 from quillcell.operators.qc import chi2_quantile
 from quillcell.operators.ranking import count_above, dense_rank_desc, hash_index
 
@@ -65,16 +65,33 @@ def test_simes_with_ties(spark):
     assert got["a"] == pytest.approx(3 * 0.02 / 1.5) and got["b"] == 1.0
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
 @pytest.mark.parametrize("q", [0.0, 0.5, 0.8, 1.0])
-def test_quantiles_in_both_paths(spark, q, small):
+def test_quantiles_by_bits(spark, q):
     rng = np.random.default_rng(3)
-    rows = [("a", float(v)) for v in rng.lognormal(0, 3, 301)] + [("b", float(v)) for v in rng.normal(0, 1, 40)]
-    rows += [("b", 0.25)] * 30 + [("c", 7.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], small_group=small).collect()}
-    for g in "abc":
-        assert got[g] == pytest.approx(np.quantile([v for k, v in rows if k == g], q), rel=1e-12)
+    groups = {
+        "a": rng.lognormal(0, 3, 301), "b": np.r_[rng.normal(0, 1, 40), [0.25] * 30], "c": [7.0], "d": [1e300, -1e300, 5e-324, 0.0, -5e-324],
+        "e": np.r_[rng.uniform(1, 1 + 1e-12, 200), 1e18], None: [3.0, 4.0, 8.0],
+    }
+    rows = [(g, float(v), 1 + i % 3) for g, vs in groups.items() for i, v in enumerate(vs)] + [("a", None, 1), ("a", 5.0, 0)]
+    df = spark.createDataFrame(rows, "g string, v double, w int")
+    got = {r["g"]: r["quantile"] for r in exact_quantile(df, "v", q, ["g"], "w").collect()}
+    assert set(got) == set(groups)
+    for g, vs in groups.items():
+        want = np.quantile(np.repeat(np.asarray(vs, float), [1 + i % 3 for i in range(len(vs))]), q)
+        assert got[g] == pytest.approx(want, rel=1e-12, abs=0), g
+    everything = exact_quantile(df.filter("g = 'e'"), "v", q).first()[0]
+    assert everything == pytest.approx(np.quantile(groups["e"], q), rel=1e-12)
+
+
+def test_bits_order_as_doubles_do(spark):
+    rng = np.random.default_rng(9)
+    values = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 3000).view(float), 2.0 ** np.arange(-1074, 1024), np.nextafter(2.0 ** np.arange(-1022, 1024), 0), [0.0, np.inf]])
+    values = values[~np.isnan(values)]
+    values = np.concatenate([values, -values])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", ordered_bits(F.col("v")).alias("bits"))
+    for r in df.collect():
+        bits = int(np.float64(abs(r["v"])).view(np.int64))
+        assert r["bits"] == (-bits if r["v"] < 0 else bits), r["v"]
 
 
 def test_global_positions(spark):
@@ -84,6 +101,8 @@ def test_global_positions(spark):
     above = {r["v"]: r["above"] for r in count_above(df, "v").collect()}
     values = [i % 13 for i in range(1000)]
     assert all(above[v] == sum(x > v for x in values) for v in range(13))
+    far = spark.createDataFrame([(v,) for v in [1e18, 1.0, 1.0, 1.0 + 2**-52, -3.0, 0.0]], "v double")
+    assert {r["v"]: r["above"] for r in count_above(far, "v").collect()} == {1e18: 0, 1.0 + 2**-52: 1, 1.0: 2, 0.0: 4, -3.0: 5}
     ranks = {r["k"]: r["n"] for r in dense_rank_desc(df, "v", "k", "n").collect()}
     assert sorted(ranks.values()) == list(range(1000))
     assert max(ranks[f"c{i}"] for i in range(1000) if i % 13 == 12) < min(ranks[f"c{i}"] for i in range(1000) if i % 13 == 11)

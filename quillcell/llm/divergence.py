@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillcell.llm.textops import U64, buffers, hash_spans
+from quillcell.llm.textops import U64, buffers, by_bytes, hash_spans
 from quillcell.session import cut_lineage
 
 LEVELS = 6
 SIDE = 1 << LEVELS
 _PART = 1024
-_SLICE = 1 << 22
+_SLICE = 1 << 21
 _FILTER_BITS = 1 << 23
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,14 +50,11 @@ _SOLID = np.zeros(256, dtype=bool)
 _SOLID[97:123] = _SOLID[128:] = True
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of some megabytes of text; a longer text is a run of its own."""
-    _, offsets = buffers(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
+def _summed(parts: list[pa.RecordBatch], keys: list[str], value: str) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches with one row for each key."""
+    if parts:
+        table = pa.TableGroupBy(pa.Table.from_batches(parts), keys, use_threads=False).aggregate([(value, "sum")])
+        yield from table.rename_columns({f"{value}_sum": value}).select([*keys, value]).to_batches()
 
 
 def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -91,15 +88,17 @@ def document_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            parts = []
+            for part in by_bytes(batch, _SLICE):
                 found, row = terms(part.column("text"))
                 which, words = _encoded(found)
                 lang, langs = _encoded(part.column("lang"))
                 n = max(1, len(words))
                 once = np.unique(row * n + which)
                 key, docs = np.unique(lang[once // n] * n + once % n, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(key // n)), words.take(pa.array(key % n)).cast(pa.string()), pa.array(docs)], ["lang", "term", "docs"])
+                parts.append(pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(key // n)), words.take(pa.array(key % n)).cast(pa.string()), pa.array(docs)], ["lang", "term", "docs"]))
+            yield from _summed(parts, ["lang", "term"], "docs")
 
     return docs.mapInArrow(run, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -136,7 +135,8 @@ def group_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            parts = []
+            for part in by_bytes(batch, _SLICE):
                 found, row = terms(part.column("text"))
                 which, words = _encoded(found)
                 h = _hashes(words)
@@ -146,9 +146,10 @@ def group_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 n, m = max(1, len(words)), max(1, len(sources))
                 group = (lang * m + source)[row[wanted]]
                 key, count = np.unique(group * n + which[wanted], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
+                parts.append(pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(key // n // m)), sources.take(pa.array(key // n % m)), words.take(pa.array(key % n)).cast(pa.string()),
-                     pa.array(count)], ["lang", "source", "term", "n"])
+                     pa.array(count)], ["lang", "source", "term", "n"]))
+            yield from _summed(parts, ["lang", "source", "term"], "n")
 
     counted = docs.mapInArrow(run, "lang string, source string, term string, n long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])

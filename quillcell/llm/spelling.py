@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillcell.llm.textops import buffers
+from quillcell.llm.textops import buffers, by_bytes
 from quillcell.session import cut_lineage
 
 BLOCK = 2048
@@ -48,16 +48,6 @@ _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs of some megabytes of text; a longer text is a run of its own."""
-    _, offsets = buffers(batch.column("text"))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, side="right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def runs(column: pa.Array, length: int) -> tuple[pa.Array, np.ndarray]:
     """The lower-cased runs of at least ``length`` code points, in order, and the row of each."""
     data, offsets = buffers(column)
@@ -85,7 +75,7 @@ def word_counts(docs: DataFrame, length: int = 7, odds: int = 31) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _parts(batch):
+            for part in by_bytes(batch, _SLICE):
                 found, row = runs(part.column("text"), length)
                 coded = found.dictionary_encode()
                 words = coded.dictionary.to_pylist()

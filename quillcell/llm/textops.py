@@ -50,6 +50,16 @@ def slices(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+def by_bytes(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``size`` bytes of ``text``; a longer text is a run of its own."""
+    _, offsets = buffers(batch.column("text"))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text column and the offsets of its rows; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

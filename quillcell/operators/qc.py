@@ -1,8 +1,11 @@
 """Low-quality cells from robust distances (Q01).
 
-The minimum covariance determinant follows FastMCD (Rousseeuw and Van Driessen 1999):
-candidate centres come from a pool of at most ``POOL`` cells, and the concentration steps
-over all cells are Spark aggregations that return a p-vector and a p x p matrix.
+The minimum covariance determinant by nested FastMCD (Rousseeuw and Van Driessen 1999), the same for
+every number of cells. A hash deals the cells into disjoint subsets of some ``SUBSET`` cells. Each
+subset tries random starts and concentrates them, all subsets in parallel; the best are
+concentrated further on the union of a few subsets, and what is left of them on all cells until their
+determinants stop falling. A step over all cells is a selection of the nearest half and one
+aggregation for all candidates, and returns a vector and a matrix for each.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,9 @@ from quillcell.operators.aggregates import qc_features, three_sigma
 from quillcell.operators.quantile import exact_quantile
 from quillcell.session import cut_lineage
 
-POOL = 1500
+SUBSET = 300
+#: Subsets whose union the candidates meet before all cells, and random starts in all subsets together.
+MERGED = 5
 TRIALS = 500
 KEPT = 10
 FEATURES = ("ln_reads", "genes", "perc_rrna", "perc_mt", "perc_spike")
@@ -53,18 +59,49 @@ def _concentrate(x: np.ndarray, centre: np.ndarray, cov: np.ndarray, h: int, ste
     return best, centre, cov
 
 
-def pool_candidates(x: np.ndarray, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
-    """Best centres and covariances of a bounded pool, by determinant."""
+def half_of(n: int, p: int) -> int:
+    return min(n, math.ceil(0.5 * (n + p + 1)))
+
+
+def subset_candidates(x: np.ndarray, trials: int, seed: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """The best of some random starts in one subset after two steps, by determinant."""
     n, p = x.shape
-    h = min(n, math.ceil(0.5 * (n + p + 1)))
     rng = np.random.default_rng(seed)
     rough = []
-    for _ in range(TRIALS if n > p + 1 else 1):
+    for _ in range(trials if n > p + 1 else 1):
         pick = rng.choice(n, min(n, p + 1), replace=False)
         cov = np.cov(x[pick].T, bias=True).reshape(p, -1)
-        rough.append(_concentrate(x, x[pick].mean(axis=0), cov, h, 2))
-    rough.sort(key=lambda r: r[0])
-    return sorted((_concentrate(x, c, s, h, 30) for _, c, s in rough[:KEPT]), key=lambda r: r[0])
+        rough.append(_concentrate(x, x[pick].mean(axis=0), cov, half_of(n, p), 2))
+    return sorted(rough, key=lambda r: r[0])[:KEPT]
+
+
+def _starts(table: DataFrame, names: list[str], n: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Different candidates that subsets and their union have concentrated."""
+    p = len(names)
+    subsets = max(1, round(n / SUBSET))
+    trials = max(2, -(-TRIALS // subsets))
+    dealt = table.select(F.pmod("spread", F.lit(subsets)).alias("subset"), *names)
+
+    def tried(pdf: pd.DataFrame) -> pd.DataFrame:
+        number = int(pdf["subset"].iloc[0])
+        x = pdf[names].to_numpy(float)
+        x = x[np.lexsort(x.T)]
+        found = subset_candidates(x, trials, seed + number)
+        return pd.DataFrame({"logdet": [d for d, _, _ in found], "centre": [c.tolist() for _, c, _ in found], "cov": [v.ravel().tolist() for _, _, v in found]})
+
+    best = dealt.groupBy("subset").applyInPandas(tried, "logdet double, centre array<double>, cov array<double>")
+    best = best.orderBy("logdet", "centre").limit(KEPT * MERGED).collect()
+    # some MERGED * SUBSET cells, however many there are
+    x = dealt.filter(F.col("subset") < MERGED).select(names).toPandas().to_numpy(float)
+    x = x[np.lexsort(x.T)]
+    h = half_of(len(x), p)
+    rough = sorted((_concentrate(x, np.array(r["centre"]), np.array(r["cov"]).reshape(p, p), h, 2) for r in best), key=lambda r: r[0])[:KEPT]
+    full = sorted((_concentrate(x, c, v, h, 30) for _, c, v in rough), key=lambda r: r[0])
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for _, c, v in full:
+        if not any(np.allclose(c, d, rtol=1e-9) and np.allclose(v, w, rtol=1e-9) for d, w in out):
+            out.append((c, v))
+    return out
 
 
 def squared_distance(names: list[str], centre: np.ndarray, cov: np.ndarray) -> Column:
@@ -90,45 +127,60 @@ def _moments(df: DataFrame, names: list[str], centre: np.ndarray) -> tuple[np.nd
     return centre + shift, cov
 
 
-def _full_step(df: DataFrame, names: list[str], centre, cov, share: float):
-    near = df.withColumn("_d", squared_distance(names, centre, cov))
-    limit = exact_quantile(near, "_d", share, name="t").first()[0]
-    return _moments(near.filter(F.col("_d") <= limit), names, centre)
+def _step(table: DataFrame, names: list[str], candidates: list[tuple[np.ndarray, np.ndarray]], share: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """One concentration step of all candidates over all cells: determinants, centres and covariances."""
+    p = len(names)
+    cells = [(i, j) for i in range(p) for j in range(i, p)]
+    each = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, map(float, c))).alias("c")) for k, (c, _) in enumerate(candidates)])
+    inverses = [np.linalg.pinv(v) for _, v in candidates]
+    weights = F.array(*[F.array(*[F.lit(float(w[i, j] * (1 if i == j else 2))) for i, j in cells]) for w in inverses])
+    open_ = table.select(*names, F.explode(each).alias("e")).select("e.id", *[(F.col(n) - F.col("e.c")[i]).alias(f"x{i}") for i, n in enumerate(names)])
+    w = F.get(weights, F.col("id"))
+    distance = sum((F.col(f"x{i}") * F.col(f"x{j}") * w[k] for k, (i, j) in enumerate(cells)), F.lit(0.0))
+    near = open_.withColumn("_d", distance)
+    limits = {r["id"]: r["t"] for r in exact_quantile(near, "_d", share, ["id"], name="t", distinct=True).collect()}
+    limit = F.get(F.array(*[F.lit(float(limits[k])) for k in range(len(candidates))]), F.col("id"))
+    sums = near.filter(F.col("_d") <= limit).groupBy("id").agg(
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{k}") for k, (i, j) in enumerate(cells)])
+    out = []
+    for r in sums.orderBy("id").collect():
+        shift, cov = np.array([r[f"m{i}"] for i in range(p)]), np.zeros((p, p))
+        for k, (i, j) in enumerate(cells):
+            cov[i, j] = cov[j, i] = r[f"s{k}"] - shift[i] * shift[j]
+        sign, logdet = np.linalg.slogdet(cov)
+        out.append((float(logdet) if sign > 0 else -math.inf, candidates[r["id"]][0] + shift, cov))
+    return out
 
 
-def _descend(df: DataFrame, names: list[str], centre, cov, share: float, steps: int):
-    """Concentration steps until the determinant stops falling."""
-    last = math.inf
-    for _ in range(steps):
-        centre, cov = _full_step(df, names, centre, cov, share)
-        logdet = float(np.linalg.slogdet(cov)[1])
-        if logdet >= last - 1e-7:
-            break
-        last = logdet
-    return logdet, centre, cov
+def minimum_covariance(table: DataFrame, names: list[str], n: int, seed: int = 42) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log determinant, centre and covariance of the half of the rows that lies closest together.
+
+    ``table`` has the columns ``names``, none of them constant, and a hash ``spread``.
+    """
+    share = (half_of(n, len(names)) - 1) / max(1, n - 1)
+    going, best = _starts(table, names, n, seed), None
+    before = [math.inf] * len(going)
+    while going:
+        steps = _step(table, names, going, share)
+        best = min([*steps, *([best] if best else [])], key=lambda r: r[0])
+        on = [(s, b) for s, b in zip(steps, before) if s[0] < b - 1e-9 and s[0] > -math.inf]
+        going, before = [(c, v) for (_, c, v), _ in on], [s[0] for s, _ in on]
+    return best
 
 
 def robust_distances(features: DataFrame, names: list[str], seed: int = 42, key: str = "cell") -> DataFrame:
     """``key, md``: squared robust distance of every row. Constant features are left out."""
-    table = cut_lineage(features.select(key, *[F.col(c).cast("double").alias(c) for c in names]))
-    spread = table.agg(F.count("*"), *[F.var_pop(c) for c in names]).first()
-    n, names = spread[0], [c for c, v in zip(names, spread[1:]) if v and v > 1e-20]
+    spread = F.xxhash64(F.lit(seed), F.col(key)).alias("spread")
+    table = cut_lineage(features.select(key, spread, *[F.col(c).cast("double").alias(c) for c in names]))
+    counts = table.agg(F.count("*"), *[F.var_pop(c) for c in names]).first()
+    n, names = counts[0], [c for c, v in zip(names, counts[1:]) if v and v > 1e-20]
     if not names:
         return table.select(key, F.lit(0.0).alias("md"))
     p = len(names)
-    sample = table.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(POOL).select(names).toPandas().to_numpy(float)
-    candidates = pool_candidates(sample, seed)
-    best = candidates[0]
-    if n > POOL:
-        h = min(n, math.ceil(0.5 * (n + p + 1)))
-        share = (h - 1) / (n - 1)
-        refined = [_descend(table, names, c, v, share, 2) for _, c, v in candidates[:2]]
-        _, centre, cov = min(refined, key=lambda r: r[0])
-        best = _descend(table, names, centre, cov, share, 12)
-    _, centre, cov = best
+    _, centre, cov = minimum_covariance(table, names, n, seed)
     raw = table.withColumn("_d", squared_distance(names, centre, cov))
-    scale = exact_quantile(raw, "_d", 0.5, name="t").first()[0] / chi2_quantile(0.5, p)
-    inner = raw.filter(F.col("_d") / scale < chi2_quantile(0.975, p))
+    scale = exact_quantile(raw, "_d", 0.5, name="t", distinct=True).first()[0] / chi2_quantile(0.5, p)
+    inner = raw.filter(F.col("_d") / scale < chi2_quantile(0.975, p)) if scale > 0 else raw.filter("_d <= 0")
     centre, cov = _moments(inner, names, centre)
     return table.select(key, squared_distance(names, centre, cov).alias("md"))
 

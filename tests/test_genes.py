@@ -1,5 +1,6 @@
 """Variable genes, quality control, contrasts and cell types against numpy on small matrices."""
 
+import itertools
 import math
 
 import numpy as np
@@ -131,7 +132,20 @@ def test_robust_distances_flag_planted_outliers(spark):
     assert d[:15].min() > 5 * np.quantile(d[15:], 0.9)
 
 
-def test_robust_distances_beyond_the_pool(spark):
+@pytest.mark.parametrize("n,p", [(13, 2), (11, 1), (9, 3)])
+def test_minimum_covariance_is_the_least_of_all_halves(spark, n, p):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, p)) + 5 * (rng.random((n, 1)) < 0.3)
+    names = [f"v{i}" for i in range(p)]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], ["cell", *names]).withColumn("spread", F.xxhash64("cell"))
+    logdet, centre, cov = qc.minimum_covariance(df, names, n)
+    halves = itertools.combinations(range(n), qc.half_of(n, p))
+    want = min((np.linalg.slogdet(np.cov(x[list(h)].T, bias=True).reshape(p, p))[1], h) for h in halves)
+    assert logdet == pytest.approx(want[0], abs=1e-9)
+    assert np.allclose(centre, x[list(want[1])].mean(0)) and np.allclose(cov, np.cov(x[list(want[1])].T, bias=True).reshape(p, p))
+
+
+def test_robust_distances_over_many_subsets(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=(2500, 2)) @ np.array([[2.0, 0.3], [0.0, 0.5]]) + 4
     x[:200] += 30

@@ -1,7 +1,8 @@
 """Detection and streaming extraction of compressed inputs.
 
-gzip and bzip2 text is read by Spark itself. Zip and tar have no splittable reader; one
-task streams the members to the shared folder in small pieces, and Spark reads those.
+Files are looked at through Hadoop, so any store that Spark reads will do. gzip and bzip2 text is
+read by Spark itself. Zip and tar have no splittable reader; one task streams the members to the
+shared folder in small pieces, and Spark reads those (in stores that Arrow can open).
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyarrow import fs
 from pyspark.sql import SparkSession
 
 from quillcell.operators.filters import MatrixError
-from quillcell.session import qualified, scratch_path
+from quillcell.session import file_system, qualified, scratch_path
 from quillcell.sources.matrices import MTX_FILES
 
 # Magic bytes of the accepted containers.
 MAGIC = ((b"\x1f\x8b", "gzip"), (b"PK\x03\x04", "zip"), (b"BZh", "bzip2"))
 _PIECE = 1 << 20
+#: Enough compressed bytes for the first block of a tar file.
+_HEAD = 1 << 14
 
 
 def _uri(path: str) -> str:
@@ -38,17 +41,13 @@ def _open(path: str):
 
 
 def head(path: str, size: int = 1024) -> bytes:
-    with _open(path) as f:
-        return f.read(size)
-
-
-def is_binary(path: str) -> bool:
-    """True when a NUL byte occurs anywhere in the file; read in pieces."""
-    with _open(path) as f:
-        while piece := f.read(_PIECE):
-            if b"\x00" in piece:
-                return True
-    return False
+    """The first bytes of a file in any store that Hadoop can open."""
+    system, where = file_system(path)
+    stream = system.open(where)
+    try:
+        return bytes(stream.readNBytes(size))
+    finally:
+        stream.close()
 
 
 def check_not_empty(path: str) -> None:
@@ -58,19 +57,19 @@ def check_not_empty(path: str) -> None:
 
 def container(path: str) -> str:
     """gzip, zip, bzip2, tar or text."""
-    start = head(path, 512)
+    start = head(path, _HEAD)
     for magic, kind in MAGIC:
         if start.startswith(magic):
-            if kind == "gzip" and _is_gzipped_tar(path):
+            if kind == "gzip" and _is_gzipped_tar(start):
                 return "tar"
             return kind
     return "tar" if start[257:262] == b"ustar" else "text"
 
 
-def _is_gzipped_tar(path: str) -> bool:
+def _is_gzipped_tar(start: bytes) -> bool:
     try:
-        return gzip.GzipFile(fileobj=_open(path)).read(512)[257:262] == b"ustar"
-    except (OSError, EOFError, zlib.error):
+        return zlib.decompressobj(31).decompress(start, 512)[257:262] == b"ustar"
+    except zlib.error:
         return False
 
 

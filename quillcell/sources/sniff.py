@@ -84,6 +84,8 @@ def check_columns(lines: DataFrame, layout: Layout) -> None:
         first = lines.first()["value"]
         width = len(first.split(layout.delimiter))
         body = lines.filter(F.col("value") != first)
+    if lines.filter(F.contains("value", F.lit("\0"))).limit(1).count():
+        raise MatrixError("the file is binary")
     counts = [r["fields"] for r in field_counts(body, layout.delimiter).orderBy("fields").limit(3).collect()]
     if len(counts) > 1 or (counts and width is not None and width not in (counts[0], counts[0] - 1)):
         raise MatrixError(f"lines differ in their number of fields: {counts}")

@@ -93,9 +93,10 @@ def test_zip_with_two_members_empty_file_and_corrupt_gzip(spark, tmp_path):
         archives.unpack(spark, save(tmp_path, "bad.dat", gzip.compress(TEXT.encode() * 50)[:-20]))
 
 
-def test_binary_check(tmp_path):
-    assert archives.is_binary(save(tmp_path, "b", b"a\x00b"))
-    assert not archives.is_binary(save(tmp_path, "t", TEXT))
+def test_binary_check(spark, tmp_path):
+    broken = spark.read.text(save(tmp_path, "b", TEXT.encode().replace(b"\n", b"\x00\n", 1)))
+    with pytest.raises(MatrixError, match="binary"):
+        sniff.check_columns(broken, sniff.sniff(broken))
 
 
 def bundle(**members):
@@ -156,3 +157,15 @@ def test_side_tables(spark, tmp_path):
 def test_dense_text(spark):
     m = spark.createDataFrame([("X", "a", 1.0), ("X", "b", 2.0), ("Y", "b", 3.0)], "gene string, cell string, value double")
     assert sorted(r["value"] for r in sinks.dense_lines(m, ["a", "b"]).collect()) == ["X\t1.0\t2.0", "Y\t0.0\t3.0"]
+
+
+def test_inputs_by_a_path_that_only_hadoop_knows(spark, tmp_path):
+    """A mounted view of the local folder: no other library can open it."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.mounted.link./in", f"file://{tmp_path}")
+    save(tmp_path, "plain.tsv", TEXT)
+    save(tmp_path, "packed.tsv.gz", gzip.compress(TEXT.encode()))
+    for name, kind in (("plain.tsv", "text"), ("packed.tsv.gz", "gzip")):
+        found, path = archives.unpack(spark, f"viewfs://mounted/in/{name}")
+        assert found == kind and path.startswith("viewfs://mounted/in/")
+        assert "\n".join(r["value"] for r in spark.read.text(path).collect()) == TEXT.strip("\n")

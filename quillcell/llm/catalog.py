@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,13 @@ from quillcell.session import cut_lineage
 
 RULES = (parse("org/", "allow"), parse("example.org/es/", "block"), parse("example.org/en/1", "block"),
          parse("com/fr/", "allow"), parse("com/de/", "block"))
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def tokenizer() -> str:
+    """The vocabulary file; only packing needs the package that knows its place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_inverted_multi_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +87,7 @@ def op8_pitman_yor(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_concatenate_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER)
+    return pack(spark.read.parquet(f"{sf}/documents.parquet"), tokenizer())
 
 
 def op10_odd_sketches(spark: SparkSession, sf: str) -> DataFrame:

@@ -10,7 +10,7 @@ from odd_rows import documents, nothing
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn, language
-from quillcell.llm.catalog import TOKENIZER, fold, op3_curriculum_mix, op5_language_bitmask, op7_byte_cnn
+from quillcell.llm.catalog import fold, op3_curriculum_mix, op5_language_bitmask, op7_byte_cnn, tokenizer
 from quillcell.llm.mixing import mix, training_order
 from quillcell.llm.packing import Encoder, pack, sequences
 from quillcell.llm.pitman_yor import Model, Sampler, Totals, scores, seat
@@ -73,10 +73,10 @@ def test_curriculum_follows_its_schedule(spark):
 def test_pack_is_a_round_trip(spark):
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(TOKENIZER)
+    whole = Tokenizer.from_file(tokenizer())
     odd = ["a<|endoftext|>b", "Σας İI ŉ é́", "don't 12½ \x1c\x85 x", "l'été Œuvre"]
     docs = documents(spark, [(20 + i, t, None, None, None, None, None, None, None) for i, t in enumerate(odd)])
-    pieces = pack(docs, TOKENIZER, window=64, with_ids=True).cache()
+    pieces = pack(docs, tokenizer(), window=64, with_ids=True).cache()
     rows = sorted(pieces.collect(), key=lambda r: (r.sequence_id, r.offset))
     at = 0
     for r in rows:
@@ -92,7 +92,7 @@ def test_pack_is_a_round_trip(spark):
             assert sum((got[d.doc_id][s] for s in sorted(got[d.doc_id])), []) == whole.encode(d.text or "", add_special_tokens=False).ids + [2]
     full = sequences(pieces).collect()
     assert sorted(len(r.ids) for r in full)[1:] == [64] * (len(full) - 1)
-    assert pack(nothing(spark), TOKENIZER).count() == 0
+    assert pack(nothing(spark), tokenizer()).count() == 0
 
 
 def test_sequences_follow_positions_over_files(spark, tmp_path):
@@ -113,7 +113,7 @@ def test_sequences_follow_positions_over_files(spark, tmp_path):
             for path, ids in (("mixed", want), ("grown", list(range(285)))):
                 table = spark.read.parquet(f"{tmp_path}/{path}")
                 assert len(table.inputFiles()) == 4
-                rows = sorted(pack(table, TOKENIZER, window=64).collect(), key=lambda r: (r.sequence_id, r.offset))
+                rows = sorted(pack(table, tokenizer(), window=64).collect(), key=lambda r: (r.sequence_id, r.offset))
                 assert [r.doc_id for r in rows if r.start == 0] == ids
                 assert [r.sequence_id * 64 + r.offset for r in rows] == np.cumsum([0] + [r.length for r in rows])[:-1].tolist()
     finally:
@@ -128,7 +128,7 @@ def test_mix_query_is_in_training_order(spark):
 
 
 def test_words_encode_like_the_whole_tokenizer():
-    e = Encoder(TOKENIZER)
+    e = Encoder(tokenizer())
     texts = ["Àé's we'll 1²a_b-c", "ſ ŉ ĳ \u00ad x\u0301 ª", "<|startoftext|>x", "tab\tnl\nnbsp\u00a0end", "", "😀😀 ß"]
     want = [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     for _ in range(2):

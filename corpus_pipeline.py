@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.llm import byte_cnn
-from quillcell.llm.catalog import TOKENIZER, fold
+from quillcell.llm.catalog import fold, tokenizer
 from quillcell.llm.mixing import mix, training_order
 from quillcell.llm.near_dup import NearDup, without_copies
 from quillcell.llm.packing import pack
@@ -47,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of 4096 tokens, in training order."""
-    return pack(docs, TOKENIZER)
+    return pack(docs, tokenizer())
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("personal_data", personal_data), ("mixing", mixing), ("packing", packing)]

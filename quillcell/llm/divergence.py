@@ -29,6 +29,7 @@ smaller item. Other columns are not read. No rows, no result.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +43,8 @@ from quillcell.session import cut_lineage
 LEVELS = 6
 SIDE = 1 << LEVELS
 _PART = 1024
-_SLICE = 1 << 21
+_SLICE = 1 << 20
+_HELD = 1 << 18
 _FILTER_BITS = 1 << 23
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,11 +52,16 @@ _SOLID = np.zeros(256, dtype=bool)
 _SOLID[97:123] = _SOLID[128:] = True
 
 
-def _summed(parts: list[pa.RecordBatch], keys: list[str], value: str) -> Iterator[pa.RecordBatch]:
-    """The rows of several batches with one row for each key."""
-    if parts:
-        table = pa.TableGroupBy(pa.Table.from_batches(parts), keys, use_threads=False).aggregate([(value, "sum")])
-        yield from table.rename_columns({f"{value}_sum": value}).select([*keys, value]).to_batches()
+def _summed(counts: Iterator[pa.RecordBatch], keys: list[str], value: str) -> Iterator[pa.RecordBatch]:
+    """The rows of several batches with one row for each key, some ``_HELD`` rows at a time."""
+    parts: list[pa.RecordBatch] = []
+    for part in itertools.chain(counts, [None]):
+        if part is not None:
+            parts.append(part)
+        if parts and (part is None or sum(p.num_rows for p in parts) >= _HELD):
+            table = pa.TableGroupBy(pa.Table.from_batches(parts), keys, use_threads=False).aggregate([(value, "sum")])
+            yield from table.rename_columns({f"{value}_sum": value}).select([*keys, value]).to_batches()
+            parts = []
 
 
 def terms(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -86,9 +93,8 @@ def _encoded(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 def document_counts(docs: DataFrame) -> DataFrame:
     """``lang, term, docs`` over all rows of ``lang, source, text``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
             for part in by_bytes(batch, _SLICE):
                 found, row = terms(part.column("text"))
                 which, words = _encoded(found)
@@ -96,9 +102,11 @@ def document_counts(docs: DataFrame) -> DataFrame:
                 n = max(1, len(words))
                 once = np.unique(row * n + which)
                 key, docs = np.unique(lang[once // n] * n + once % n, return_counts=True)
-                parts.append(pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(key // n)), words.take(pa.array(key % n)).cast(pa.string()), pa.array(docs)], ["lang", "term", "docs"]))
-            yield from _summed(parts, ["lang", "term"], "docs")
+                yield pa.RecordBatch.from_arrays(
+                    [langs.take(pa.array(key // n)), words.take(pa.array(key % n)).cast(pa.string()), pa.array(docs)], ["lang", "term", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(counted(batches), ["lang", "term"], "docs")
 
     return docs.mapInArrow(run, "lang string, term string, docs long").groupBy("lang", "term").agg(F.sum("docs").alias("docs"))
 
@@ -133,9 +141,8 @@ def group_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """``lang, source, term, n`` and the columns of ``kept``, for the terms that ``kept`` holds."""
     shared = docs.sparkSession.sparkContext.broadcast(_filter(kept))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
             for part in by_bytes(batch, _SLICE):
                 found, row = terms(part.column("text"))
                 which, words = _encoded(found)
@@ -146,13 +153,15 @@ def group_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
                 n, m = max(1, len(words)), max(1, len(sources))
                 group = (lang * m + source)[row[wanted]]
                 key, count = np.unique(group * n + which[wanted], return_counts=True)
-                parts.append(pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(key // n // m)), sources.take(pa.array(key // n % m)), words.take(pa.array(key % n)).cast(pa.string()),
-                     pa.array(count)], ["lang", "source", "term", "n"]))
-            yield from _summed(parts, ["lang", "source", "term"], "n")
+                     pa.array(count)], ["lang", "source", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summed(counted(batches), ["lang", "source", "term"], "n")
 
-    counted = docs.mapInArrow(run, "lang string, source string, term string, n long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
+    found = docs.mapInArrow(run, "lang string, source string, term string, n long")
+    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"])
 
 
 def share(count: Column, total: Column) -> Column:
@@ -208,20 +217,16 @@ def walk(a: Tree, b: Tree, i: np.ndarray, j: np.ndarray, zero_a: np.ndarray, zer
     return total.astype(np.int64), np.bincount(pair, minlength=len(i))
 
 
-def _tree(cells) -> Tree:
-    got = cells if cells is not None else {"row": [], "col": [], "p": []}
-    return Tree(*(np.asarray(got[c], dtype=np.int64) for c in ("row", "col", "p")))
-
-
-def _cells(column: pa.Array, at: int):
-    if not column[at].is_valid:
-        return None
-    flat = column[at].values
-    return {c: flat.field(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "p")}
+def _tree(batch: pa.RecordBatch, side: str, at: int) -> Tree:
+    """The tree of one square; a missing one is all zero."""
+    place, share = (batch.column(f"{side}_{c}")[at] for c in ("at", "p"))
+    none = np.zeros(0, dtype=np.int64)
+    places, p = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) if x.is_valid else none for x in (place, share))
+    return Tree(places // SIDE, places % SIDE, p)
 
 
 def leaf_sums(squares: DataFrame) -> DataFrame:
-    """``lang, i, j, leaves, width`` from rows ``lang, lo, hi, zero_lo, zero_hi, a, b``, one per pair of squares."""
+    """``lang, i, j, leaves, width`` from rows ``lang, lo, hi, zero_lo, zero_hi, a_at, a_p, b_at, b_p``, one per pair of squares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +239,8 @@ def leaf_sums(squares: DataFrame) -> DataFrame:
                     i, j = np.triu_indices(len(zero_a), 1) if lo[at] == hi[at] else (x.ravel() for x in np.indices((len(zero_a), len(zero_b))))
                     sums[key] = [i, j, np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.int64)]
                 i, j, total, width = sums[key]
-                a = _tree(_cells(batch.column("a"), at))
-                b = a if lo[at] == hi[at] else _tree(_cells(batch.column("b"), at))
+                a = _tree(batch, "a", at)
+                b = a if lo[at] == hi[at] else _tree(batch, "b", at)
                 t, w = walk(a, b, i, j, zero_a, zero_b)
                 total += t
                 width += w
@@ -251,8 +256,10 @@ def leaf_sums(squares: DataFrame) -> DataFrame:
 def _squares(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """One row for each square and each pair of blocks of rows that it has a part in."""
     rows = groups.select("lang", "source", F.floor(F.col("i") / SIDE).alias("block"), (F.col("i") % SIDE).alias("row"), "total", "zero")
-    entry = F.struct(F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), share(F.col("n"), F.col("total")).alias("p"))
+    # a share is at most 1 + 10^9
+    entry = F.struct((F.col("row") * SIDE + F.col("col")).cast("short").alias("at"), share(F.col("n"), F.col("total")).cast("int").alias("p"))
     tiles = cells.join(rows, ["lang", "source"]).groupBy("lang", "block", "tile").agg(F.collect_list(entry).alias("cells"))
+    tiles = tiles.select("lang", "block", "tile", F.struct(F.col("cells.at").alias("at"), F.col("cells.p").alias("p")).alias("cells"))
     zeros = rows.groupBy("lang", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "zero"))), lambda x: x["zero"]).alias("zeros"))
     lo = zeros.select("lang", F.col("block").alias("lo"), F.col("zeros").alias("zero_lo"))
     hi = zeros.select("lang", F.col("block").alias("hi"), F.col("zeros").alias("zero_hi"))
@@ -263,7 +270,8 @@ def _squares(cells: DataFrame, groups: DataFrame) -> DataFrame:
     left = tiles.withColumnRenamed("block", "lo").join(pairs, ["lang", "lo"]).select(*names, F.col("cells").alias("a"), nothing.alias("b"))
     right = tiles.withColumnRenamed("block", "hi").join(pairs.filter("lo < hi"), ["lang", "hi"]).select(*names, nothing.alias("a"), F.col("cells").alias("b"))
     met = left.unionByName(right).groupBy(*names).agg(F.first("a", ignorenulls=True).alias("a"), F.first("b", ignorenulls=True).alias("b"))
-    return met.join(blocks, ["lang", "lo", "hi"]).select("lang", "lo", "hi", "zero_lo", "zero_hi", "a", "b")
+    return met.join(blocks, ["lang", "lo", "hi"]).select(
+        "lang", "lo", "hi", "zero_lo", "zero_hi", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in "ab" for c in ("at", "p")))
 
 
 def divergences(docs: DataFrame, least: int = 30, top: int = 50) -> DataFrame:

@@ -1,12 +1,17 @@
-"""Exact k-nearest neighbours by pivots and triangle-inequality pruning.
+"""Exact k-nearest neighbours over a two-level tree of balls.
 
-After Lu et al. 2012 (k-nearest-neighbour joins on MapReduce), in four Spark steps:
-points go to their nearest pivot; each point gets an upper bound of its k-th distance from
-its own block; it is sent only to pivots whose ball and half-space can hold something
-closer; each visited block returns its k best and a limited window merges them.
+After the ball tree and Lu et al. 2012 (k-nearest-neighbour joins on MapReduce), in four Spark
+steps: points go to the nearest top ball and in it to the nearest leaf; each point gets an upper
+bound of its k-th distance from its own leaf; it is sent only to leaves whose ball and half-space can
+hold something closer, looking into a top ball only if that can; each visited block returns
+its k best and a limited window merges them.
+
+The number of leaves grows with the square root of the number of points and that of top balls
+with the square root of the leaves, so a point meets some fourth root of all at each level; the
+tree that every task gets has a centre per leaf. What is routed are ids; vectors join them at the leaf.
 
 Copies of one vector are one point with a short id list, so a large group of copies costs
-one row. Cells of the partition are cut into blocks of bounded size, and the visitors of a
+one row. Leaves are cut into blocks of bounded size, and the visitors of a
 block into chunks of bounded size, so no task sees an unbounded group.
 """
 
@@ -19,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillcell.session import cut_lineage
+from quillcell.session import cut_lineage, written
 
-MAX_PIVOTS = 1024
 BLOCK = 4096
+_SLACK = 1e-9
 
 
 def distinct_points(points: DataFrame, k: int) -> DataFrame:
@@ -62,37 +67,95 @@ def _merge(at, dist, ids, k):
     return out
 
 
-def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, max_pivots: int = MAX_PIVOTS) -> DataFrame:
-    """``src, dst, rank, dist``: the ``k`` nearest other cells, ordered by distance, then id.
+def _gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of all rows of ``a`` to all rows of ``b``."""
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
+
+
+class BallTree:
+    """Centres of top balls and of their leaves; ``measure`` adds what the points in them span.
 
-    ``points`` is ``cell, features``. A cell is never its own neighbour here.
+    A point lies in the top ball of the nearest centre, and in the leaf of the nearest centre of that ball.
     """
+
+    def __init__(self, centres: np.ndarray):
+        self.tops = centres[: max(1, math.isqrt(len(centres)))]
+        home = _gaps(centres, self.tops).argmin(axis=1) if len(centres) else np.zeros(0, int)
+        order = np.argsort(home, kind="stable")
+        self.leaves = centres[order]
+        self.ends = np.searchsorted(home[order], np.arange(len(self.tops) + 1))
+
+    def place(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row its leaf, and its distances to the leaf's and to the top ball's centre."""
+        far = _gaps(v, self.tops)
+        top = far.argmin(axis=1)
+        leaf, r = np.zeros(len(v), int), np.zeros(len(v))
+        for t in np.unique(top):
+            at = np.flatnonzero(top == t)
+            d = _gaps(v[at], self.leaves[self.ends[t] : self.ends[t + 1]])
+            leaf[at], r[at] = self.ends[t] + d.argmin(axis=1), d.min(axis=1)
+        return leaf, r, far[np.arange(len(v)), top]
+
+    def measure(self, rows) -> None:
+        """Takes the points, the radius and the reach from the top centre of each leaf."""
+        self.size, self.radius = np.zeros(len(self.leaves), int), np.zeros(len(self.leaves))
+        reach = np.zeros(len(self.leaves))
+        for row in rows:
+            self.size[row["leaf"]], self.radius[row["leaf"]], reach[row["leaf"]] = row["n"], row["radius"], row["reach"]
+        self.reach = np.array([reach[a:b].max(initial=0.0) for a, b in zip(self.ends, self.ends[1:])])
+
+    @staticmethod
+    def _open(d: np.ndarray, limit: np.ndarray, radius: np.ndarray, between: np.ndarray) -> np.ndarray:
+        """Which balls can hold something within ``limit`` of each row.
+
+        Members of a ball are nearer to its centre than to its siblings', so a row beyond the bisecting
+        plane of a ball and the row's nearest sibling is at least its distance to the plane away.
+        """
+        slack = _SLACK * (1.0 + d)
+        keep = d - radius[None, :] <= limit + slack
+        own = d.argmin(axis=1)
+        gap = between[own]
+        ahead = d * d * (1.0 - 1e-11) - d[np.arange(len(d)), own][:, None] ** 2 * (1.0 + 1e-11)
+        return keep & ~((gap > 1e-300) & (ahead > 2.0 * np.maximum(gap, 1e-300) * (limit + slack)))
+
+    def visits(self, v: np.ndarray, bound: np.ndarray) -> list[np.ndarray]:
+        """For each row the leaves that can hold something within its bound."""
+        limit = bound[:, None]
+        into = self._open(_gaps(v, self.tops), limit, self.reach, _gaps(self.tops, self.tops))
+        found: list[list[np.ndarray]] = [[] for _ in v]
+        for t in np.flatnonzero(into.any(axis=0)):
+            lo, hi = self.ends[t], self.ends[t + 1]
+            if lo == hi:
+                continue
+            at, leaves = np.flatnonzero(into[:, t]), self.leaves[lo:hi]
+            keep = self._open(_gaps(v[at], leaves), limit[at], self.radius[lo:hi], _gaps(leaves, leaves)) & (self.size[lo:hi] > 0)[None, :]
+            for i, row in zip(at, keep):
+                found[i].append(lo + np.flatnonzero(row))
+        return [np.concatenate(f) if f else np.zeros(0, int) for f in found]
+
+
+def routes(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, leaves: int | None = None) -> tuple[tuple[DataFrame, str], DataFrame, DataFrame]:
+    """The distinct points with leaf and block and their path, the leaves, and the leaves that each point has to visit."""
     spark = points.sparkSession
     unique = cut_lineage(distinct_points(points, k))
     n = unique.count()
-    n_pivots = int(min(max_pivots, max(1, math.isqrt(n) // 2)))
-    chosen = unique.orderBy(F.xxhash64(F.lit(seed), "vid"), "vid").limit(n_pivots).select("features").collect()
-    pivots = np.array([r["features"] for r in chosen], float).reshape(len(chosen), -1)
-
-    def to_pivots(v: np.ndarray) -> np.ndarray:
-        d2 = (v * v).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * (v @ pivots.T)
-        return np.sqrt(np.maximum(d2, 0.0))
-
-    @F.pandas_udf("struct<cell_no:int,r:double>")
-    def nearest(v: pd.Series) -> pd.DataFrame:
-        d = to_pivots(np.stack(v.to_list()).astype(float))
-        at = d.argmin(axis=1)
-        return pd.DataFrame({"cell_no": at.astype("int32"), "r": d[np.arange(len(d)), at]})
-
-    placed = unique.withColumn("_p", nearest("features")).select("vid", "features", "ids", "_p.cell_no", "_p.r")
-    placed = cut_lineage(placed)
-    stats = placed.groupBy("cell_no").agg(F.count("*").alias("n"), F.max("r").alias("radius")).collect()
-    size, radius = np.zeros(n_pivots, int), np.zeros(n_pivots)
-    for row in stats:
-        size[row["cell_no"]], radius[row["cell_no"]] = row["n"], row["radius"]
-    blocks = np.maximum(1, -(-size // block))
-    n_blocks = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell_no") + 1)
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("vid"), n_blocks).cast("int"))
+    wanted = leaves or max(1, math.isqrt(n) // 2)
+    chosen = unique.orderBy(F.xxhash64(F.lit(seed), "vid"), "vid").limit(wanted).select("features").collect()
+    tree = BallTree(np.array([r["features"] for r in chosen], float).reshape(len(chosen), -1))
+    bare = spark.sparkContext.broadcast(tree)
+
+    @F.pandas_udf("struct<leaf:int,r:double,reach:double>")
+    def place(v: pd.Series) -> pd.DataFrame:
+        leaf, r, reach = bare.value.place(np.stack(v.to_list()).astype(float))
+        return pd.DataFrame({"leaf": leaf.astype("int32"), "r": r, "reach": reach})
+
+    placed = cut_lineage(unique.withColumn("_p", place("features")).select("vid", "features", "ids", "_p.leaf", "_p.r", "_p.reach"))
+    rows = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("r").alias("radius"), F.max("reach").alias("reach")).collect()
+    tree.measure(rows)
+    full = spark.sparkContext.broadcast(tree)
+    table = [(r["leaf"], r["n"], max(1, -(-r["n"] // block))) for r in rows]
+    table = spark.createDataFrame(table, "leaf int, n long, blocks int")
+    placed = placed.join(table, "leaf").withColumn("block", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).select("vid", "features", "ids", "leaf", "block")
 
     need = k + 1  # a point finds itself (or a copy) among these
 
@@ -106,36 +169,29 @@ def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, max
                 best = _merge(at, dist, ids, need)
                 if len(best) == need:
                     bound[lo + i] = best[-1][0]
-        return pd.DataFrame({"vid": pdf["vid"], "features": pdf["features"], "bound": bound})
+        found = full.value.visits(v, bound)
+        return pd.DataFrame({"vid": pdf["vid"], "to": [f.astype("int32") for f in found]})
 
-    bounded = placed.groupBy("cell_no", "block").applyInPandas(home_bound, "vid string, features array<double>, bound double")
+    routed = placed.groupBy("leaf", "block").applyInPandas(home_bound, "vid string, to array<int>")
+    return written(placed, "placed"), table, cut_lineage(routed.select("vid", F.explode("to").alias("leaf")))
 
-    between = np.stack([np.sqrt(((pivots - p) ** 2).sum(1)) for p in pivots])
 
-    @F.pandas_udf("array<int>")
-    def visits(v: pd.Series, bound: pd.Series) -> pd.Series:
-        d = to_pivots(np.stack(v.to_list()).astype(float))
-        limit = bound.to_numpy(float)[:, None]
-        slack = 1e-9 * (1.0 + d)
-        keep = (d - radius[None, :] <= limit + slack) & (size[None, :] > 0)
-        # a point beyond the bisecting plane of two pivots is at least its distance to the plane away
-        own = d.argmin(axis=1)
-        gap = np.maximum(between[own], 1e-300)
-        ahead = d * d * (1.0 - 1e-11) - d[np.arange(len(d)), own][:, None] ** 2 * (1.0 + 1e-11)
-        keep &= ~((gap > 1e-300) & (ahead > 2.0 * gap * (limit + slack)))
-        return pd.Series([np.nonzero(row)[0].astype("int32") for row in keep])
-
-    routed = cut_lineage(bounded.select("vid", "features", F.explode(visits("features", "bound")).alias("cell_no")))
-    visitors = np.zeros(n_pivots, int)
-    for row in routed.groupBy("cell_no").count().collect():
-        visitors[row["cell_no"]] = row["count"]
-    chunks = np.maximum(1, -(-visitors // block))
-    n_chunks = F.element_at(F.array(*[F.lit(int(c)) for c in chunks]), F.col("cell_no") + 1)
+def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, leaves: int | None = None) -> DataFrame:
+    """``src, dst, rank, dist``: the ``k`` nearest other cells, ordered by distance, then id.
+
+    ``points`` is ``cell, features``. A cell is never its own neighbour here. ``leaves`` overrides the number of leaves.
+    """
+    (placed, path), table, routed = routes(points, k, seed, block, leaves)
+    need = k + 1
+    visitors = routed.groupBy("leaf").agg(F.ceil(F.count("*") / block).cast("int").alias("chunks"))
+    parts, parts_path = written(table.join(visitors, "leaf").select("leaf", "blocks", "chunks"), "parts")
+    # both sides of the cogroup read the tables anew, so that no column is the same on both
+    again = lambda df, at: points.sparkSession.read.schema(df.schema).parquet(at)
     zero = F.lit(0)
-    queries = routed.withColumn("chunk", F.pmod(F.xxhash64("vid"), n_chunks).cast("int")).withColumn(
-        "block", F.explode(F.sequence(zero, n_blocks - 1))
-    )
-    targets = placed.select("cell_no", "block", "features", "ids").withColumn("chunk", F.explode(F.sequence(zero, n_chunks - 1)))
+    queries = routed.join(parts, "leaf").withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).join(placed.select("vid", "features"), "vid")
+    queries = queries.select("vid", "features", "leaf", "chunk", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"))
+    targets = again(placed, path).join(again(parts, parts_path), "leaf")
+    targets = targets.select("leaf", "block", "features", "ids", F.explode(F.sequence(zero, F.col("chunks") - 1)).alias("chunk"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         src, dst, far = [], [], []
@@ -152,13 +208,13 @@ def exact_knn(points: DataFrame, k: int, seed: int = 42, block: int = BLOCK, max
                         far.append(d)
         return pd.DataFrame({"vid": src, "dst": dst, "dist": far})
 
-    tile = ["cell_no", "block", "chunk"]
+    tile = ["leaf", "block", "chunk"]
     found = queries.groupBy(*tile).cogroup(targets.groupBy(*tile)).applyInPandas(search, "vid string, dst string, dist double")
     best = Window.partitionBy("vid").orderBy("dist", "dst")
     lists = (
         found.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= need)
         .groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("dist", "dst"))).alias("near"))
-        .join(unique.select("vid", "features"), "vid").select("features", "near")
+        .join(placed.select("vid", "features"), "vid").select("features", "near")
     )
     own = F.slice(F.filter("near", lambda x: x["dst"] != F.col("cell")), 1, k)
     return points.join(lists, "features").select(

@@ -32,15 +32,34 @@ def brute(pts, k):
     return out
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_knn_is_exact_with_copies_and_small_blocks(spark, block):
+@pytest.mark.parametrize("block,leaves", [(7, None), (4096, None), (4096, 40)])
+def test_knn_is_exact_with_copies_and_small_blocks(spark, block, leaves):
     pts = blobs()
     got = {}
-    for r in knn.exact_knn(as_df(spark, pts), 6, block=block).orderBy("src", "rank").collect():
+    for r in knn.exact_knn(as_df(spark, pts), 6, block=block, leaves=leaves).orderBy("src", "rank").collect():
         got.setdefault(r["src"], []).append(r["dst"])
     assert got == brute(pts, 6)
 
 
+def test_tree_visits_a_small_share(spark):
+    """30 000 points in 100 clusters: most pairs of leaves are never looked at, and what is left out is too far."""
+    rng = np.random.default_rng(1)
+    n, clusters = 30_000, 100
+    x = rng.normal(size=(clusters, 8))[rng.integers(0, clusters, n)] * 4 + rng.normal(size=(n, 8)) * 0.5
+    df = spark.createDataFrame([(f"p{i:05d}", v.tolist()) for i, v in enumerate(x)], "cell string, features array<double>")
+    (placed, _), table, routed = knn.routes(df, 10)
+    pairs = routed.join(table, "leaf").agg(F.sum("n")).first()[0]
+    assert pairs / n**2 < 0.1
+    home = {r["vid"]: r["leaf"] for r in placed.select("vid", "leaf").collect()}
+    leaf = np.array([home[f"p{i:05d}"] for i in range(n)])
+    seen = {}
+    for r in routed.filter("vid in ('p00000', 'p00001', 'p00002')").collect():
+        seen.setdefault(int(r["vid"][1:]), set()).add(r["leaf"])
+    for i, leaves in seen.items():
+        near = np.argsort(((x - x[i]) ** 2).sum(1))[:11]
+        assert set(leaf[near]) <= leaves
+
+
 def test_knn_with_fewer_points_than_k(spark):
     pts = {k: v for k, v in list(blobs().items())[:4]}
     rows = knn.exact_knn(as_df(spark, pts), 10).collect()

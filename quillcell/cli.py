@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--min_genes", type=int, default=1000)
     a.add_argument("--min_cells", type=int, default=100)
     a.add_argument("--on_duplicate", choices=P.DUPLICATE_POLICIES, default="error")
+    a.add_argument("--doublets", choices=P.DOUBLET_METHODS, default="none", help="score cells against simulated doublets")
     for name in ("markers", "symbol_map", "exon_lengths", "gene_gtf"):
         a.add_argument(f"--{name}")
     a.add_argument("--master", help="Spark master; left to spark-submit when not given")

@@ -17,6 +17,7 @@ EMBEDDINGS = ("tSNE", "UMAP")
 SPECIES = ("human", "mouse", "other")
 DE_DIRECTIONS = ("any", "up", "down")
 DUPLICATE_POLICIES = ("error", "drop_all")
+DOUBLET_METHODS = ("none", "scrublet", "doublet_finder")
 
 # Options that name files or steer logging only; a change does not make a stage stale.
 _COSMETIC = ("output", "dark_bg", "timestamp", "logfile", "loglevel", "nologo", "timeout")
@@ -69,6 +70,7 @@ class PipelineParams:
     min_genes: int = 1000
     min_cells: int = 100
     on_duplicate: str = "error"
+    doublets: str = "none"
     markers: str | None = None
     symbol_map: str | None = None
     exon_lengths: str | None = None
@@ -86,6 +88,7 @@ class PipelineParams:
             ("species", SPECIES),
             ("de_direction", DE_DIRECTIONS),
             ("on_duplicate", DUPLICATE_POLICIES),
+            ("doublets", DOUBLET_METHODS),
         ):
             if getattr(self, name) not in choices:
                 raise ParameterError(f"{name} must be one of {', '.join(choices)}")

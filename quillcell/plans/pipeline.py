@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.matrix import Matrix
-from quillcell.operators import aggregates, celltypes, contrasts, filters, hvg, linalg, plotdata, qc, reads, snn
+from quillcell.operators import aggregates, celltypes, contrasts, doublets, filters, hvg, linalg, plotdata, qc, reads, snn
 from quillcell.operators.communities import communities
 from quillcell.operators.filters import MatrixError
 from quillcell.operators.knn import neighbour_table
@@ -240,6 +240,20 @@ class Pipeline:
             out["heatmap"] = plotdata.marker_heatmap(d.norm, targets, types[1], sets, p.add_celltypes)
         return out
 
+    def doublet_scores(self, d: Loaded) -> DataFrame:
+        """``cell, status, score`` against doublets simulated from the raw counts."""
+        p = self.p
+
+        def build() -> DataFrame:
+            if p.doublets == "scrublet":
+                return doublets.scrublet(d.counts, p.hvg_n, seed=p.seed).select("cell", "status", "score")
+            found = doublets.doublet_finder(d.counts, hvg.seurat(d.norm, p.hvg_n), seed=p.seed)
+            return found.select("cell", F.lit("obs").alias("status"), "score")
+
+        scores = self.store.get("doublets", p.digest(*_HVG, "doublets", "seed"), build)
+        sinks.write_csv(scores, sinks.target(self.out, "doublets"), "\t", True)
+        return scores
+
     def run(self) -> dict[str, DataFrame]:
         self.check_settings()
         d = self.load()
@@ -254,6 +268,8 @@ class Pipeline:
         self.expression_tables(d, targets)
         types = self.cell_types(d, targets)
         results = {"hvg": genes, "pca": scores, "embedding": points, "clusters": assigned, "t_tests": tests, "markers": found}
+        if self.p.doublets != "none":
+            results["doublets"] = self.doublet_scores(d)
         if types:
             results["cell_types"], results["cell_types_best"] = types
         for name, df in self.plot_tables(d, points, targets, types).items():

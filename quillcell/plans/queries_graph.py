@@ -100,18 +100,18 @@ def e02(spark, sf):
 @query("U10_sample_pairs")
 def u10(spark, sf):
     m = ad.line_counts(spark, sf)
-    return D.sample_pairs(m.cells, ad.table(spark, sf, "orders").count() // 10, 42)
+    return D.sample_pairs(m.cells, ad.table(spark, sf, "orders").count(), 42)
 
 
 @query("X01_A26_K22_scrublet")
 def x01(spark, sf):
-    return D.scrublet(ad.line_counts(spark, sf).stored(), hvg_n=200, components=10)
+    return D.scrublet(ad.line_counts(spark, sf).stored())
 
 
 @query("X02_doublet_finder")
 def x02(spark, sf):
     m = ad.line_counts(spark, sf).stored()
-    return D.doublet_finder(m, H.seurat(log_normalize(m), 200), components=10)
+    return D.doublet_finder(m, H.seurat(log_normalize(m)))
 
 
 # ---- plot tables ---------------------------------------------------------

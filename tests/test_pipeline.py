@@ -46,7 +46,7 @@ def test_command_line_run(spark, tmp_path):
     upper.write_text("ENSMUSG00000000001\tGNAI3\n")
     args = [matrix, "--output", out, "--minreads", "100", "--min_genes", "100", "--min_cells", "50", "--hvg_n", "80", "--pca_n", "8",
             "--ignore_small_clusters", "5", "--embedding_iterations", "3", "--perplexity", "8", "--nologo", "--markers", markers,
-            "--symbol_map", str(upper), "--qc_auto", "no", "--overlay_genes", "GENE3", "--violin_top", "3"]
+            "--symbol_map", str(upper), "--qc_auto", "no", "--overlay_genes", "GENE3", "--violin_top", "3", "--doublets", "doublet_finder"]
     assert cli.main(args) == 0
     clusters = dict(table(f"{out}/csvs/clusters_leiden.csv", ",", False))
     assert len(clusters) == 90
@@ -60,6 +60,8 @@ def test_command_line_run(spark, tmp_path):
     markers_found = table(f"{out}/csvs/discovered_markers.tsv")
     assert markers_found and all(0 <= float(r[2]) <= 1 for r in markers_found)
     assert spark.read.parquet(f"{out}/plots/overlay_GENE3").count() == 90
+    doublets = table(f"{out}/score.txt")
+    assert {r[0] for r in doublets} == set(clusters) and {r[1] for r in doublets} == {"obs"} and all(0 <= float(r[2]) <= 1 for r in doublets)
     # a second run reads its stages; another input is refused
     stages = sorted(glob.glob(f"{out}/stages/*"))
     assert cli.main(args) == 0

@@ -16,6 +16,8 @@ from quillcell.operators.normalize import log_normalize
 from quillcell.plans import adapters as ad
 from quillcell.plans.catalog import LABELS, LINE, NORM, R, REGIONS, TOKENS, query, r6
 from quillcell.plans.queries_matrix import GROUPS
+from quillcell.session import scratch_path
+from quillcell.sources import sinks as SK
 
 PTS = "e AS (SELECT CAST(vec_id AS VARCHAR) AS cell, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 KNN = f"""{PTS}, ds AS (SELECT a.cell AS src, b.cell AS dst, list_distance(a.v, b.v) AS dist FROM e a JOIN e b ON a.cell <> b.cell),
@@ -39,6 +41,14 @@ def g02(spark, sf):
     return S.snn_graph(neighbours(spark, sf), 10, 0.067).select("src", "dst", "shared", r6("jaccard"))
 
 
+@query("K09_snn_file", f"WITH {SETS} SELECT src, dst FROM g")
+def k09(spark, sf):
+    """The edge list as the pipeline writes it."""
+    path = scratch_path(spark, "snn")
+    SK.write_csv(S.snn_graph(neighbours(spark, sf), 10, 0.067).select("src", "dst"), path)
+    return spark.read.csv(path, schema="src string, dst string")
+
+
 @query("G03_components", """WITH k AS (SELECT o_orderkey AS node, sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END)
   OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM orders)
 SELECT (node * 2654435761) % 4294967296 AS node,

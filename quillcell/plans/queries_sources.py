@@ -17,6 +17,7 @@ from quillcell.plans import adapters as ad
 from quillcell.plans.catalog import LINE, MOMENTS, NC, NORM, R, query, r6
 from quillcell.plans.stages import StageStore
 from quillcell.session import scratch_path
+from quillcell.sources import archives
 from quillcell.sources import matrices as MX
 from quillcell.sources import sinks as SK
 from quillcell.sources import sniff as SN
@@ -102,6 +103,28 @@ def s03(spark, sf):
     return MX.wide_entries(body, cells, layout).select("gene", "cell", r6("value"))
 
 
+@query("S04_S07_S10_unpacked", f"""SELECT kind, CAST(l_partkey AS VARCHAR) AS gene, 'n' || CAST(s_nationkey AS VARCHAR) AS cell, {R('sum(l_quantity)')} AS value
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey, (VALUES ('gzip'), ('text')) AS k(kind) GROUP BY 1, 2, 3""")
+def s04(spark, sf):
+    """One file of a part x nation matrix as gzip and as plain text, read as unknown inputs by the pipeline's reader."""
+    nations = ad.table(spark, sf, "supplier").select(F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cell"))
+    expr = (
+        ad.table(spark, sf, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy(F.col("l_partkey").cast("string").alias("gene"), "cell").agg(F.sum("l_quantity").alias("value"))
+    )
+    cells = [f"n{r['n_nationkey']}" for r in ad.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    header = spark.createDataFrame([("\t".join(["id", *cells]),)], "value string").withColumn("body", F.lit(False))
+    lines = header.unionByName(SK.dense_lines(expr, cells).withColumn("body", F.lit(True))).repartition(1).sortWithinPartitions("body", "value").select("value")
+    out = None
+    for codec, option in (("gzip", "auto"), ("none", "tab")):
+        path = scratch_path(spark, "unknown")
+        lines.write.option("compression", codec).text(path)
+        kind, path = archives.unpack(spark, spark.read.text(path).inputFiles()[0])
+        found = MX.read_delimited(spark, path, option, "auto", 1, "error").expr.select(F.lit(kind).alias("kind"), "gene", "cell", r6("value"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("S08_D16_matrix_market", f"""WITH {LINE} SELECT 'S' || gene || '_E' || gene AS gene, cell, {R('value')} AS value FROM m""")
 def s08(spark, sf):
     """Write the coordinate triple and read it back through its line numbers."""

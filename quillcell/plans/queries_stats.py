@@ -139,14 +139,27 @@ def k11_lines(spark, sf):
     return SK.wide_lines(ad.line_counts(spark, sf).expr.withColumn("n", F.lit(1)), "cell", "n", ",")
 
 
+@query("K12_long_table", f"""WITH {EMB}, {LABELS}, {DENSE_GROUPS}, {CONTRASTS}, {TAIL}
+SELECT comparison AS "comparison_A_vs_B", gene, {R('p')} AS p_val, {R('q')} AS "FDR", {R('t')} AS t_stat, {R('"logFC"')} AS "logFC", {R('mean_A')} AS "mean_A", {R('mean_B')} AS "mean_B" FROM qv""")
+def k12(spark, sf):
+    """The long table as the pipeline writes it, read back by its column names."""
+    path = scratch_path(spark, "tests")
+    SK.write_csv(SK.rename(_tests(spark, sf).drop("cluster", "other"), SK.LONG_NAMES), path, "\t", True)
+    back = spark.read.csv(path, sep="\t", header=True)
+    return back.select("comparison_A_vs_B", "gene", *[r6(F.col(f"`{c}`"), c.replace(".", "_")) for c in ("p_val", "FDR", "t_stat", "logFC", "mean.A", "mean.B")])
+
+
 @query("D03_K13_discovered_markers", f"""WITH {LINE}, {REGIONS}, {NORM}, {GROUPS}, {CONTRASTS}, {TAIL},
 o AS (SELECT split_part(comparison, '_vs_', 1) AS cluster, gene, p FROM pv WHERE p IS NOT NULL),
 r AS (SELECT cluster, gene, p, rank() OVER (PARTITION BY cluster, gene ORDER BY p) + (count(*) OVER (PARTITION BY cluster, gene, p) - 1) / 2.0 AS k,
   count(*) OVER (PARTITION BY cluster, gene) AS m FROM o)
 SELECT cluster, gene, {R('least(1.0, min(m * p / k))')} AS pvalue_simes FROM r GROUP BY 1, 2""")
 def d03(spark, sf):
+    """The markers as the pipeline writes them, read back by their column names."""
     found = D.discover_markers(log_normalize(ad.line_counts(spark, sf)).stored(), ad.supplier_clusters(spark, sf))[1]
-    return found.select("cluster", "gene", r6("pvalue_simes"))
+    path = scratch_path(spark, "markers")
+    SK.write_csv(SK.rename(found, SK.SIMES_NAMES), path, "\t", True)
+    return spark.read.csv(path, sep="\t", header=True).select("cluster", "gene", r6(F.col("`pvalue.Simes`"), "pvalue_simes"))
 
 
 # ---- cell types ----------------------------------------------------------
@@ -490,6 +503,73 @@ def l02(spark, sf):
     return spark.createDataFrame(rows, "family string, name string, estimate double, std_error double, p_val double, dispersion double")
 
 
+@query("L01_two_predictors", f"""WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS a, l_tax AS b FROM lineitem),
+s AS (SELECT avg(y) AS my, avg(a) AS ma, avg(b) AS mb, var_pop(a) AS aa, var_pop(b) AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS cy FROM d),
+c AS (SELECT *, (bb * ay - ab * cy) / (aa * bb - ab * ab) AS k, (aa * cy - ab * ay) / (aa * bb - ab * ab) AS l FROM s)
+SELECT 'intercept' AS name, {R('my - k * ma - l * mb')} AS estimate FROM c UNION ALL SELECT 'x1', {R('k')} FROM c UNION ALL SELECT 'x3', {R('l')} FROM c""")
+def l01_two(spark, sf):
+    fit = G.fit_glm(_prices(spark, sf), ["x1", "x3"], "y", G.GAUSSIAN)
+    return coefficients(spark, fit.coef, ["x1", "x3"]).select("name", r6("estimate"))
+
+
+FITS = ((G.BERNOULLI, "b"), (G.POISSON, "x1"), (G.QUASI_POISSON, "x1"), (G.GAMMA, "y"), (G.EXPONENTIAL, "y"))
+SCORES_ZERO = " UNION ALL ".join(f"SELECT '{f.name}' AS family, '{n}' AS name, 0.0::DOUBLE AS score" for f, _ in FITS for n in ("intercept", "x2", "x3"))
+
+
+@query("L02_score_equations", SCORES_ZERO)
+def l02s(spark, sf):
+    """What each fit leaves of the derivative of its likelihood, as a share of the sum of its absolute terms."""
+    d = _prices(spark, sf).filter("y > 0")
+    rows, names = [], ["intercept", "x2", "x3"]
+    for family, label in FITS:
+        fit = G.fit_glm(d, ["x2", "x3"], label, family)
+        xs = [F.lit(1.0), F.col("x2"), F.col("x3")]
+        nu = sum((float(b) * x for b, x in zip(fit.coef, xs)), F.lit(0.0))
+        mu = family.inv_link(nu)
+        each = [(F.col(label) - mu) * family.d_inv_link(nu, mu) / family.variance(mu) * x for x in xs]
+        sums = d.agg(*[F.sum(e) / F.sum(F.abs(e)) for e in each]).first()
+        rows += [(family.name, n, float(v)) for n, v in zip(names, sums)]
+    out = spark.createDataFrame(rows, "family string, name string, score double")
+    return out.select("family", "name", r6("score"))
+
+
+def _slack(d, label, names, coef, lam, alpha, mean):
+    """How far each coefficient is from its optimality condition; the intercept is not penalised."""
+    xs = [F.lit(1.0), *map(F.col, names)]
+    nu = sum((float(b) * x for b, x in zip(coef, xs)), F.lit(0.0))
+    slope = d.agg(*[F.avg((F.col(label) - mean(nu)) * x) for x in xs]).first()
+    out = [abs(slope[0])]
+    for g, b in zip(slope[1:], coef[1:]):
+        out.append(abs(g - lam * (alpha * (1 if b > 0 else -1) + (1 - alpha) * b)) if b else max(0.0, abs(g) - lam * alpha))
+    return out
+
+
+LAMBDAS = (0.5, 0.1, 0.01, 0.001)
+NAMES3 = ("intercept", "x1", "x2", "x3")
+
+
+def _optimal(names):
+    return " UNION ALL ".join(f"SELECT {lam}::DOUBLE AS lam, '{n}' AS name, 0.0::DOUBLE AS slack" for lam in LAMBDAS for n in names)
+
+
+@query("L03_optimality", _optimal(NAMES3))
+def l03o(spark, sf):
+    """Three correlated predictors along a path: each coefficient meets its subgradient condition."""
+    d = _prices(spark, sf).withColumn("x2", F.col("x2") + F.col("x1") / 50).withColumn("x3", F.col("x3") - F.col("x1") / 100)
+    path = G.elastic_net_path(d, list(NAMES3[1:]), "y", list(LAMBDAS), 0.5)
+    rows = [(lam, n, float(s)) for lam, b in zip(LAMBDAS, path) for n, s in zip(NAMES3, _slack(d, "y", NAMES3[1:], b, lam, 0.5, lambda v: v))]
+    return spark.createDataFrame(rows, "lam double, name string, slack double").select("lam", "name", r6("slack"))
+
+
+@query("L04_optimality", _optimal(("intercept", "x2", "x3", "y")))
+def l04o(spark, sf):
+    d, names = _prices(spark, sf), ("x2", "x3", "y")
+    path = G.glm_net_path(d, list(names), "b", G.BERNOULLI, list(LAMBDAS), 0.5)
+    logistic = G.BERNOULLI.inv_link
+    rows = [(lam, n, float(s)) for lam, b in zip(LAMBDAS, path) for n, s in zip(("intercept", *names), _slack(d, "b", names, b, lam, 0.5, logistic))]
+    return spark.createDataFrame(rows, "lam double, name string, slack double").select("lam", "name", r6("slack"))
+
+
 @query("L03_elastic_net", f"""WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x FROM lineitem),
 s AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS cxy FROM d),
 b AS (SELECT mx, my, sign(cxy) * greatest(abs(cxy) - 0.8 * 0.5, 0) / (vx + 0.8 * 0.5) AS b FROM s)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillcell.functions.exprs import is_mito
 from quillcell.matrix import Matrix, zero_aware
 from quillcell.operators.quantile import exact_quantile
+from quillcell.session import cut_lineage
 
 
 def reads_per_cell(m: Matrix) -> DataFrame:
@@ -101,14 +102,18 @@ def group_moments(m: Matrix, clusters: DataFrame) -> DataFrame:
 def group_median(m: Matrix, clusters: DataFrame) -> DataFrame:
     """``gene, cluster, median``, zeros included.
 
-    The zeros that are not stored enter as one weighted row per gene and cluster.
+    Where more than half of the cells have nothing stored, the median is 0 by the counts alone. For the
+    rest, the zeros that are not stored enter as one weighted row per gene and cluster.
     """
     stored = cluster_values(m, clusters).groupBy("gene", "cluster", "value").agg(F.count("*").alias("w"))
     have = stored.groupBy("gene", "cluster").agg(F.sum("w").alias("z"))
-    zeros = grid(m, clusters).join(have, ["gene", "cluster"], "left").select(
-        "gene", "cluster", F.lit(0.0).alias("value"), (F.col("n") - F.coalesce("z", F.lit(0))).alias("w")
-    )
-    return exact_quantile(stored.unionByName(zeros), "value", 0.5, ["gene", "cluster"], "w", "median")
+    counts = cut_lineage(grid(m, clusters).join(have, ["gene", "cluster"], "left").select(
+        "gene", "cluster", "n", (F.col("n") - F.coalesce("z", F.lit(0))).alias("w")))
+    settled = counts.filter(2 * F.col("w") > F.col("n")).select("gene", "cluster", F.lit(0.0).alias("median"))
+    open_ = counts.filter(2 * F.col("w") <= F.col("n"))
+    rows = stored.join(open_.select("gene", "cluster"), ["gene", "cluster"], "left_semi").unionByName(
+        open_.select("gene", "cluster", F.lit(0.0).alias("value"), "w"))
+    return settled.unionByName(exact_quantile(rows, "value", 0.5, ["gene", "cluster"], "w", "median"))
 
 
 def to_wide(df: DataFrame, column: str, value: str, labels: list | None = None) -> DataFrame:

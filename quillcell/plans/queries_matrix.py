@@ -16,7 +16,7 @@ from quillcell.operators.quantile import exact_quantile
 from quillcell.plans import adapters as ad
 from quillcell.sources import tables as TB
 from quillcell.plans.catalog import (
-    BRANDS, EMB, LABELS, LINE, LINEAR, MOMENTS, NAMED, NAMES, NC, NORM, R, REGIONS, TOKENS, query, r6,
+    BRANDS, EMB, LABELS, LINE, LINEAR, MOMENTS, NAMED, NC, NORM, R, REGIONS, TOKENS, query, r6,
 )
 
 ENTRIES = f"SELECT gene, cell, {R('value')} AS value FROM"
@@ -447,7 +447,7 @@ def h01(spark, sf):
 
 def flagship(spark, sf, n=50):
     """Filter, normalise and rank the variable genes of the part x supplier matrix."""
-    m = FI.min_expressed(FI.min_reads(ad.line_counts(spark, sf).stored(), 1000).stored(), 2.0).stored()
+    m = FI.min_expressed(FI.min_reads(ad.line_counts(spark, sf).stored(), 1000), 2.0).stored()
     return seurat(log_normalize(m), n, digits=6).select("gene", r6("mean"), r6("dispersion"), "bin", r6("z"), "rank")
 
 

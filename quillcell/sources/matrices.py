@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillcell.matrix import Matrix
-from quillcell.operators.filters import MatrixError, check_minimum, drop_duplicated_genes, duplicated_genes
+from quillcell.operators.filters import MatrixError, check_minimum, duplicated_genes
 from quillcell.sources.lines import numbered_lines
 from quillcell.sources.sniff import has_nul, Layout, _literal, check_columns, sniff
 
@@ -93,8 +93,3 @@ def read_triplets(spark: SparkSession, path: str) -> Matrix:
     """A counted ``gene, cell, count`` table with a header; repeated pairs are summed."""
     rows = spark.read.csv(path, sep="\t", header=True, schema="gene string, cell string, count long")
     return Matrix(rows.groupBy("gene", "cell").agg(F.sum("count").cast("double").alias("value")))
-
-
-def second_duplicate_pass(expr: DataFrame, genes: DataFrame) -> DataFrame:
-    """Entries without any gene that has more than one row."""
-    return expr.join(drop_duplicated_genes(genes).select("gene"), "gene", "left_semi")

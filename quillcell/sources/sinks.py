@@ -27,8 +27,6 @@ OUTPUTS = {
     "mean": "csvs/mean_exp.tsv",
     "cell_types": "csvs/CTA_RANK_F/cell_type_pred_full_table.txt",
     "cell_types_best": "csvs/CTA_RANK_F/cell_type_pred_best.txt",
-    "normdata": "normdata",
-    "normdata_ercc": "normdata_ERCC",
     "doublets": "score.txt",
 }
 LONG_NAMES = {"comparison": "comparison_A_vs_B", "mean_A": "mean.A", "mean_B": "mean.B", "desc": "annotation"}
@@ -87,11 +85,6 @@ def spread_array(df: DataFrame, key: str, array: str, size: int, prefix: str = "
     return df.select(key, *[F.col(array)[i].alias(f"{prefix}{i + 1}") for i in range(size)])
 
 
-def write_triplets(expr: DataFrame, path: str) -> None:
-    """The sparse matrix as partitioned ``gene, cell, value`` parquet."""
-    expr.write.mode("overwrite").parquet(path)
-
-
 def dense_lines(expr: DataFrame, cells: list[str]) -> DataFrame:
     """The dense text of a matrix with a bounded list of cells: one tab-separated line per gene."""
     wide = expr.groupBy("gene").pivot("cell", cells).agg(F.sum("value"))

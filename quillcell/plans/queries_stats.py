@@ -19,7 +19,7 @@ from quillcell.plans.catalog import (
     BRANDS, EMB, LABELS, LINE, LINEAR, NC, NORM, R, REGIONS, query, r6,
 )
 from quillcell.plans.queries_matrix import GROUPS, MEDIANS
-from quillcell.session import scratch_path
+from quillcell.session import cut_lineage, scratch_path
 from quillcell.sources import sinks as SK
 from quillcell.sources import tables as TB
 
@@ -427,18 +427,28 @@ def p02s(spark, sf):
     return _rebuilt(spark, p, p.strength)
 
 
+def _images(m, genes, scores):
+    """``gene, pc, raw``: the sums of products of each of ``genes`` with each component.
+
+    Entries of other genes go before they meet the scores, so a task leaves a row per gene of the set and component.
+    """
+    kept = m.expr.join(F.broadcast(genes.select("gene")), "gene")  # as many rows as an option allows
+    each = kept.join(scores, "cell").select("gene", "value", F.posexplode("features").alias("pc", "score"))
+    return each.groupBy("gene", (F.col("pc") + 1).alias("pc")).agg(F.sum(F.col("value") * F.col("score")).alias("raw"))
+
+
 def _equations(spark, m, p, scores, weights, n):
     """``pc, residual, length, energy``: how well each component solves its equation; exact ones give 0, 1 and 1.
 
-    The residual of ``Z'(Z v) = w v`` is taken over all genes as a share of the largest ``w``; stored
+    The residual of ``Z'(Z v) = w v`` is taken over all genes of the components as a share of the largest ``w``; stored
     entries meet the scores, and the centre is one number per gene, so this does not use the solver.
     """
+    scores = cut_lineage(scores)
     each = L.explode_scores(scores)
     stats = spark.createDataFrame([(g, float(c), float(s)) for g, c, s in zip(p.genes, p.centre, p.scale)], "gene string, centre double, by double")
     sums = each.groupBy("pc").agg(F.sum("score").alias("total"), F.sum(F.col("score") * F.col("score")).alias("energy"))
     w = spark.createDataFrame([(i, float(v)) for i, v in enumerate(weights, 1)], "pc int, w double").join(sums, "pc")
-    image = m.expr.join(each, "cell").groupBy("gene", "pc").agg(F.sum(F.col("value") * F.col("score")).alias("raw"))
-    full = p.loading_table(spark).join(image, ["gene", "pc"], "left").join(stats, "gene").join(w, "pc")
+    full = p.loading_table(spark).join(_images(m, stats, scores), ["gene", "pc"], "left").join(stats, "gene").join(w, "pc")
     gap = (F.coalesce("raw", F.lit(0.0)) - F.col("centre") * F.col("total")) / F.col("by") / n - F.col("w") * F.col("loading")
     top = float(max(weights))
     return full.filter(F.col("w") > 1e-9 * top).groupBy("pc").agg(

@@ -12,7 +12,7 @@ from quillcell.matrix import Matrix
 from quillcell.operators.hvg import seurat
 from quillcell.operators.knn import exact_knn
 from quillcell.operators.linalg import centred_pca
-from quillcell.operators.normalize import log_normalize
+from quillcell.operators.normalize import log_normalize, log_share
 from quillcell.operators.ranking import hash_index
 from quillcell.session import cut_lineage
 
@@ -44,6 +44,20 @@ def simulate_doublets(m: Matrix, n_sim: int, seed: int) -> Matrix:
     return Matrix(summed.select("gene", F.col("doublet").alias("cell"), "value"))
 
 
+def normalized_doublets(m: Matrix, genes: DataFrame, n_sim: int, seed: int) -> tuple[Matrix, DataFrame]:
+    """Log-normalised counts of ``genes`` in the doublets of ``simulate_doublets``, and all doublets as ``cell``.
+
+    A doublet's reads are those of its two cells, so only entries of the genes are put together.
+    """
+    pairs = cut_lineage(sample_pairs(m.cells, n_sim, seed))
+    reads = m.expr.groupBy("cell").agg(F.sum("value").alias("reads"))
+    totals = cut_lineage(pairs.join(reads, "cell").groupBy("doublet").agg(F.sum("reads").alias("reads")))
+    kept = m.expr.join(F.broadcast(genes.select("gene")), "gene")  # as many genes as an option allows
+    summed = pairs.join(kept, "cell").groupBy("gene", "doublet").agg(F.sum("value").alias("value")).join(totals, "doublet")
+    expr = summed.select("gene", F.col("doublet").alias("cell"), log_share(F.col("value"), F.col("reads")).alias("value"))
+    return Matrix(expr), totals.select(F.col("doublet").alias("cell"))
+
+
 def simulated_neighbours(points: DataFrame, k: int, seed: int) -> DataFrame:
     """``cell, n_sim``: simulated cells among the ``k - 1`` nearest of each cell."""
     near = exact_knn(points, max(1, k - 1), seed)
@@ -64,8 +78,8 @@ def scrublet(m: Matrix, hvg_n: int = 1000, components: int = 30, seed: int = 42)
     n = norm.cells.count()
     genes = cut_lineage(seurat(norm, hvg_n).select("gene"))
     projection, observed = centred_pca(norm, genes, components, scale=True)
-    doublets = log_normalize(simulate_doublets(m, n * SIMULATED_RATIO, seed))
-    merged = cut_lineage(observed.unionByName(projection.apply(doublets)))
+    doublets, cells = normalized_doublets(m, genes, n * SIMULATED_RATIO, seed)
+    merged = cut_lineage(observed.unionByName(projection.apply(doublets, cells)))
     k = half_even(0.5 * math.sqrt(merged.count()))
     k_adj = half_even(k * (1 + SIMULATED_RATIO))
     rho, r = DOUBLET_RATE, float(SIMULATED_RATIO)

@@ -49,9 +49,9 @@ class Projection:
         rows = [(g, i) for i, g in enumerate(self.genes)]
         return spark.createDataFrame(rows, "gene string, idx int")
 
-    def apply(self, m: Matrix) -> DataFrame:
-        """``cell, features``: component scores of every cell of ``m``."""
-        return project(sparse_rows(m, self.gene_table(m.expr.sparkSession)), self)
+    def apply(self, m: Matrix, cells: DataFrame | None = None) -> DataFrame:
+        """``cell, features``: component scores of every cell of ``m``, or of ``cells``, which ``m`` need not all have."""
+        return project(sparse_rows(m, self.gene_table(m.expr.sparkSession), cells), self)
 
     def loading_table(self, spark: SparkSession) -> DataFrame:
         """``gene, pc, loading`` with components numbered from 1."""
@@ -65,7 +65,7 @@ def index_genes(genes: DataFrame) -> tuple[list[str], DataFrame]:
     return names, genes.sparkSession.createDataFrame([(g, i) for i, g in enumerate(names)], "gene string, idx int")
 
 
-def sparse_rows(m: Matrix, positions: DataFrame) -> DataFrame:
+def sparse_rows(m: Matrix, positions: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """``cell, idx, val``: one sorted sparse row per cell, empty when no gene of the set is seen.
 
     A row has at most as many entries as ``positions`` has rows.
@@ -73,7 +73,7 @@ def sparse_rows(m: Matrix, positions: DataFrame) -> DataFrame:
     kept = m.expr.join(positions, "gene").groupBy("cell").agg(
         F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("v")))).alias("e")
     )
-    rows = m.cells.join(kept, "cell", "left")
+    rows = (m.cells if cells is None else cells).join(kept, "cell", "left")
     return rows.select(
         "cell", F.coalesce("e.idx", F.array().cast("array<int>")).alias("idx"),
         F.coalesce("e.v", F.array().cast("array<double>")).alias("val"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillcell.functions.exprs import unversioned
@@ -16,11 +16,14 @@ def with_cell_totals(m: Matrix) -> DataFrame:
     return m.expr.join(reads_per_cell(m), "cell")
 
 
-def log_normalize(m: Matrix, scale: float = 1e4) -> Matrix:
+def log_share(value: Column, reads: Column, scale: float = 1e4) -> Column:
     """``log2(scale * x / cell total + 1)``."""
-    return m.keep(
-        with_cell_totals(m).withColumn("value", F.log2(F.col("value") * scale / F.col("reads") + 1))
-    )
+    return F.log2(value * scale / reads + 1)
+
+
+def log_normalize(m: Matrix, scale: float = 1e4) -> Matrix:
+    """``log_share`` of every entry."""
+    return m.keep(with_cell_totals(m).withColumn("value", log_share(F.col("value"), F.col("reads"), scale)))
 
 
 def rpkm(m: Matrix, lengths: DataFrame) -> Matrix:

@@ -4,23 +4,24 @@ The minimum covariance determinant by nested FastMCD (Rousseeuw and Van Driessen
 every number of cells. A hash deals the cells into disjoint subsets of some ``SUBSET`` cells. Each
 subset tries random starts and concentrates them, all subsets in parallel; the best are
 concentrated further on the union of a few subsets, and what is left of them on all cells until their
-determinants stop falling. A step over all cells is a selection of the nearest half and one
-aggregation for all candidates, and returns a vector and a matrix for each.
+determinants stop falling. A step over all cells is a selection of the nearest half and one sum,
+for all candidates at once; tasks send counts and sums, and it returns a vector and a matrix for each.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillcell.functions.distributions import gammainc_upper_np
 from quillcell.matrix import Matrix
 from quillcell.operators.aggregates import qc_features, three_sigma
-from quillcell.operators.quantile import exact_quantile
 from quillcell.session import cut_lineage
 
 SUBSET = 300
@@ -28,6 +29,8 @@ SUBSET = 300
 MERGED = 5
 TRIALS = 500
 KEPT = 10
+#: Bits of a distance that a selection settles at a time.
+_DIGITS = (22, 21, 21)
 FEATURES = ("ln_reads", "genes", "perc_rrna", "perc_mt", "perc_spike")
 
 
@@ -127,26 +130,88 @@ def _moments(df: DataFrame, names: list[str], centre: np.ndarray) -> tuple[np.nd
     return centre + shift, cov
 
 
-def _step(table: DataFrame, names: list[str], candidates: list[tuple[np.ndarray, np.ndarray]], share: float) -> list[tuple[float, np.ndarray, np.ndarray]]:
+def _tasks(table: DataFrame, names: list[str], candidates: list[tuple[np.ndarray, np.ndarray]], schema: str, found: Callable) -> DataFrame:
+    """What ``found(id, x, d)`` returns for the rows ``x`` of a batch and their distances ``d`` from each candidate, summed over batches.
+
+    It returns keys and sums. Distances are taken element by element, so a row has the same one in every batch.
+    """
+    p = len(names)
+    centres = [c for c, _ in candidates]
+    inverses = [np.linalg.pinv(v) for _, v in candidates]
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, ...]]] = [[] for _ in candidates]
+
+        def merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            keys, back = np.unique(np.concatenate([q[0] for q in parts]), return_inverse=True)
+            return keys, *(np.bincount(back, weights=np.concatenate(v), minlength=len(keys)) for v in zip(*(q[1:] for q in parts)))
+
+        for batch in batches:
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(p)]
+            for k, (centre, w) in enumerate(zip(centres, inverses)):
+                x = [r - m for r, m in zip(rows, centre)]
+                d = np.zeros(batch.num_rows)
+                for i in range(p):
+                    for j in range(i, p):
+                        d += x[i] * x[j] * (w[i, j] * (1 if i == j else 2))
+                held[k].append(found(k, x, np.maximum(d, 0.0)))
+                if len(held[k]) == 64:
+                    held[k] = [merged(held[k])]
+        for k, parts in enumerate(held):
+            keys, *sums = merged(parts) if parts else ((),)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k)), pa.array(keys), *map(pa.array, sums)], columns)
+
+    return table.select(*names).mapInArrow(run, schema)
+
+
+def ranked_distances(table: DataFrame, names: list[str], candidates: list[tuple[np.ndarray, np.ndarray]], rank: list[int]) -> list[float]:
+    """For each candidate the distance of the row that has ``rank`` (from 0) by distance from it.
+
+    As :mod:`quantile` does, by the bits of the distances, some at a time: tasks count them by their next
+    bits, and what is sent is a count per candidate and digit.
+    """
+    left, prefix, shift = list(rank), [0] * len(candidates), 64
+    for width in _DIGITS:
+        shift -= width
+
+        def digits(k: int, x: list[np.ndarray], d: np.ndarray, known: tuple = tuple(prefix), at: int = shift, size: int = width) -> tuple[np.ndarray, ...]:
+            bits = d.view(np.int64)
+            if at + size < 64:
+                bits = bits[(bits >> (at + size)) == known[k]]
+            keys, count = np.unique(bits >> at, return_counts=True)
+            return keys, count.astype(float)
+
+        counts = _tasks(table, names, candidates, "id long, digit long, c double", digits)
+        counts = counts.groupBy("id", "digit").agg(F.sum("c").cast("long").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("id").orderBy("digit"))
+        want = F.get(F.array(*map(F.lit, left)), F.col("id"))
+        hit = counts.withColumn("upto", upto).filter((want < F.col("upto")) & (want >= F.col("upto") - F.col("c")))
+        for r in hit.select("id", "digit", (F.col("upto") - F.col("c")).alias("before")).collect():
+            left[r["id"]], prefix[r["id"]] = left[r["id"]] - r["before"], r["digit"]
+    return np.array(prefix, dtype=np.int64).view(float).tolist()
+
+
+def _step(table: DataFrame, names: list[str], candidates: list[tuple[np.ndarray, np.ndarray]], h: int) -> list[tuple[float, np.ndarray, np.ndarray]]:
     """One concentration step of all candidates over all cells: determinants, centres and covariances."""
     p = len(names)
     cells = [(i, j) for i in range(p) for j in range(i, p)]
-    each = F.array(*[F.struct(F.lit(k).alias("id"), F.array(*map(F.lit, map(float, c))).alias("c")) for k, (c, _) in enumerate(candidates)])
-    inverses = [np.linalg.pinv(v) for _, v in candidates]
-    weights = F.array(*[F.array(*[F.lit(float(w[i, j] * (1 if i == j else 2))) for i, j in cells]) for w in inverses])
-    open_ = table.select(*names, F.explode(each).alias("e")).select("e.id", *[(F.col(n) - F.col("e.c")[i]).alias(f"x{i}") for i, n in enumerate(names)])
-    w = F.get(weights, F.col("id"))
-    distance = sum((F.col(f"x{i}") * F.col(f"x{j}") * w[k] for k, (i, j) in enumerate(cells)), F.lit(0.0))
-    near = open_.withColumn("_d", distance)
-    limits = {r["id"]: r["t"] for r in exact_quantile(near, "_d", share, ["id"], name="t", distinct=True).collect()}
-    limit = F.get(F.array(*[F.lit(float(limits[k])) for k in range(len(candidates))]), F.col("id"))
-    sums = near.filter(F.col("_d") <= limit).groupBy("id").agg(
-        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)], *[F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{k}") for k, (i, j) in enumerate(cells)])
+    limits = ranked_distances(table, names, candidates, [h - 1] * len(candidates))
+
+    def moments(k: int, x: list[np.ndarray], d: np.ndarray) -> tuple[np.ndarray, ...]:
+        near = d <= limits[k]
+        x = [v[near] for v in x]
+        return np.zeros(1, dtype=np.int64), *(np.array([float(v)]) for v in (near.sum(), *(v.sum() for v in x), *((x[i] * x[j]).sum() for i, j in cells)))
+
+    sums = [f"m{i}" for i in range(p)] + [f"s{k}" for k in range(len(cells))]
+    schema = ", ".join(["id long", "one long", "n double", *(f"{c} double" for c in sums)])
+    total = _tasks(table, names, candidates, schema, moments).groupBy("id").agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in sums])
     out = []
-    for r in sums.orderBy("id").collect():
-        shift, cov = np.array([r[f"m{i}"] for i in range(p)]), np.zeros((p, p))
+    for r in total.orderBy("id").collect():
+        shift, cov = np.array([r[f"m{i}"] for i in range(p)]) / r["n"], np.zeros((p, p))
         for k, (i, j) in enumerate(cells):
-            cov[i, j] = cov[j, i] = r[f"s{k}"] - shift[i] * shift[j]
+            cov[i, j] = cov[j, i] = r[f"s{k}"] / r["n"] - shift[i] * shift[j]
         sign, logdet = np.linalg.slogdet(cov)
         out.append((float(logdet) if sign > 0 else -math.inf, candidates[r["id"]][0] + shift, cov))
     return out
@@ -157,13 +222,15 @@ def minimum_covariance(table: DataFrame, names: list[str], n: int, seed: int = 4
 
     ``table`` has the columns ``names``, none of them constant, and a hash ``spread``.
     """
-    share = (half_of(n, len(names)) - 1) / max(1, n - 1)
+    h = half_of(n, len(names))
     going, best = _starts(table, names, n, seed), None
     before = [math.inf] * len(going)
     while going:
-        steps = _step(table, names, going, share)
+        steps = _step(table, names, going, h)
         best = min([*steps, *([best] if best else [])], key=lambda r: r[0])
         on = [(s, b) for s, b in zip(steps, before) if s[0] < b - 1e-9 and s[0] > -math.inf]
+        # candidates that have met go on as one
+        on = [(s, b) for i, (s, b) in enumerate(on) if not any(np.allclose(s[1], t[1], rtol=1e-9) and np.allclose(s[2], t[2], rtol=1e-9) for t, _ in on[:i])]
         going, before = [(c, v) for (_, c, v), _ in on], [s[0] for s, _ in on]
     return best
 
@@ -179,7 +246,7 @@ def robust_distances(features: DataFrame, names: list[str], seed: int = 42, key:
     p = len(names)
     _, centre, cov = minimum_covariance(table, names, n, seed)
     raw = table.withColumn("_d", squared_distance(names, centre, cov))
-    scale = exact_quantile(raw, "_d", 0.5, name="t", distinct=True).first()[0] / chi2_quantile(0.5, p)
+    scale = sum(ranked_distances(table, names, [(centre, cov)] * 2, [(n - 1) // 2, n // 2])) / 2 / chi2_quantile(0.5, p)
     inner = raw.filter(F.col("_d") / scale < chi2_quantile(0.975, p)) if scale > 0 else raw.filter("_d <= 0")
     centre, cov = _moments(inner, names, centre)
     return table.select(key, squared_distance(names, centre, cov).alias("md"))

@@ -215,3 +215,23 @@ def test_filters_are_strict(spark):
         filters.validate_counts(Matrix(spark.createDataFrame([("a", "x", 1.5)], "gene string, cell string, value double")), "raw")
     with pytest.raises(filters.MatrixError):
         filters.validate_counts(m, "log2")
+
+
+def test_a_concentration_step_takes_exactly_the_nearest_half(spark):
+    """Ranks are met to the row, with ties and far values, and nothing is written for that."""
+    rng = np.random.default_rng(5)
+    for n in (50, 83):
+        x = np.repeat(rng.normal(size=(n, 2)), 2, axis=0)[:n]
+        x[-1] = 1e12
+        df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double").repartition(3)
+        starts = [(np.zeros(2), np.eye(2)), (np.ones(2), np.array([[2.0, 0.5], [0.5, 1.0]]))]
+        for h in (n // 2, n // 2 + 1):
+            got = qc._step(df, ["a", "b"], starts, h)
+            for (centre, cov), (logdet, mean, half) in zip(starts, got):
+                w, y = np.linalg.inv(cov), x - centre
+                d = y[:, 0] ** 2 * w[0, 0] + y[:, 0] * y[:, 1] * (2 * w[0, 1]) + y[:, 1] ** 2 * w[1, 1]
+                near = x[d <= np.sort(d)[h - 1] * (1 + 1e-12)]
+                assert np.allclose(mean, near.mean(axis=0)) and np.allclose(half, np.cov(near.T, bias=True))
+                assert abs(logdet - np.linalg.slogdet(np.cov(near.T, bias=True))[1]) < 1e-9
+            low, high = qc.ranked_distances(df, ["a", "b"], [starts[0]] * 2, [h, n - 1])
+            assert (low, high) == pytest.approx((np.sort((x**2).sum(axis=1))[h], 2e24), rel=1e-12)

@@ -65,9 +65,12 @@ def wide_lines(df: DataFrame, column: str, value: str, sep: str, first: list[str
     fields = F.transform(F.sequence(F.lit(0), F.size("e") - 1), lambda i: F.concat(F.repeat(F.lit(sep), gap(i)), F.col("e")[i]["v"]))
     rest = F.repeat(F.lit(sep), F.col("width") - F.element_at("e", -1)["at"])
     names = F.concat_ws(sep, *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in lead))
-    body = packed.select(F.lit(1).alias("o"), F.col("gene").alias("g"), F.concat(names, F.array_join(fields, ""), rest).alias("value"))
-    head = labels.select(F.lit(0).alias("o"), F.lit("").alias("g"), F.concat_ws(sep, *map(F.lit, lead), "labels").alias("value"))
-    return head.unionByName(body).orderBy("o", "g").select("value")
+    line = F.concat("names", F.array_join(fields, ""), rest)
+    body = packed.select(F.lit(1).alias("o"), F.col("gene").alias("g"), names.alias("names"), "width", "e")
+    head = labels.select(F.lit(0).alias("o"), F.lit("").alias("g"), F.concat_ws(sep, *map(F.lit, lead), "labels").alias("names"))
+    # genes are sorted with their entries; a line, which is as wide as the table, is only made on its way out
+    ordered = head.unionByName(body, allowMissingColumns=True).orderBy("o", "g")
+    return ordered.select(F.when(F.col("o") == 0, F.col("names")).otherwise(line).alias("value"))
 
 
 def write_lines(df: DataFrame, path: str) -> None:

@@ -172,8 +172,8 @@ def test_inputs_by_a_path_that_only_hadoop_knows(spark, tmp_path):
 
 
 def test_wide_lines_are_made_after_the_sort(spark):
-    df = spark.createDataFrame([("b", "y", 2), ("a", "z", 3), ("a", "x", 1), ("b", "z", None)], "gene string, c string, v long")
-    out = sinks.wide_lines(df, "c", "v", ",")
+    df = spark.createDataFrame([("b", "y", 2), ("a", "z", 3), ("a", "x", 1), ("b", "z", None)], "gene string, cluster string, v long")
+    out = sinks.wide_lines(df, "cluster", "v", ",")
     assert [r["value"] for r in out.collect()] == ["gene,x,y,z", "a,1,,3", "b,,2,"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("array_join") < plan.index("Sort [")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quillcell.session import cut_lineage
 
+#: Lines of records that a task sorts.
+_LINES = 1 << 18
+
 
 def numbered_lines(spark: SparkSession, path: str, across_files: bool = False) -> DataFrame:
     """``file, line, value`` with 0-based line numbers, per file or through all files by name.
@@ -23,17 +26,22 @@ def numbered_lines(spark: SparkSession, path: str, across_files: bool = False) -
     order = Window.orderBy("file", "block") if across_files else Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    return raw.join(offsets, ["file", "block"]).select(
+    # a row per split; without the hint all lines of a split would meet in one task
+    return raw.join(F.broadcast(offsets), ["file", "block"]).select(
         "file", (F.col("off") + F.col("_id") - F.col("first")).alias("line"), "value"
     )
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``id, seq, plus, qual`` records of four lines; .gz and .bz2 are read by suffix."""
-    lines = numbered_lines(spark, path)
+    """``id, seq, plus, qual`` records of four lines; .gz and .bz2 are read by suffix.
+
+    Lines are dealt by record to as many tasks as they ask for, and sorted there and not before.
+    """
+    lines = numbered_lines(spark, path).withColumn("record", F.floor(F.col("line") / 4))
+    lines = lines.repartition(max(1, -(-lines.count() // _LINES)), "file", "record")
     at = F.col("line") % 4
     parts = [F.max(F.when(at == i, F.col("value"))).alias(n) for i, n in enumerate(("id", "seq", "plus", "qual"))]
-    return lines.groupBy("file", F.floor(F.col("line") / 4).alias("record")).agg(*parts).select("record", "id", "seq", "plus", "qual")
+    return lines.groupBy("file", "record").agg(*parts).select("record", "id", "seq", "plus", "qual")
 
 
 def broken_fastq(records: DataFrame) -> DataFrame:

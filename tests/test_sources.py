@@ -177,3 +177,15 @@ def test_wide_lines_are_made_after_the_sort(spark):
     assert [r["value"] for r in out.collect()] == ["gene,x,y,z", "a,1,,3", "b,,2,"]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("array_join") < plan.index("Sort [")
+
+
+def test_lines_are_dealt_by_record_and_not_sorted_before(spark, tmp_path):
+    """Records of two gzip files stay apart, and no task gets the lines of a whole split for their numbers."""
+    for f, n in (("a", 5), ("b", 3)):
+        text = "".join(f"@{f}{i}\nACGT{f}\n+\nIIII{i}\n" for i in range(n))
+        save(tmp_path, f"{f}.fastq.gz", gzip.compress(text.encode()))
+    records = fastq(spark, str(tmp_path))
+    assert sorted((r["id"], r["seq"], r["plus"], r["qual"]) for r in records.collect()) == [
+        (f"@{f}{i}", f"ACGT{f}", "+", f"IIII{i}") for f, n in (("a", 5), ("b", 3)) for i in range(n)]
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "strategy=broadcast" in plan

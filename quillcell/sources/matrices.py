@@ -82,8 +82,8 @@ def read_matrix_market(spark: SparkSession, folder: str) -> Matrix:
     # the size line follows the comments of the file that starts with the format line
     first = lines.filter((F.col("line") == 0) & F.col("value").startswith("%%MatrixMarket")).select("file")
     data = lines.filter(~F.col("value").startswith("%"))
-    size_line = data.join(first, "file", "left_semi").groupBy("file").agg(F.min("line").alias("size_line"))
-    body = data.join(size_line, "file", "left").filter("size_line IS NULL OR line > size_line")
+    size_line = data.join(F.broadcast(first), "file", "left_semi").groupBy("file").agg(F.min("line").alias("size_line"))
+    body = data.join(F.broadcast(size_line), "file", "left").filter("size_line IS NULL OR line > size_line")
     f = F.split(F.trim("value"), r"\s+")
     entries = body.select(f[0].cast("long").alias("i"), f[1].cast("long").alias("j"), f[2].cast("double").alias("value"))
     return Matrix(entries.join(genes, "i").join(cells, "j").select("gene", "cell", "value")).drop_zeros()

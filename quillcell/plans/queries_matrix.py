@@ -421,7 +421,7 @@ def n01(spark, sf):
 
 @query("N01_log_normalize_tokens", f"WITH {TOKENS}, {NORM} SELECT gene, cell, {R('v')} AS value FROM nrm")
 def n01t(spark, sf):
-    return entries(log_normalize(ad.token_counts(spark, sf)))
+    return entries(log_normalize(ad.token_counts(spark, sf).stored()))
 
 
 @query("N02_rpkm", f"""WITH {LINE}, j AS (SELECT m.gene, cell, value, CAST(p_size AS DOUBLE) AS len FROM m

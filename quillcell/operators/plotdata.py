@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from quillcell.matrix import Matrix
 from quillcell.operators.aggregates import genes_per_cell, group_moments, reads_per_cell
 from quillcell.operators.ranking import count_above
+from quillcell.session import cut_lineage
 
 
 def _position(df: DataFrame, value: str) -> DataFrame:
-    """Bars by height: one plus the number of cells with a larger value; ties share it."""
+    """Bars by height: one plus the number of cells with a larger value; ties share it.
+
+    The bars are written once, so that what they are counted from is read once.
+    """
+    df = cut_lineage(df)
     placed = count_above(df, value).select(value, (F.col("above") + 1).alias("position"))
     return df.join(placed, value)
 

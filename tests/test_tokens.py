@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from quillcell.matrix import Matrix
+from quillcell.operators.plotdata import expressed_gene_bars
 from quillcell.plans import adapters as ad
 
 TEXTS = [(1, "a b\tA\n\nc"), (1, "a c"), (2, "b  b b"), (3, None), (4, " ")]
@@ -27,3 +29,18 @@ def test_texts_are_sent_and_not_their_words(spark, folder):
     plan = totals._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.index("Generate explode") < plan.index("Exchange hashpartitioning")
+
+
+def test_bars_read_their_matrix_once(spark):
+    entries = spark.createDataFrame([("a", "x", 1.0), ("b", "x", 1.0), ("a", "y", 1.0)], "gene string, cell string, value double")
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def value(v):
+        seen.add(1)
+        return v
+
+    m = Matrix(entries.withColumn("value", value.asNondeterministic()("value")))
+    bars = {r["cell"]: (r["genes"], r["position"]) for r in expressed_gene_bars(m).select("cell", "genes", "position").collect()}
+    assert bars == {"x": (2, 1), "y": (1, 2)}
+    assert seen.value == 3

@@ -300,13 +300,10 @@ def _draw(fit: GlmFit, mu: Column, seed: int) -> Column:
 
     @F.pandas_udf("double")
     def sample(m, u):
-        # one generator per row, seeded by the row's own uniform, so a re-run task draws the same
-        from_seed = (u.to_numpy() * 2**62).astype(np.int64)
-        out = np.empty(len(m))
-        for i, (mean, s) in enumerate(zip(m.to_numpy(float), from_seed)):
-            rng = np.random.default_rng(int(s))
-            out[i] = rng.poisson(mean) if "poisson" in fit.family.name else rng.gamma(phi, mean / phi)
-        return pd.Series(out)
+        # one generator per batch, seeded by its first row's own uniform, so a re-run task draws the same
+        rng = np.random.default_rng((u.to_numpy()[:1] * 2**62).astype(np.int64))
+        mean = m.to_numpy(float)
+        return pd.Series(rng.poisson(mean) if "poisson" in fit.family.name else rng.gamma(phi, mean / phi), dtype=float)
 
     return sample(mu, F.rand(seed))
 

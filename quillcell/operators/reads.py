@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillcell.session import cut_lineage
+
 # Read layout, filters and the quality ranges of the known encodings.
 BARCODE_LENGTH = 12
 UMI_LENGTH = 8
@@ -121,7 +123,11 @@ def exon_rows(lines: DataFrame) -> DataFrame:
 
 
 def metagenes(exons: DataFrame, width: int = 65536) -> DataFrame:
-    """Merged exons with the gene's chromosome, strand and sorted transcript types."""
+    """Merged exons with the gene's chromosome, strand and sorted transcript types.
+
+    Exons that begin at one place are put together first, and written, so that their text is parsed once.
+    """
+    exons = cut_lineage(exons.groupBy("gene", "chrom", "start", "strand", "transcript_type").agg(F.max("stop").alias("stop")))
     about = exons.groupBy("gene").agg(
         F.min(F.struct("start", "chrom", "strand")).alias("_f"),
         F.concat_ws(",", F.sort_array(F.collect_set("transcript_type"))).alias("types"),

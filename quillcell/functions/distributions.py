@@ -22,7 +22,10 @@ def _erfc(x):
 
 
 def _lgamma(x):
-    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(np.asarray(x, float)), float)
+    """Taken once for each distinct value: degrees of freedom repeat."""
+    x = np.asarray(x, float)
+    distinct, back = np.unique(x, return_inverse=True)
+    return np.asarray(np.frompyfunc(math.lgamma, 1, 1)(distinct), float)[back].reshape(x.shape)
 
 
 def normal_sf_np(z):

@@ -43,20 +43,33 @@ def contrast_statistics(moments: DataFrame, compat: bool = False) -> DataFrame:
     return out
 
 
-def tail(t: Column, df: Column, direction: str) -> Column:
-    """P-value for a positive ('up'), negative ('down') or any difference."""
-    df = df.cast("double")
+def _both_orders(stats: DataFrame) -> DataFrame:
+    """``stats`` of one order of two clusters, and the mirrored rows; ``0 - x`` makes no negative zero."""
+    turned = {
+        "comparison": F.concat("other", F.lit("_vs_"), "cluster"), "cluster": F.col("other"), "other": F.col("cluster"),
+        "t_stat": F.lit(0.0) - F.col("t_stat"), "logFC": F.lit(0.0) - F.col("logFC"), "mean_A": F.col("mean_B"), "mean_B": F.col("mean_A"),
+    }
+    orders = F.array(F.struct(*stats.columns), F.struct(*(turned.get(c, F.col(c)).alias(c) for c in stats.columns)))
+    return stats.select(F.explode(orders).alias("_o")).select("_o.*")
+
+
+def _p_value(t: Column, beyond: Column, direction: str) -> Column:
+    """P-value for a positive ('up'), negative ('down') or any difference from the tail beyond ``abs(t)``."""
     if direction == "up":
-        return student_t_sf(t, df)
+        return F.when(t >= 0, beyond).otherwise(1 - beyond)
     if direction == "down":
-        return student_t_sf(-t, df)
-    return 2 * student_t_sf(F.abs(t), df)
+        return F.when(t <= 0, beyond).otherwise(1 - beyond)
+    return 2 * beyond
 
 
 def pairwise_t_tests(m: Matrix, clusters: DataFrame, direction: str = "up", compat: bool = False) -> DataFrame:
-    """The long table of all contrasts with p-values and one FDR over genes and contrasts."""
-    stats = contrast_statistics(group_moments(m, clusters))
-    tested = stats.withColumn("p_val", F.when(F.col("t_stat").isNotNull(), tail(F.col("t_stat"), F.col("df"), direction)))
+    """The long table of all contrasts with p-values and one FDR over genes and contrasts.
+
+    The tail beyond ``abs(t)`` is taken once for both orders of two clusters.
+    """
+    once = contrast_statistics(group_moments(m, clusters)).filter("cluster < other")
+    beyond = once.withColumn("_q", F.when(F.col("t_stat").isNotNull(), student_t_sf(F.abs("t_stat"), F.col("df").cast("double"))))
+    tested = _both_orders(beyond).withColumn("p_val", _p_value(F.col("t_stat"), F.col("_q"), direction)).drop("_q")
     out = benjamini_hochberg(tested, "p_val", "FDR")
     if compat:
         out = out.withColumn("t_stat", F.when(F.col("cluster") < F.col("other"), -F.col("t_stat")).otherwise(F.col("t_stat")))

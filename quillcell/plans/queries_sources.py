@@ -81,6 +81,16 @@ def s17(spark, sf):
     return FI.drop_duplicated_genes(ad.table(spark, sf, "part").select(F.concat("p_name", "p_brand").alias("gene"), "p_size"))
 
 
+def part_nation(spark, sf):
+    """Quantities by part and nation; they are summed by number, as a name takes more memory than a key."""
+    nations = ad.table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    sums = (
+        ad.table(spark, sf, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
+        .groupBy("l_partkey", "s_nationkey").agg(F.sum("l_quantity").alias("value"))
+    )
+    return sums.select(F.col("l_partkey").cast("string").alias("gene"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cell"), "value")
+
+
 @query("S03_S06_K21_delimited_matrix", f"""SELECT CAST(l_partkey AS VARCHAR) AS gene, 'n' || CAST(s_nationkey AS VARCHAR) AS cell, {R('sum(l_quantity)')} AS value
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2""")
 def s03(spark, sf):
@@ -88,11 +98,7 @@ def s03(spark, sf):
 
     A dense text has one column per cell, so the cells are nations, whose number is fixed.
     """
-    nations = ad.table(spark, sf, "supplier").select(F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cell"))
-    expr = (
-        ad.table(spark, sf, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.col("l_partkey").cast("string").alias("gene"), "cell").agg(F.sum("l_quantity").alias("value"))
-    )
+    expr = part_nation(spark, sf)
     cells = [f"n{r['n_nationkey']}" for r in ad.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     path = scratch_path(spark, "dense")
     SK.dense_lines(expr, cells).write.option("compression", "bzip2").text(path)
@@ -107,11 +113,7 @@ def s03(spark, sf):
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey, (VALUES ('gzip'), ('text')) AS k(kind) GROUP BY 1, 2, 3""")
 def s04(spark, sf):
     """One file of a part x nation matrix as gzip and as plain text, read as unknown inputs by the pipeline's reader."""
-    nations = ad.table(spark, sf, "supplier").select(F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("cell"))
-    expr = (
-        ad.table(spark, sf, "lineitem").join(nations, F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy(F.col("l_partkey").cast("string").alias("gene"), "cell").agg(F.sum("l_quantity").alias("value"))
-    )
+    expr = part_nation(spark, sf)
     cells = [f"n{r['n_nationkey']}" for r in ad.table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
     header = spark.createDataFrame([("\t".join(["id", *cells]),)], "value string").withColumn("body", F.lit(False))
     lines = header.unionByName(SK.dense_lines(expr, cells).withColumn("body", F.lit(True))).repartition(1).sortWithinPartitions("body", "value").select("value")
